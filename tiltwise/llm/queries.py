@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import find_overlaps
+from .hamming import nearest_codes
+from .htmltext import extract_text
+from .licenses import scan_licenses
 from .lines import dedup_lines
 from .minhash import near_duplicates
 from .mixing import mix_documents
@@ -38,19 +41,32 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mix_documents(table(spark, sf_dir, "documents"), WEIGHTS)
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = dedup_lines(table(spark, sf_dir, "documents"))
     text = F.coalesce("text", F.lit(""))
     return cut.select("doc_id", "n_lines", "n_removed", F.length(text).cast("long").alias("n_kept"), F.sha2(text.cast("binary"), 256).alias("kept_sha256"))
 
 
+def op10_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return nearest_codes(rows, rows.where("vec_id % 50 = 0"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_decontaminate, op2_minhash, op3_url_rules, op4_quality, op6_mix, op9_lines)
+    found = (op1_decontaminate, op2_minhash, op3_url_rules, op4_quality, op5_html, op6_mix, op8_licenses, op9_lines, op10_hamming)
     return {f.__name__: f for f in found}
 
 
@@ -72,5 +88,18 @@ from split s left join fits f on f.place = 1 and s.page_id is not distinct from
 """
 
 
+#: Components at or below 0 are unset bits, so the distance is the number of components whose signs differ.
+OP10_SQL = """
+with codes as (
+    select vec_id, list_transform(embedding, lambda x: coalesce(x > 0, false)) as bits from embeddings where embedding is not null
+), pairs as (
+    select q.vec_id as query_id, v.vec_id,
+           cast(len(list_filter(list_zip(q.bits, v.bits), lambda p: coalesce(p[1], false) <> coalesce(p[2], false))) as integer) as distance
+    from codes q, codes v where q.vec_id % 50 = 0
+)
+select query_id, cast(row_number() over (partition by query_id order by distance, vec_id nulls last) as integer) as rank, vec_id, distance
+from pairs qualify row_number() over (partition by query_id order by distance, vec_id nulls last) <= 10
+"""
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_rules": OP3_SQL}
+    return {"op3_url_rules": OP3_SQL, "op10_hamming": OP10_SQL}
