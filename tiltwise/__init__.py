@@ -1,0 +1 @@
+"""Estimate a classifier's performance on data of which only feature means are known, with Spark DataFrames."""

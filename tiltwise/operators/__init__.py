@@ -1,0 +1 @@
+"""Operators over DataFrames: transforms, profiles, diagnostics, measures, sampling and weight optimizers."""
