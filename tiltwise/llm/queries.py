@@ -15,6 +15,7 @@ from .lines import dedup_lines
 from .minhash import near_duplicates
 from .mixing import mix_documents
 from .quality import score_documents
+from .repeats import remove_repeats
 from .urlrules import Rule, judge_urls, rules_frame
 
 URL_RULES = [Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/")]
@@ -50,6 +51,11 @@ def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -66,7 +72,7 @@ def op10_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_decontaminate, op2_minhash, op3_url_rules, op4_quality, op5_html, op6_mix, op8_licenses, op9_lines, op10_hamming)
+    found = (op1_decontaminate, op2_minhash, op3_url_rules, op4_quality, op5_html, op6_mix, op7_repeats, op8_licenses, op9_lines, op10_hamming)
     return {f.__name__: f for f in found}
 
 
