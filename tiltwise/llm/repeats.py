@@ -236,7 +236,8 @@ def remove_repeats(docs: DataFrame, depth: int = 100, hot: int = 64, bucket_byte
         raise ValueError("depth must be at least 70")
     width = depth - ANCHOR + 1
     half = (depth - ANCHOR) // 2
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LONG_MAX)).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # Only computed columns, so that both uses of the texts below have the same plan and share one exchange.
+    picked = docs.select(F.col(id_col).isNull().alias("none"), F.coalesce(F.col(id_col).cast("long"), F.lit(LONG_MAX)).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     picked = picked.withColumn("tie", F.xxhash64("text"))
     total = picked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(8, -(-total // bucket_bytes))
@@ -382,7 +383,7 @@ def remove_repeats(docs: DataFrame, depth: int = 100, hot: int = 64, bucket_byte
     def cut(texts: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         known = by_document(rows)
         out = []
-        for d, k, tie, t in zip(texts["doc_id"], texts["key"], texts["tie"], texts["text"], strict=True):
+        for none, k, tie, t in zip(texts["none"], texts["key"], texts["tie"], texts["text"], strict=True):
             raw = t.encode("utf-8", "surrogatepass")
             starts = ends = np.zeros(0, dtype=np.int64)
             place, kind = known.get((int(k), int(tie)), (None, None))
@@ -397,7 +398,7 @@ def remove_repeats(docs: DataFrame, depth: int = 100, hot: int = 64, bucket_byte
                 gone = np.concatenate(([False], np.cumsum(marks)[:-1] > 0, [False]))
                 starts, ends = np.flatnonzero(gone[1:] & ~gone[:-1]), np.flatnonzero(gone[:-1] & ~gone[1:])
             left = b"".join(raw[a:b] for a, b in zip(np.concatenate(([0], ends)).tolist(), np.concatenate((starts, [len(raw)])).tolist(), strict=True))
-            out.append((None if pd.isna(d) else int(d), len(raw), len(raw) - len(left), len(starts), starts.tolist(), ends.tolist(), hashlib.sha256(left).hexdigest(), left if keep_text else None))
+            out.append((None if none else int(k), len(raw), len(raw) - len(left), len(starts), starts.tolist(), ends.tolist(), hashlib.sha256(left).hexdigest(), left if keep_text else None))
         frame = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "starts", "ends", "kept_sha256", "kept"])
         return frame.astype({"doc_id": "Int64"})
 
@@ -405,8 +406,7 @@ def remove_repeats(docs: DataFrame, depth: int = 100, hot: int = 64, bucket_byte
     picked = picked.withColumn("home", F.pmod(F.xxhash64("key", "tie"), F.lit(n)).cast("long"))
     near = picked.select("key", "tie", "home", "text").mapInPandas(first_pass, messages)
     found = materialise(near.groupBy("bucket").applyInPandas(second_pass, messages), "flags").select("bucket", "kind", "blob")
-    # Both uses of the texts share one exchange.
-    texts = picked.select("home", "doc_id", "key", "tie", "text").groupBy("home")
+    texts = picked.select("home", "none", "key", "tie", "text").groupBy("home")
     found = found.withColumn("home", F.col("bucket"))
     windows = texts.cogroup(found.groupBy("home")).applyInPandas(third_pass, messages)
     more = windows.groupBy("bucket").applyInPandas(fourth_pass, messages).withColumn("home", F.col("bucket"))
