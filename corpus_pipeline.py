@@ -14,14 +14,13 @@ from tiltwise.llm.decontaminate import find_overlaps
 from tiltwise.llm.lines import dedup_lines
 from tiltwise.llm.minhash import near_duplicates
 from tiltwise.llm.mixing import mix_documents
-from tiltwise.llm.quality import score_documents
+from tiltwise.llm.quality import keep_quality
 from tiltwise.llm.queries import WEIGHTS, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the classifier rejects (a score below 0.3)."""
-    rejected = score_documents(docs, table(spark, sf_dir, "labels")).where("predicted = 0").select("doc_id")
-    return docs.join(materialise(rejected.distinct(), "rejected"), "doc_id", "left_anti").select(*docs.columns)
+    return keep_quality(docs, table(spark, sf_dir, "labels"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,13 +32,13 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each class of near-duplicates."""
     dropped = near_duplicates(docs).where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(materialise(dropped, "dropped"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(materialise(dropped, "dropped").hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that overlap with an item of the benchmark."""
     found = find_overlaps(docs, table(spark, sf_dir, "benchmark")).select("doc_id").where("doc_id is not null").distinct()
-    return docs.join(materialise(found, "leaks"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(materialise(found, "leaks").hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

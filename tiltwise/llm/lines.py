@@ -14,6 +14,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,9 +47,9 @@ def dedup_lines(docs: DataFrame, min_lines: int = 2, bits: int = 1, id_col: str
     Chunks have ``min_lines`` lines or more that are not blank, and about ``2 ** bits`` more.  Documents are in the order
     of their ids, null last; rows that share an id are one document to each other and cut nothing from one another.
     Within a document the first of equal chunks stays.  No row is dropped: a text all of which occurs before becomes empty,
-    a null text stays null.  Other columns pass through, whatever their names.
+    a null text stays null.  Other columns pass through, but for earlier ones of the two names.
     """
-    names = docs.columns
+    names = [c for c in docs.columns if c not in ("n_lines", "n_removed") or c in (id_col, text_col)]
     inner = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
     key, text = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
     inner = inner.withColumn("order", F.coalesce(F.col(key).cast("long"), F.lit(LONG_MAX)))
@@ -78,12 +79,13 @@ def dedup_lines(docs: DataFrame, min_lines: int = 2, bits: int = 1, id_col: str
     compared = joined.mapInPandas(contents, "h long, chunk string").groupBy("h", "chunk").count().groupBy("h").agg(F.count("*").alias("contents"))
     differing = {r[0] for r in materialise(compared.where("contents > 1").select("h"), "differing").limit(100_000).collect()}  # equal 64-bit hashes of different bytes: almost always none
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            at = {n: i for i, n in enumerate(b.schema.names)}
             texts, n_lines, n_removed = [], [], []
-            for t, d, hs, firsts in zip(b[text], b["order"], b["hs"], b["firsts"], strict=True):
+            for t, d, hs, firsts in zip(*(b.column(at[c]).to_pylist() for c in (text, "order", "hs", "firsts")), strict=True):
                 lines = 0 if t is None else t.count("\n") + 1
-                kept = t
+                kept, left = t, lines
                 if hs is not None and t is not None:
                     first = {h: f for h, f in zip(hs, firsts, strict=True) if h not in differing}
                     seen, out = set(), []
@@ -92,16 +94,14 @@ def dedup_lines(docs: DataFrame, min_lines: int = 2, bits: int = 1, id_col: str
                             continue
                         seen.add(h)
                         out += chunk
-                    kept = "\n".join(out)
-                    n_removed.append(lines - len(out))
-                else:
-                    n_removed.append(0)
+                    kept, left = "\n".join(out), len(out)
                 texts.append(kept)
                 n_lines.append(lines)
-            b[text] = pd.Series(texts, dtype=object, index=b.index)
-            b["n_lines"], b["n_removed"] = n_lines, n_removed
-            yield b[[c for c in b.columns if c not in ("order", "hs", "firsts")]]
+                n_removed.append(lines - left)
+            fixed = {text: pa.array(texts, b.schema.field(at[text]).type)}
+            columns = {n: fixed.get(n, b.column(i)) for n, i in at.items() if n not in ("order", "hs", "firsts")}
+            yield pa.RecordBatch.from_pydict(columns | {"n_lines": pa.array(n_lines, pa.int64()), "n_removed": pa.array(n_removed, pa.int64())})
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in inner.schema if f.name != "order")
-    out = joined.mapInPandas(cut, schema + ", n_lines long, n_removed long")
+    out = joined.mapInArrow(cut, schema + ", n_lines long, n_removed long")
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], F.col("n_lines").alias("n_lines"), F.col("n_removed").alias("n_removed"))

@@ -119,7 +119,7 @@ def near_duplicates(
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     base = materialise(picked.mapInPandas(first, "doc_id long, digest binary, keys array<long>"), "signatures")
     # One node for each different text.
-    nodes = base.groupBy("digest").agg(F.min("doc_id").alias("rep")).withColumn("node", F.monotonically_increasing_id())
+    nodes = base.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id())
     nodes = materialise(nodes, "nodes")
     marked = base.join(nodes, "digest").where(base["doc_id"].eqNullSafe(F.col("rep"))).select("node", "keys")
     entries = materialise(marked.select("node", F.explode("keys").alias("key")).distinct(), "entries")
@@ -159,10 +159,9 @@ def near_duplicates(
         if turn and linked.isEmpty():
             break
         labels = components(links)
-    if labels is None:
-        rooted = nodes.select("digest", F.col("node").alias("root"), "rep")
-    else:
-        rooted = nodes.join(labels, "node", "left").select("digest", F.coalesce("root", "node").alias("root"), "rep")
-    listed = base.select("doc_id", "digest").join(rooted, "digest")
-    classes = listed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    return listed.join(classes, "root").select("doc_id", "class_id", "class_size")
+    rooted = nodes.withColumn("root", F.col("node")) if labels is None else nodes.join(labels.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # Classes are summed over different texts, and stored, so that the join with a large class can be split.
+    rooted = materialise(rooted.select("digest", "root", "rep", "n"), "rooted")
+    classes = materialise(rooted.groupBy("root").agg(F.min("rep").alias("class_id"), F.sum("n").alias("class_size")), "classes")
+    named = rooted.select("digest", "root").join(classes.hint("merge"), "root").select("digest", "class_id", "class_size")
+    return base.select("doc_id", "digest").join(named.hint("merge"), "digest").select("doc_id", "class_id", "class_size")

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -150,6 +151,27 @@ def fit(train: DataFrame, n_features: int = 320, ridge: float = 1e-3, width: flo
     return model
 
 
+@dataclass
+class Scorer:
+    """A model, or the share of 1 among the labels where there is nothing to fit."""
+
+    model: QualityModel | None
+    plain: float
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        return self.model.score(x) if self.model else np.full(len(x), self.plain)
+
+
+def train(stats: DataFrame, labels: DataFrame, **fit_options) -> Scorer:
+    """Fit on the rows of ``stats`` (``doc_id, x``) that have a label and whose crc32 of the id is not 0 modulo 5."""
+    labels = labels.where("quality in (0, 1)").groupBy(F.col("doc_id").alias("doc_id")).agg(F.min("quality").cast("int").alias("y"))
+    labels = labels.withColumn("fold", fold(F.col("doc_id"))).where("fold <> 0").withColumn("part", F.col("fold") - 1)
+    rows = materialise(stats.join(labels, "doc_id").select("x", "y", "part"), "train")
+    model = fit(rows, **fit_options)
+    share = rows.agg(F.avg("y")).first()[0] if model is None else None
+    return Scorer(model, 1.0 if share is None else share)
+
+
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", **fit_options) -> DataFrame:
     """Return ``doc_id, held_out, score, predicted`` for every row of ``docs``.
 
@@ -159,17 +181,29 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
     among the labels (1 without labels).  Rows that repeat get the same score; extra columns are ignored.
     """
     stats = materialise(document_statistics(docs, id_col, text_col), "statistics")
-    labels = labels.where("quality in (0, 1)").groupBy(F.col("doc_id").alias("doc_id")).agg(F.min("quality").cast("int").alias("y"))
-    labels = labels.withColumn("fold", fold(F.col("doc_id"))).where("fold <> 0").withColumn("part", F.col("fold") - 1)
-    train = materialise(stats.join(labels, "doc_id").select("x", "y", "part"), "train")
-    model = fit(train, **fit_options)
-    plain = train.agg(F.avg("y")).first()[0] if model is None else None
+    scorer = train(stats, labels, **fit_options)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                score = model.score(np.stack(b["x"])) if model else np.full(len(b), 1.0 if plain is None else plain)
-                yield pd.DataFrame({"doc_id": b["doc_id"], "score": score})
+                yield pd.DataFrame({"doc_id": b["doc_id"], "score": scorer.score(np.stack(b["x"]))})
 
     scored = stats.mapInPandas(run, "doc_id long, score double")
     return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", **fit_options) -> DataFrame:
+    """The rows of ``docs`` whose score is ``threshold`` or more, as they are.
+
+    The model is trained as in ``score_documents``.  Texts are scored where they are read, a second time, so that they need not
+    be shuffled.
+    """
+    scorer = train(materialise(document_statistics(docs, id_col, text_col), "statistics"), labels, **fit_options)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = np.array([statistics_of(t) for t in b.column(b.schema.get_field_index(text_col)).to_pylist()])
+                yield b.filter(pa.array(scorer.score(x) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
