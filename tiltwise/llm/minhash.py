@@ -135,7 +135,7 @@ def near_duplicates(
     wanted = members.select("node").distinct().join(nodes, "node").select("node", "digest", F.col("rep").alias("doc_id"))
     # A text comes once, by the smallest id that has it; the digest guards against ids that are not unique.
     digest = F.pandas_udf(lambda s: s.map(_digest), "binary")
-    texts = picked.join(wanted, "doc_id").where(digest("text") == F.col("digest")).select("node", "text")
+    texts = picked.join(wanted.hint("merge"), "doc_id").where(digest("text") == F.col("digest")).select("node", "text")
     cells = materialise(texts.mapInPandas(sets_of, "node long, cells array<long>"), "cells")
 
     compared = links = labels = None
