@@ -62,8 +62,8 @@ def test_repeats_equal_brute_force(spark, options):
 
 def test_repeats_spans_and_long_text(spark):
     rng = random.Random(1)
-    long = "".join(rng.choice("abcdefgh") for _ in range(5_000_000))  # more than one piece
-    rows = [(1, long), (2, "start " + long[4_194_200:4_194_600] + " end")]
+    long = "".join(rng.choice("abcdefgh") for _ in range(3_000_000))  # more than one piece
+    rows = [(1, long), (2, "start " + long[1_048_400:1_048_800] + " end")]
     got = {r.doc_id: r for r in remove_repeats(documents(spark, rows)).collect()}
     assert got[1].n_removed == 0
     assert [(s.starts, s.ends) for s in got[2].spans] == [(6, 406)]

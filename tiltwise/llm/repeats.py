@@ -34,7 +34,7 @@ BASE = 0x9E3779B97F4A7C15
 SECOND = 0xC2B2AE3D27D4EB4F
 COVERED, LEFT, RIGHT, BOTH, WINDOW = 1, 2, 3, 4, 5
 ANCHORS, FLAGS = 0, 1
-PIECE = 1 << 22  # bytes of text that are worked on at once
+PIECE = 1 << 20  # bytes of text that are worked on at once; a worker holds some 150 bytes for each
 
 
 @lru_cache(maxsize=4)
