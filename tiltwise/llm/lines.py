@@ -62,8 +62,9 @@ def dedup_lines(docs: DataFrame, min_lines: int = 2, bits: int = 1, id_col: str
     at = materialise(inner.select("order", F.col(text).alias("text")).mapInPandas(hashes, "h long, order long, n long"), "chunks")
     repeated = at.groupBy("h").agg(F.min("order").alias("first"), F.max("order").alias("last"), F.sum("n").alias("n")).where("n > 1")
     repeated = materialise(repeated.where("last > first").select("h", "first").union(at.where("n > 1").join(repeated.where("last = first").hint("merge"), "h", "left_semi").select("h", F.col("order").alias("first"))).distinct(), "repeated")
-    wanted = at.join(repeated.hint("merge"), "h").select("order", "h", "first").distinct().groupBy("order").agg(F.collect_list("h").alias("hs"), F.collect_list("first").alias("firsts"))
-    wanted = materialise(wanted, "wanted").select(F.col("order").alias("_order"), "hs", "firsts")
+    # A set for each document rather than a distinct of all rows: nothing then stands in the way of splitting a hot hash.
+    wanted = at.join(repeated.hint("merge"), "h").groupBy("order").agg(F.collect_set(F.struct("h", "first")).alias("found"))
+    wanted = materialise(wanted, "wanted").select(F.col("order").alias("_order"), F.col("found.h").alias("hs"), F.col("found.first").alias("firsts"))
     # Always a merge join: a broadcast would serve small tables only, and texts move in the same way at every size.
     joined = inner.join(wanted.hint("merge"), inner["order"] == wanted["_order"], "left").drop("_order")
 
