@@ -66,7 +66,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """Hash of each word, remembered; forgotten when the memory would exceed ``limit`` words."""
 
-    def __init__(self, key=None, limit: int = 1_000_000):
+    def __init__(self, key=None, limit: int = 100_000):
         super().__init__()
         self.key, self.limit = key, limit
 

@@ -18,8 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, WordHashes, materialise, mix64
@@ -76,8 +75,8 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _digest(text: str | None) -> bytes:
-    return xxhash.xxh3_128_digest((text or "").encode("utf-8", "surrogatepass"))
+def _digest(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
 def near_duplicates(
@@ -105,7 +104,7 @@ def near_duplicates(
             texts, start = list(b["text"]), 0
             while start < len(texts):
                 sets, stop = [], start
-                while stop < len(texts) and sum(map(len, sets)) < 150_000 and stop - start < 512:
+                while stop < len(texts) and sum(map(len, sets)) < 80_000 and stop - start < 512:
                     sets.append(elements_of(texts[stop], words, shingle))
                     stop += 1
                 keys: list = [[] for _ in sets]
@@ -113,11 +112,11 @@ def near_duplicates(
                 if full:
                     for i, row in zip(full, band_keys(signatures([sets[i] for i in full], bands * rows), bands, rows), strict=True):
                         keys[i] = row
-                yield pd.DataFrame({"doc_id": b["doc_id"].iloc[start:stop].to_numpy(), "digest": [_digest(t) for t in texts[start:stop]], "keys": keys})
+                yield pd.DataFrame({"doc_id": b["doc_id"].iloc[start:stop].to_numpy(), "digest": b["digest"].iloc[start:stop].to_numpy(), "keys": keys})
                 start = stop
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    base = materialise(picked.mapInPandas(first, "doc_id long, digest binary, keys array<long>"), "signatures")
+    base = materialise(picked.withColumn("digest", _digest(F.col("text"))).mapInPandas(first, "doc_id long, digest binary, keys array<long>"), "signatures")
     # One node for each different text.
     nodes = base.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id())
     nodes = materialise(nodes, "nodes")
@@ -134,8 +133,7 @@ def near_duplicates(
 
     wanted = members.select("node").distinct().join(nodes, "node").select("node", "digest", F.col("rep").alias("doc_id"))
     # A text comes once, by the smallest id that has it; the digest guards against ids that are not unique.
-    digest = F.pandas_udf(lambda s: s.map(_digest), "binary")
-    texts = picked.join(wanted.hint("merge"), "doc_id").where(digest("text") == F.col("digest")).select("node", "text")
+    texts = picked.join(wanted.hint("merge"), "doc_id").where(_digest(F.col("text")) == F.col("digest")).select("node", "text")
     cells = materialise(texts.mapInPandas(sets_of, "node long, cells array<long>"), "cells")
 
     compared = links = labels = None
