@@ -11,7 +11,7 @@ from tiltwise.operators import distributed, local, sampling
 from tiltwise.operators.measures import auroc, max_smd, measures, smd, smd_sets
 from tiltwise.operators.optimizers import AdamSoftmax, ConvexOptimizer, DualSGD, ExponentiatedGradient, ReweightSettings, TunedExponentiatedGradient, reweight_by_means, solve_entropy, standardise
 from tiltwise.operators.profile import profile
-from tiltwise.operators.summary import block_means, summarise, top_features, union_sections
+from tiltwise.operators.summary import block_means, log_frame, summarise, top_features, union_sections
 from tiltwise.operators.transform import fit_transform, normalise
 from tiltwise.sources.simulate import high_dimensional, anchor_data, sample_published, sample_published_outcomes
 from tiltwise.sources.tables import means_frame, read_csv, read_means, results_table, write_csv
@@ -126,6 +126,7 @@ def test_sgd_and_adam_come_near():
     z, mu = problem(9, 2000, 3, binary=True)
     r = DualSGD(batch=500, n_iter=3000, improve_th=1e-3).optimize(z, mu)
     assert r.status == "Success" and np.abs(r.weights @ z / len(z) - mu).max() < 0.1
+    assert DualSGD(batch=500, n_iter=3000, improve_th=1e-3, schedule="exponential").optimize(z, mu).status == "Success"
     a = AdamSoftmax(n_iter=1000, max_success_mse=1e-3).optimize(z, mu)
     assert a.status == "Success"
 
@@ -267,6 +268,9 @@ def test_summary(spark):
     assert union_sections({"x": spark.createDataFrame([("f", 1.0)], "field string, value double")}).columns == ["section", "field", "value_num", "value_str"]
     log = spark.createDataFrame([(i, float(i)) for i in range(1, 7)], "iter int, err double")
     assert [r.err for r in block_means(log, 3).orderBy("block").collect()] == [2.0, 5.0]
+    z, mu = problem()
+    r = TunedExponentiatedGradient().optimize(z, mu)
+    assert log_frame(spark, r.log).columns == ["iter", "primal_objective", "kl", "max_abs_err"] and log_frame(spark, r.log).count() == len(r.log)
     coefficients = spark.createDataFrame([("a", 0.1), ("b", -3.0), ("c", 2.0)], "feature string, coefficient double")
     assert [r.feature for r in top_features(coefficients, 2).collect()] == ["b", "c"]
 
@@ -282,6 +286,21 @@ def test_tables_in_and_out(spark, tmp_path):
     assert sorted(tuple(r) for r in results_table({"one": one, "two": two}).collect()) == [("x", 1.0, None), ("y", None, 2.0)]
 
 
+def test_models(spark, tmp_path):
+    from pyspark.ml.classification import DecisionTreeClassificationModel
+
+    from tiltwise.operators import models
+
+    df = spark.range(400).select((F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 3).cast("double").alias("b"), (F.col("id") % 7 > 3).cast("int").alias("Y"), F.lit(1.0).alias("w"))
+    fitted = [models.logistic(df, "Y", ["a", "b"], "w"), models.tree(df, "Y", ["a", "b"], "w"), models.boosted(df, "Y", ["a", "b"], "w", trials=1, folds=2), models.network(df, "Y", ["a", "b"], hidden=4)]
+    for m in fitted:
+        assert models.auc(m, df, "Y") > 0.9 and m.predict(df).columns == ["a", "b", "Y", "w", "p"]
+    assert fitted[1].important(spark, 1).first().feature == "a"
+    fitted[1].save(str(tmp_path / "tree"))
+    again = models.load_model(DecisionTreeClassificationModel, str(tmp_path / "tree"), ["a", "b"])
+    assert again.predict(df).exceptAll(fitted[1].predict(df)).count() == 0
+
+
 def test_simulators(spark):
     data = anchor_data(spark, 300, high_dimensional(20, -1.0, 15), seed=2)
     d = data["internalTest"]

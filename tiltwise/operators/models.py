@@ -42,6 +42,16 @@ class FittedModel:
         return top_features(spark.createDataFrame(rows, "feature string, coefficient double"), top)
 
 
+    def save(self, path: str) -> None:
+        """Write the inner model; ``load_model`` reads it with the features' names."""
+        getattr(self.model, "bestModel", self.model).write().overwrite().save(path)
+
+
+def load_model(model_class, path: str, features: list[str]) -> FittedModel:
+    """Read a saved model of a class such as ``LogisticRegressionModel``."""
+    return FittedModel(model_class.load(path), features)
+
+
 def _fit(estimator, df: DataFrame, outcome: str, features: list[str], weight: str | None) -> FittedModel:
     shell = FittedModel(None, features)
     data = shell._assembled(df.withColumn("_label", col(outcome).cast("double")))

@@ -328,7 +328,9 @@ class DualSGD:
     n_iter: int = 1000
     batch: int = 20000
     momentum: float = 0.9
+    schedule: str = "polynomial"  # or "exponential"
     poly_beta: float = 1.0
+    decay: float = 0.001
     max_abs_nu: float = 16.0
     max_norm: float = 10.0
     improve_th: float = 1e-4
@@ -342,6 +344,9 @@ class DualSGD:
     def with_initial(self, result: WeightResult) -> DualSGD:
         return replace(self, nu0=result.nu)
 
+    def rate(self, epsilon: float, i: int) -> float:
+        return epsilon * (np.exp(-self.decay * i) if self.schedule == "exponential" else (self.poly_beta * i + 1) ** -0.5)
+
     def _run(self, z: np.ndarray, mu: np.ndarray, rows: np.ndarray, epsilon: float, n_iter: int, rng: np.random.Generator) -> tuple[np.ndarray, list[tuple], bool]:
         m, batch = z.shape[1], min(self.batch, len(rows))
         per_epoch = max(1, len(rows) // batch)
@@ -365,7 +370,7 @@ class DualSGD:
                 return nu, log, False
             w = np.exp(t - top) / total
             rest = zi.T @ w - mu
-            velocity = self.momentum * velocity + epsilon / np.sqrt(self.poly_beta * i + 1) * rest
+            velocity = self.momentum * velocity + self.rate(epsilon, i) * rest
             log.append((float(mu @ nu + additive + 1), float(rest @ rest), float(norm), float(np.abs(rest).max())))
             if log[-1][1] < self.improve_th:
                 break

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -27,6 +27,17 @@ def summary_fields(reps: DataFrame) -> DataFrame:
     return means.unionByName(long)
 
 
+#: Columns of the optimizers' logs, by their number.
+LOG_COLUMNS = {3: ("primal_objective", "kl", "max_abs_err"), 4: ("dual_objective", "primal_objective", "norm", "max_abs_err")}
+
+
+def log_frame(spark: SparkSession, log: list[tuple]) -> DataFrame:
+    """An optimizer's log as a table with ``iter`` from 1."""
+    names = LOG_COLUMNS[len(log[0]) if log else 3]
+    rows = [(i, *(None if v is None else float(v) for v in row)) for i, row in enumerate(log, 1)]
+    return spark.createDataFrame(rows, "iter int, " + ", ".join(f"{n} double" for n in names))
+
+
 def block_means(log: DataFrame, size: int, iteration: str = "iter") -> DataFrame:
     """Means of an optimizer's log over blocks of ``size`` iterations."""
     values = [c for c in log.columns if c != iteration]
