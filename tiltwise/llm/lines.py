@@ -62,11 +62,14 @@ def dedup_lines(docs: DataFrame, min_lines: int = 2, bits: int = 1, id_col: str
     at = materialise(inner.select("order", F.col(text).alias("text")).mapInPandas(hashes, "h long, order long, n long"), "chunks")
     repeated = at.groupBy("h").agg(F.min("order").alias("first"), F.max("order").alias("last"), F.sum("n").alias("n")).where("n > 1")
     repeated = materialise(repeated.where("last > first").select("h", "first").union(at.where("n > 1").join(repeated.where("last = first").hint("merge"), "h", "left_semi").select("h", F.col("order").alias("first"))).distinct(), "repeated")
-    # A set for each document rather than a distinct of all rows: nothing then stands in the way of splitting a hot hash.
-    wanted = at.join(repeated.hint("merge"), "h").groupBy("order").agg(F.collect_set(F.struct("h", "first")).alias("found"))
-    wanted = materialise(wanted, "wanted").select(F.col("order").alias("_order"), F.col("found.h").alias("hs"), F.col("found.first").alias("firsts"))
-    # Always a merge join: a broadcast would serve small tables only, and texts move in the same way at every size.
-    joined = inner.join(wanted.hint("merge"), inner["order"] == wanted["_order"], "left").drop("_order")
+    def by_document(hashes: DataFrame) -> DataFrame:
+        # A set for each document rather than a distinct of all rows: nothing then stands in the way of splitting a hot hash.
+        found = at.join(hashes.hint("merge"), "h").groupBy("order").agg(F.collect_set(F.struct("h", "first")).alias("found"))
+        found = materialise(found, "wanted").select(F.col("order").alias("_order"), F.col("found.h").alias("hs"), F.col("found.first").alias("firsts"))
+        # Always a merge join: a broadcast would serve small tables only, and texts move in the same way at every size.
+        return inner.join(found.hint("merge"), inner["order"] == found["_order"], "left").drop("_order")
+
+    joined = by_document(repeated)
 
     def contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -78,7 +81,9 @@ def dedup_lines(docs: DataFrame, min_lines: int = 2, bits: int = 1, id_col: str
             yield pd.DataFrame(sorted(rows), columns=["h", "chunk"])
 
     compared = joined.mapInPandas(contents, "h long, chunk string").groupBy("h", "chunk").count().groupBy("h").agg(F.count("*").alias("contents"))
-    differing = {r[0] for r in materialise(compared.where("contents > 1").select("h"), "differing").limit(100_000).collect()}  # equal 64-bit hashes of different bytes: almost always none
+    differing = materialise(compared.where("contents > 1").select("h"), "differing")
+    if not differing.isEmpty():  # equal 64-bit hashes of different bytes: almost never
+        joined = by_document(repeated.join(differing, "h", "left_anti"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -88,7 +93,7 @@ def dedup_lines(docs: DataFrame, min_lines: int = 2, bits: int = 1, id_col: str
                 lines = 0 if t is None else t.count("\n") + 1
                 kept, left = t, lines
                 if hs is not None and t is not None:
-                    first = {h: f for h, f in zip(hs, firsts, strict=True) if h not in differing}
+                    first = dict(zip(hs, firsts, strict=True))
                     seen, out = set(), []
                     for h, chunk in chunks_of(t, min_lines, bits):
                         if h in first and (first[h] < d or h in seen):
