@@ -47,9 +47,14 @@ def seeds_of(tokens: np.ndarray, mask: tuple[int, ...], salt: int) -> np.ndarray
 
 
 class Seeds:
-    """The seeds of a block of benchmark items, sorted, behind a table of bits."""
+    """The seeds of a block of benchmark items, sorted, behind a table of bits.  ``parts`` is what is sent to executors."""
 
-    def __init__(self, items: list[tuple[int, str]], masks: tuple[tuple[int, ...], ...]):
+    def __init__(self, parts: dict):
+        self.__dict__.update(parts)
+
+    @classmethod
+    def of(cls, items: list[tuple[int, str]], masks: tuple[tuple[int, ...], ...]) -> dict:
+        self = cls({})
         words = WordHashes(normal_word)
         self.masks, self.ids, self.tokens = masks, [i for i, _ in items], [tokens_of(t, words) for _, t in items]
         parts = [(seeds_of(t, m, k), n) for n, t in enumerate(self.tokens) for k, m in enumerate(masks)]
@@ -61,6 +66,7 @@ class Seeds:
         self.shift = 64 - max(16, min(28, int(np.ceil(np.log2(len(seed) + 1))) + 4))
         self.bits = np.zeros(1 << (64 - self.shift), dtype=bool)
         self.bits[(self.seed >> U64(self.shift)).astype(np.int64)] = True
+        return self.__dict__
 
     def hits(self, tokens: np.ndarray) -> set[tuple[int, int]]:
         """Items with the offset of their first token in ``tokens``."""
@@ -109,10 +115,10 @@ def find_overlaps(
     out = None
     for block in range(n_blocks):
         rows = blocked.where(F.col("block") == block).select("id", "text").collect()  # about block_chars characters
-        sent = docs.sparkSession.sparkContext.broadcast(Seeds([(r["id"], r["text"]) for r in rows], masks))
+        sent = docs.sparkSession.sparkContext.broadcast(Seeds.of([(r["id"], r["text"]) for r in rows], masks))
 
         def scan(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            words, seeds = WordHashes(normal_word), sent.value
+            words, seeds = WordHashes(normal_word), Seeds(sent.value)
             for b in batches:
                 found = []
                 for d, text in zip(b["doc_id"], b["text"], strict=True):

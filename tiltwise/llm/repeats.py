@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -37,9 +36,15 @@ ANCHORS, FLAGS = 0, 1
 PIECE = 1 << 20  # bytes of text that are worked on at once; a worker holds some 150 bytes for each
 
 
-@lru_cache(maxsize=4)
+_POWERS: dict[tuple[int, int], np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.ones(n, dtype=U64)
+    if (base, n) in _POWERS:
+        return _POWERS[base, n]
+    if len(_POWERS) >= 4:
+        _POWERS.clear()
+    out = _POWERS[base, n] = np.ones(n, dtype=U64)
     done = 1
     while done < n:
         more = min(done, n - done)
