@@ -119,6 +119,26 @@ def test_near_duplicates_equal_brute_force(spark):
     assert {(r.doc_id, r.class_id, r.class_size) for r in got} == brute_classes(rows)
 
 
+def test_near_duplicates_find_links_to_one_member_only(spark):
+    """Copies that are near to one document of their group and to no other, whatever the order of ids."""
+    rng = random.Random(8)
+    rows = []
+    for g in range(6):
+        words = prose(rng, 230).split()
+        group = [words]
+        for _ in range(9):
+            copy = list(words)
+            for at in rng.sample(range(0, 225, 5), 5):  # about 25 of 226 shingles change, so copies are below 0.8 to each other
+                copy[at] = f"edit{rng.randrange(10**6)}"
+            group.append(copy)
+        order = list(range(10))
+        rng.shuffle(order)
+        rows += [(g * 10 + i, " ".join(group[j])) for i, j in enumerate(order)]
+    got = near_duplicates(documents(spark, rows)).collect()
+    assert {(r.doc_id, r.class_id, r.class_size) for r in got} == brute_classes(rows)
+    assert {r.class_size for r in got} == {10}
+
+
 def test_near_duplicates_keep_repeated_rows_and_null_ids(spark):
     rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (None, "a b c d e f g"), (None, "other words"), (2, "x")]
     got = sorted(((r.doc_id, r.class_id, r.class_size) for r in near_duplicates(documents(spark, rows)).collect()), key=str)

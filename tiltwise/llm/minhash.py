@@ -7,8 +7,10 @@ documents share it with probability equal to their weighted Jaccard similarity.
 coordinates, whatever the size of the set.
 
 Bands of ``rows`` coordinates are joined.  In each bucket, members are compared with one pivot rather than all with all;
-links are verified on the whole sets, and connected components are taken.  Buckets whose members are still in several
-components are compared again with other pivots, until a round finds nothing.
+links are verified on the whole sets, and connected components are taken.  Where members of a bucket are still in several
+components, members of the smaller ones are the next pivots, twice as many in each round, until no bucket has two members in
+different components that have not been compared.  So no link that shares a band is lost, and the members of a large group
+that is linked already are never compared with each other.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U64, WordHashes, materialise, mix64
@@ -79,6 +81,18 @@ def _digest(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
+def _pivots(placed: DataFrame, n: int) -> DataFrame:
+    """``key, pivot, pivot_root``: about ``n`` members of each bucket that lies in several components, from the smallest of them."""
+    parts = placed.groupBy("key", "root").agg(F.count("*").alias("size"))
+    rising = Window.partitionBy("key").orderBy("size", "root")
+    parts = parts.withColumn("place", F.row_number().over(rising)).withColumn("parts", F.count("*").over(Window.partitionBy("key")))
+    parts = parts.withColumn("before", F.sum("size").over(rising.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size"))
+    chosen = parts.where((F.col("place") < F.col("parts")) & (F.col("before") < n)).select("key", "root", "place")
+    order = Window.partitionBy("key").orderBy("place", "node")
+    ranked = placed.join(chosen.hint("merge"), ["key", "root"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    return ranked.select("key", F.col("node").alias("pivot"), F.col("root").alias("pivot_root"))
+
+
 def near_duplicates(
     docs: DataFrame,
     similarity: float = SIMILARITY,
@@ -87,7 +101,6 @@ def near_duplicates(
     rows: int = ROWS,
     id_col: str = "doc_id",
     text_col: str = "text",
-    max_rounds: int = 6,
 ) -> DataFrame:
     """Return ``doc_id, class_id, class_size``: one row for each row of ``docs``.
 
@@ -123,7 +136,7 @@ def near_duplicates(
     marked = base.join(nodes, "digest").where(base["doc_id"].eqNullSafe(F.col("rep"))).select("node", "keys")
     entries = materialise(marked.select("node", F.explode("keys").alias("key")).distinct(), "entries")
     shared = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members = materialise(entries.join(shared, "key"), "members")
+    members = materialise(entries.join(shared.hint("merge"), "key"), "members")
 
     def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = WordHashes()
@@ -136,27 +149,34 @@ def near_duplicates(
     texts = picked.join(wanted.hint("merge"), "doc_id").where(_digest(F.col("text")) == F.col("digest")).select("node", "text")
     cells = materialise(texts.mapInPandas(sets_of, "node long, cells array<long>"), "cells")
 
+    one, two = cells.select(F.col("node").alias("a"), F.col("cells").alias("x")), cells.select(F.col("node").alias("b"), F.col("cells").alias("y"))
     compared = links = labels = None
-    for turn in range(max_rounds):
-        pivot = F.min(F.struct((F.xxhash64(F.lit(turn), "node") if turn else F.col("node")).alias("place"), F.col("node"), F.col("root")))
-        placed = members.withColumn("root", F.col("node")) if labels is None else members.join(labels, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        buckets = placed.groupBy("key").agg(pivot.alias("pivot"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-        pairs = placed.join(buckets, "key").where("root <> pivot.root").select(F.greatest("node", "pivot.node").alias("a"), F.least("node", "pivot.node").alias("b")).distinct()
+    n_pivots = 1
+    while True:
+        if labels is None:
+            placed = members.withColumn("root", F.col("node"))
+            buckets = members.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1")
+            pivots = buckets.select("key", "pivot", F.col("pivot").alias("pivot_root"))
+        else:
+            placed = materialise(members.join(labels.hint("merge"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "placed")
+            pivots = _pivots(placed, n_pivots)
+        pivots = materialise(pivots, "pivots")
+        if pivots.isEmpty():
+            break
+        pairs = placed.join(pivots.hint("merge"), "key").where("root <> pivot_root").select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
         if compared is not None:
-            pairs = pairs.join(compared, ["a", "b"], "left_anti")
+            pairs = pairs.join(compared.hint("merge"), ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs")
-        if pairs.isEmpty():
-            break
-        one, two = cells.select(F.col("node").alias("a"), F.col("cells").alias("x")), cells.select(F.col("node").alias("b"), F.col("cells").alias("y"))
-        near = F.least(F.size("x"), F.size("y")) >= F.lit(similarity) * F.greatest(F.size("x"), F.size("y"))
-        common = F.size(F.array_intersect("x", "y"))
-        checked = pairs.join(one, "a").join(two, "b").where(near).withColumn("common", common)
+        near = F.least(F.size("x"), F.size("y")) >= F.lit(similarity - 1e-12) * F.greatest(F.size("x"), F.size("y"))
+        checked = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").where(near).withColumn("common", F.size(F.array_intersect("x", "y")))
         linked = materialise(checked.where(F.col("common") >= F.lit(similarity - 1e-12) * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b"), "links")
         compared = pairs if compared is None else compared.union(pairs)
         links = linked if links is None else links.union(linked)
-        if turn and linked.isEmpty():
-            break
-        labels = components(links)
+        if labels is None or not linked.isEmpty():
+            labels = components(links)
+        # A pivot has met all members of its bucket that it was not linked with.
+        members = materialise(members.join(pivots.select("key", F.col("pivot").alias("node")).hint("merge"), ["key", "node"], "left_anti"), "members")
+        n_pivots = max(8, 2 * n_pivots)
     rooted = nodes.withColumn("root", F.col("node")) if labels is None else nodes.join(labels.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     # Classes are summed over different texts, and stored, so that the join with a large class can be split.
     rooted = materialise(rooted.select("digest", "root", "rep", "n"), "rooted")
