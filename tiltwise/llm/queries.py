@@ -94,6 +94,62 @@ from split s left join fits f on f.place = 1 and s.page_id is not distinct from
 """
 
 
+#: Seats are dealt by all quotients here, rather than by the few that are undecided.
+OP6_SQL = r"""
+with sizes as (
+    select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
+           ('0x' || substr(md5('mix|' || coalesce(doc_id::varchar, '')), 1, 15))::bigint as draw
+    from documents
+), sources as (
+    select source, sum(size)::bigint as source_size, count(*) as n_docs from sizes group by source
+), weighted as (
+    select *, ([5.0, 2.0, 1.0])[((row_number() over (order by source nulls last) - 1) % 3) + 1]::double as weight from sources
+), levels as (
+    select *, source_size * 2.0::double as cap, source_size * 2.0::double / weight as level from weighted
+), reached as (
+    select *, row_number() over o as place,
+           (sum(source_size) over () * 1.5::double - coalesce(sum(cap) over (o rows between unbounded preceding and 1 preceding), 0))
+           / sum(weight) over (o rows between current row and unbounded following) as reached
+    from levels window o as (order by level, source nulls last)
+), common as (
+    select arg_min(reached, place) filter (level > reached) as common from reached
+), targets as (
+    select source, source_size, n_docs, least(cap, coalesce(common * weight, cap)) as target from reached, common
+), totals as (
+    select round(sum(target) / 32)::bigint as blocks, sum(target) as targets, greatest(16384.0, ceil(sum(source_size + n_docs) / 4096)) as per_shard, count(*) as n from targets
+), quotients as (
+    select source, (k - 0.5) / (target * blocks / targets) as q, k
+    from targets, totals, unnest(generate_series(1, floor(target * blocks / targets)::bigint + n)) as s(k) where target > 0
+), dealt as (
+    select source, count(*) as seats from (select source, row_number() over (order by q, source nulls last, k) as place from quotients), totals where place <= blocks group by source
+), plan as (
+    select t.*, coalesce(d.seats, 0) as seats, greatest(1, ceil((t.source_size + t.n_docs) / per_shard))::bigint as n_shards
+    from targets t cross join totals left join dealt d on t.source is not distinct from d.source
+), placed as (
+    select s.*, p.source_size, p.target, p.seats, p.n_shards, s.draw % p.n_shards as shard, s.draw // p.n_shards as place from sizes s join plan p on s.source is not distinct from p.source
+), shards as (
+    select source, seats, shard, sum(size)::bigint as shard_size, sum(sum(size)) over (partition by source) as own, count(*) over (partition by source) as n from placed group by source, seats, shard
+), shard_quotients as (
+    select source, shard, (k - 0.5) / (shard_size::double * seats / own) as q, k, seats
+    from shards, unnest(generate_series(1, floor(shard_size::double * seats / own)::bigint + n)) as s(k) where shard_size > 0
+), shard_seats as (
+    select source, shard, count(*) as seats from (
+        select *, row_number() over (partition by source order by q, shard, k) as place from shard_quotients) where place <= seats group by source, shard
+), blocks as (
+    select h.source, h.shard, h.shard_size, greatest(1, round(h.shard_size / 32.0))::bigint as n, least(coalesce(d.seats, 0), 2 * greatest(1, round(h.shard_size / 32.0)))::bigint as quota,
+           ('0x' || substr(md5('mix|' || coalesce(h.source, '') || '|' || h.shard::varchar), 1, 15))::bigint as draw
+    from shards h left join shard_seats d on h.source is not distinct from d.source and h.shard = d.shard
+), spans as (
+    select p.*, b.shard_size, b.n, b.quota, b.draw % b.n as first,
+           sum(p.size) over (partition by p.source, p.shard order by p.place, p.doc_id nulls last, p.size rows unbounded preceding)::bigint as stop
+    from placed p join blocks b on p.source is not distinct from b.source and p.shard = b.shard
+)
+select doc_id, size, source_size, target, case when size > 0 then list_sum(list_transform(generate_series((stop - size) * n // shard_size, (stop - 1) * n // shard_size),
+    lambda j: (quota // n + case when (j * 2147483647 + first) % n < quota % n then 1 else 0 end)
+              * greatest(0, least(stop, ((j + 1) * shard_size + n - 1) // n) - greatest(stop - size, (j * shard_size + n - 1) // n))))::bigint else 0 end as taken
+from spans
+"""
+
 #: Components at or below 0 are unset bits, so the distance is the number of components whose signs differ.
 OP10_SQL = """
 with codes as (
@@ -108,4 +164,4 @@ from pairs qualify row_number() over (partition by query_id order by distance, v
 """
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_rules": OP3_SQL, "op10_hamming": OP10_SQL}
+    return {"op3_url_rules": OP3_SQL, "op6_mix": OP6_SQL, "op10_hamming": OP10_SQL}
