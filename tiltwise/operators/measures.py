@@ -61,7 +61,7 @@ def measures(df: DataFrame, y: str = "y", p: str = "p", w: str | None = None, by
         weighted_mean(pc, wc).alias("mean_prediction"), weighted_mean(yc, wc).alias("observed_risk"), weighted_mean(log_likelihood(yc, pc), wc).alias("log_likelihood"),
     )
     area = auroc(df, yc, pc, wc, by)
-    joined = moments.join(area, list(by)) if by else moments.crossJoin(area)  # one row each
+    joined = moments.join(area, list(by)) if by else moments.withColumn("auroc", area.scalar())
     two = (F.col("n_outcome") > 0) & (F.col("n_outcome") < F.col("n"))
     values = ("auroc", "brier", "mean_prediction", "observed_risk", "log_likelihood")
     return joined.select(*by, "n", "n_outcome", *[F.when(two, F.col(v)).alias(v) for v in values])
