@@ -25,7 +25,7 @@ def compress(z: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return z.groupBy(*[col(c) for c in columns]).agg(F.count("*").alias("_count"))
 
 
-def tilted_sums(z: DataFrame, columns: list[str], theta: np.ndarray, second: bool, count: str | None = None, fan_in: int = 32) -> tuple[float, float, np.ndarray, np.ndarray | None]:
+def tilted_sums(z: DataFrame, columns: list[str], theta: np.ndarray, second: bool, count: str | None = None, fan_in: int | None = None) -> tuple[float, float, np.ndarray, np.ndarray | None]:
     """log of the sum of exp(-z theta), rows counted, weighted mean and weighted second moments (or None)."""
     m = len(columns)
 
@@ -47,6 +47,7 @@ def tilted_sums(z: DataFrame, columns: list[str], theta: np.ndarray, second: boo
         if total is not None:
             yield pd.DataFrame({"s": [np.concatenate([np.ravel(p) for p in total]).tobytes()]})
 
+    fan_in = fan_in or min(32, int(z.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     sums = z.select(*[col(c) for c in columns], *([col(count)] if count else [])).mapInPandas(block, "s binary")
     sums = sums.repartition(fan_in).mapInPandas(merge, "s binary")
     total = None

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import col
 from ..operators import distributed, local, sampling
-from ..operators.measures import CORE_MEASURES, WEIGHTING_CORE, estimation_fields, measures_long, weighting_fields
+from ..operators.measures import CORE_MEASURES, WEIGHTING_CORE, estimation_fields, measures, measures_long, smd_sets, weighting_fields
 from ..operators.optimizers import TunedExponentiatedGradient, WeightOptimizer
 from ..operators.prediagnostics import PreDiagnosis, pre_diagnostics
 from ..operators.summary import summary_fields, union_sections
@@ -102,8 +102,6 @@ def run_repetitions(samples: DataFrame, names: list[str], mu: dict[str, float],
 
 
 def feature_sets(names: list[str], spec: TransformSpec | None, scope: str) -> list[tuple[str, ...]]:
-    from ..operators.measures import smd_sets
-
     sets = smd_sets(spec) if spec else [(n,) for n in names]
     sets = [tuple(n for n in s if n in names) for s in sets]
     return [s for s in sets if s and (scope == "all" or s == ("Y",))]
@@ -186,20 +184,21 @@ def solve_whole(z: DataFrame, mu: dict[str, float], optimizer: WeightOptimizer |
             r = optimizer.optimize(local_rows[columns].to_numpy(float), np.array([mu[c] for c in columns]), local_rows["_count"].to_numpy(float))
             local_rows[name] = r.weights
             return z.sparkSession.createDataFrame(local_rows)
-    scaled, target, moments = normalise(z, mu, columns=columns)
-    theta, _ = distributed.newton_tilt(scaled, target, list(moments))
-    lse, n, _, _ = distributed.tilted_sums(scaled, list(moments), theta, False)
+    # Moments come from all rows; the passes run over stored different rows with their counts.
+    _, target, moments = normalise(z, mu, columns=columns)
+    standard = {c: (col(c) - F.lit(m)) / F.lit(s) for c, (m, s) in moments.items()}
+    scaled = small.select(*[e.alias(c) for c, e in standard.items()], "_count").persist()
+    theta, _ = distributed.newton_tilt(scaled, target, list(moments), "_count")
+    lse, n, _, _ = distributed.tilted_sums(scaled, list(moments), theta, False, "_count")
+    scaled.unpersist()
     score = F.lit(-lse)
     for c, t in zip(moments, theta, strict=True):
-        m, s = moments[c]
-        score = score - (col(c) - F.lit(m)) / F.lit(s) * F.lit(float(t))
+        score = score - standard[c] * F.lit(float(t))
     return small.withColumn(name, F.exp(score) * F.lit(n))
 
 
 def estimate_internal(df: DataFrame, y: str = "y", p: str = "p", n_boot: int = 100, seed: int = 1) -> DataFrame:
     """``field, value``: counts, the four measures, and their summary over ``n_boot`` resamples of the rows."""
-    from ..operators.measures import measures
-
     rows = sampling.with_row_id(df.select(col(y).cast("double").alias("y"), col(p).cast("double").alias("p"))).persist()
     n = rows.count()
     plain = measures_long(rows).select(F.col("measure").alias("field"), "value")
@@ -221,12 +220,13 @@ def flagship(spark: SparkSession, data: DataFrame, features: list[str]) -> DataF
     z = spec.apply(internal.withColumn("_y", F.col("y").cast("double")), keep=["_y", "p"])
     weighted = solve_whole(z, mu, TunedExponentiatedGradient())
     weighted = weighted.withColumn("_w", F.col("w") * F.col("_count"))
-    tables = {"internal": measures_long(internal), "estimated": measures_long(weighted, "_y", "p", "_w"), "external": measures_long(external)}
-    out = None
-    for name, t in tables.items():
-        t = t.select(F.col("measure").alias("metric"), F.round("value", 6).alias(name))
-        out = t if out is None else out.join(t, "metric")
-    return out
+    # One pass for the measures of both sides; the estimate is a table of different rows.
+    columns = ("auroc", "brier", "mean_prediction", "observed_risk")
+    sides = measures(data, by=["ext"]).withColumn("side", F.when(F.col("ext") == 0, "internal").otherwise("external"))
+    all_three = sides.select("side", *columns).unionByName(measures(weighted, "_y", "p", "_w").select(F.lit("estimated").alias("side"), *columns))
+    named = F.array(*[F.struct(F.lit(m).alias("metric"), F.round(c, 6).alias("value")) for m, c in zip(CORE_MEASURES, columns, strict=True)])
+    long = all_three.select("side", F.explode(named).alias("m")).select("side", "m.*")
+    return long.groupBy("metric").agg(*[F.max(F.when(F.col("side") == s, F.col("value"))).alias(s) for s in ("internal", "estimated", "external")])
 
 
 __all__ = ["CORE_MEASURES", "WEIGHTING_CORE", "Estimation", "EstimatorSettings", "estimate_external", "estimate_internal", "flagship", "solve_whole"]
