@@ -7,10 +7,9 @@ documents share it with probability equal to their weighted Jaccard similarity.
 coordinates, whatever the size of the set.
 
 Bands of ``rows`` coordinates are joined.  In each bucket, members are compared with one pivot rather than all with all;
-links are verified on the whole sets, and connected components are taken.  Where members of a bucket are still in several
-components, members of the smaller ones are the next pivots, twice as many in each round, until no bucket has two members in
-different components that have not been compared.  So no link that shares a band is lost, and the members of a large group
-that is linked already are never compared with each other.
+links are verified on the whole sets, and connected components are taken.  Where members of a bucket are then in several
+components, those outside of its largest one are compared with all members of others, block by block.  So no link that shares
+a band is lost, no pairs are listed, and members that are linked already are not compared with each other.
 """
 
 from __future__ import annotations
@@ -20,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, WordHashes, materialise, mix64
@@ -81,16 +80,60 @@ def _digest(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
-def _pivots(placed: DataFrame, n: int) -> DataFrame:
-    """``key, pivot, pivot_root``: about ``n`` members of each bucket that lies in several components, from the smallest of them."""
-    parts = placed.groupBy("key", "root").agg(F.count("*").alias("size"))
-    rising = Window.partitionBy("key").orderBy("size", "root")
-    parts = parts.withColumn("place", F.row_number().over(rising)).withColumn("parts", F.count("*").over(Window.partitionBy("key")))
-    parts = parts.withColumn("before", F.sum("size").over(rising.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size"))
-    chosen = parts.where((F.col("place") < F.col("parts")) & (F.col("before") < n)).select("key", "root", "place")
-    order = Window.partitionBy("key").orderBy("place", "node")
-    ranked = placed.join(chosen.hint("merge"), ["key", "root"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
-    return ranked.select("key", F.col("node").alias("pivot"), F.col("root").alias("pivot_root"))
+def _block_links(rows: pd.DataFrame, similarity: float) -> list[tuple[int, int]]:
+    """Links of the block's stragglers with its members in other components, one for each straggler and component.
+
+    The members' cells are put in order once; a straggler's cells are looked up in all of them together.
+    """
+    members, stragglers = rows[~rows["straggler"]], rows[rows["straggler"]]
+    if not len(members) or not len(stragglers):
+        return []
+    sets = [np.asarray(c, dtype=np.int64) for c in members["cells"]]
+    sizes = np.array([len(c) for c in sets])
+    cells, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(cells, kind="stable")
+    cells, owner = cells[order], owner[order]
+    nodes, roots = members["node"].to_numpy(), members["root"].to_numpy()
+    out = []
+    for node, root, own in zip(stragglers["node"], stragglers["root"], stragglers["cells"], strict=True):
+        own = np.asarray(own, dtype=np.int64)
+        low, size = np.searchsorted(cells, own, "left"), np.searchsorted(cells, own, "right")
+        size = size - low
+        low, size = low[size > 0], size[size > 0]
+        at = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        common = np.bincount(owner[at], minlength=len(sets))
+        near = np.flatnonzero((common >= (similarity - 1e-12) * (len(own) + sizes - common)) & (roots != root))
+        _, first = np.unique(roots[near], return_index=True)
+        out += [(max(node, n), min(node, n)) for n in nodes[near[first]].tolist()]
+    return out
+
+
+def straggler_links(placed: DataFrame, cells: DataFrame, similarity: float, block: int = 256, bin_rows: int = 4096) -> DataFrame:
+    """``a, b``: verified links between the components that meet in a bucket (``placed``: ``key, node, root``).
+
+    In each bucket all members outside its largest component, its stragglers, are compared with all members of other
+    components.  Both are dealt to blocks of about ``block``; a pair of blocks is compared in one place and gives links only,
+    so no pairs are listed and no bucket is gathered in one task.
+    """
+    parts = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
+    buckets = parts.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("s"), F.count("*").alias("parts")).where("parts > 1")
+    own = placed.join(buckets.hint("merge"), "key").join(cells.hint("merge"), "node")
+    n_blocks, s_blocks = F.ceil(F.col("n") / block).cast("int"), F.ceil(F.col("s") / block).cast("int")
+    own = own.select("key", "node", "root", "main", "cells", n_blocks.alias("n_blocks"), s_blocks.alias("s_blocks"), F.xxhash64("node").alias("draw"))
+    columns = ["key", "i", "j", "node", "root", "cells"]
+    all_members = own.withColumn("i", F.pmod("draw", "n_blocks")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("s_blocks") - 1))).select(*columns, F.lit(False).alias("straggler"))
+    outside = own.where("root <> main").withColumn("j", F.pmod("draw", "s_blocks")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select(*columns, F.lit(True).alias("straggler"))
+    total = buckets.agg(F.sum(F.col("n") * s_blocks + F.col("s") * n_blocks)).first()[0] or 0
+    bins = max(1, -(-total // bin_rows))
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        found: set[tuple[int, int]] = set()
+        for _, one in rows.groupby(["key", "i", "j"], sort=False):
+            found.update(_block_links(one, similarity))
+        return pd.DataFrame(sorted(found), columns=["a", "b"])
+
+    dealt = all_members.unionByName(outside).withColumn("bin", F.pmod(F.xxhash64("key", "i", "j"), F.lit(bins)))
+    return dealt.groupBy("bin").applyInPandas(compare, "a long, b long").distinct()
 
 
 def near_duplicates(
@@ -149,35 +192,20 @@ def near_duplicates(
     texts = picked.join(wanted.hint("merge"), "doc_id").where(_digest(F.col("text")) == F.col("digest")).select("node", "text")
     cells = materialise(texts.mapInPandas(sets_of, "node long, cells array<long>"), "cells")
 
+    pivots = members.groupBy("key").agg(F.min("node").alias("pivot"))
+    # Pivots are compared with all others of their bucket, which are the ones that remain.
+    rest = materialise(members.join(pivots.hint("merge"), "key").where("node <> pivot"), "rest")
+    pairs = materialise(rest.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs")
     one, two = cells.select(F.col("node").alias("a"), F.col("cells").alias("x")), cells.select(F.col("node").alias("b"), F.col("cells").alias("y"))
-    compared = links = labels = None
-    n_pivots = 1
-    while True:
-        if labels is None:
-            placed = members.withColumn("root", F.col("node"))
-            buckets = members.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-            pivots = buckets.select("key", "pivot", F.col("pivot").alias("pivot_root"))
-        else:
-            placed = materialise(members.join(labels.hint("merge"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "placed")
-            pivots = _pivots(placed, n_pivots)
-        pivots = materialise(pivots, "pivots")
-        if pivots.isEmpty():
-            break
-        pairs = placed.join(pivots.hint("merge"), "key").where("root <> pivot_root").select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
-        if compared is not None:
-            pairs = pairs.join(compared.hint("merge"), ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "pairs")
-        near = F.least(F.size("x"), F.size("y")) >= F.lit(similarity - 1e-12) * F.greatest(F.size("x"), F.size("y"))
-        checked = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").where(near).withColumn("common", F.size(F.array_intersect("x", "y")))
-        linked = materialise(checked.where(F.col("common") >= F.lit(similarity - 1e-12) * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b"), "links")
-        compared = pairs if compared is None else compared.union(pairs)
-        links = linked if links is None else links.union(linked)
-        if labels is None or not linked.isEmpty():
-            labels = components(links)
-        # A pivot has met all members of its bucket that it was not linked with.
-        members = materialise(members.join(pivots.select("key", F.col("pivot").alias("node")).hint("merge"), ["key", "node"], "left_anti"), "members")
-        n_pivots = max(8, 2 * n_pivots)
-    rooted = nodes.withColumn("root", F.col("node")) if labels is None else nodes.join(labels.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    near = F.least(F.size("x"), F.size("y")) >= F.lit(similarity - 1e-12) * F.greatest(F.size("x"), F.size("y"))
+    checked = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").where(near).withColumn("common", F.size(F.array_intersect("x", "y")))
+    links = materialise(checked.where(F.col("common") >= F.lit(similarity - 1e-12) * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b"), "links")
+    labels = components(links)
+    placed = materialise(rest.join(labels.hint("merge"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "placed")
+    more = materialise(straggler_links(placed, cells, similarity), "more_links")
+    if not more.isEmpty():
+        labels = components(links.union(more))
+    rooted = nodes.join(labels.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     # Classes are summed over different texts, and stored, so that the join with a large class can be split.
     rooted = materialise(rooted.select("digest", "root", "rep", "n"), "rooted")
     classes = materialise(rooted.groupBy("root").agg(F.min("rep").alias("class_id"), F.sum("n").alias("class_size")), "classes")
