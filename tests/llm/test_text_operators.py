@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tiltwise.llm.decontaminate import find_overlaps
 from tiltwise.llm.licenses import scan_licenses
 from tiltwise.llm.lines import chunks_of, dedup_lines
-from tiltwise.llm.minhash import near_duplicates
+from tiltwise.llm.minhash import near_duplicates, straggler_links
 from tiltwise.llm.repeats import remove_repeats
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, home int, n_lines int"
@@ -146,6 +146,26 @@ def test_near_duplicates_keep_repeated_rows_and_null_ids(spark):
     assert near_duplicates(documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("block", [2, 3, 256])
+def test_stragglers_meet_all_members_of_other_components(spark, block):
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1000, 40)
+    sets = {n: sorted({int(x) for x in np.where(rng.random(40) < 0.12, rng.integers(1000, 2000, 40), base)}) for n in range(24)}
+    roots = {n: 0 if n % 3 == 0 else 1 if n % 3 == 1 else n for n in sets}
+    placed = spark.createDataFrame([(k, n, roots[n]) for k in (1, 2) for n in sets if k == 1 or n < 9], "key long, node long, root long")
+    cells = spark.createDataFrame(list(sets.items()), "node long, cells array<long>")
+    got = {(r.a, r.b) for r in straggler_links(placed, cells, 0.8, block, 5).collect()}
+
+    def near(a, b):
+        both = len(set(sets[a]) & set(sets[b]))
+        return both >= 0.8 * (len(sets[a]) + len(sets[b]) - both)
+
+    true = {(a, b) for a in sets for b in range(a) if roots[a] != roots[b] and near(a, b)}
+    assert got <= true and len(true) > 5
+    # Every two components with a link are joined by one.
+    assert {frozenset((roots[a], roots[b])) for a, b in got} == {frozenset((roots[a], roots[b])) for a, b in true}
+
+
 def test_signature_agreement_estimates_similarity():
     from tiltwise.llm.common import WordHashes
     from tiltwise.llm.minhash import elements_of, signatures
