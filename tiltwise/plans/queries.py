@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import col
 from ..operators import distributed, optimizers, sampling
-from ..operators.measures import auroc, estimation_fields, max_smd, measures, measures_long, smd, smd_sets, weight_divergence, weighting_fields
+from ..operators.measures import auroc, estimation_fields, max_smd, measures, smd, smd_sets, weight_divergence, weighting_fields
 from ..operators.prediagnostics import FIELDS, overlap, pre_diagnostics
 from ..operators.profile import profile_frame
 from ..operators.summary import summarise, union_sections
@@ -565,6 +565,3 @@ def est_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flagship(spark, fixture(spark, sf_dir), FEATURES)
 
-
-def measures_by_row(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return measures_long(internal(spark, sf_dir))
