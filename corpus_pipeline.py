@@ -48,7 +48,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality classifier", quality), ("line dedup", lines), ("MinHash near-dedup", near_copies), ("benchmark decontamination", leaks), ("mixing sources to target weights", mix)]
 
-#: None of the first four stages can be said in SQL; the tests hold the pipeline against its stages' brute-force versions.
+#: The first four stages have no SQL; the tests hold run() against the stages, whose operators have brute-force tests of their own.
 ORACLE_SQL = None
 
 
