@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tiltwise.llm.decontaminate import find_overlaps
+from tiltwise.llm.decontaminate import MASKS, best_run, find_overlaps
 from tiltwise.llm.licenses import scan_licenses
 from tiltwise.llm.lines import chunks_of, dedup_lines
 from tiltwise.llm.minhash import near_duplicates, straggler_links
@@ -254,6 +254,37 @@ def test_overlaps_tolerate_substitutions(spark):
     assert find_overlaps(docs, bench.where("false")).count() == 0
 
 
+def brute_run(same, share=0.75):
+    """Most equal tokens of any run that meets the share."""
+    runs = ((int(same[i:j].sum()), j - i) for i in range(len(same)) for j in range(i + 1, len(same) + 1))
+    return max((m for m, n in runs if m >= share * n), default=0)
+
+
+def test_best_run_equals_brute_force():
+    rng = random.Random(16)
+    for _ in range(2000):
+        n = rng.randint(0, 24)
+        same = np.array([rng.random() < rng.choice((0.6, 0.8)) for _ in range(n)], dtype=bool)
+        start, end = best_run(same)
+        assert int(same[start:end].sum()) == brute_run(same) and (start == end or (same[start] and same[end - 1]))
+
+
+def test_overlaps_of_short_items_equal_brute_force(spark):
+    rng = random.Random(17)
+    items, rows, wanted = [], [], []
+    for n in range(300):
+        words = [f"w{n}x{i}" for i in range(rng.randint(15, 20))]
+        out = {2, 12} if n == 0 else set(rng.sample(range(len(words)), rng.randint(1, 5)))  # n = 0: 13 of 15 or more are equal
+        same = np.array([i not in out for i in range(len(words))])
+        items.append((n, " ".join(words)))
+        rows.append((n, " ".join(["before"] * 20 + [w if s else "zzz" for w, s in zip(words, same, strict=True)] + ["after"] * 20)))
+        seeded = any(all(same[p + at] for at in mask) for mask in MASKS for p in range(len(words) - mask[-1]))
+        if seeded and brute_run(same) >= 12:
+            wanted.append((n, n, brute_run(same)))
+    got = find_overlaps(documents(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.n_matches) for r in got) == wanted and len(wanted) > 200
+
+
 # Licenses -----------------------------------------------------------------------------------------------------------------
 
 

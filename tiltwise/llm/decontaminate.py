@@ -1,9 +1,9 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 A mask says which tokens of a window count; the rest may differ.  Hashes of the masked windows of the benchmark are looked up
-among those of every document.  Around each hit, document and item are laid over each other at that offset and the best
-run is found by matches less mismatches, so substituted tokens are tolerated.  A run is an overlap if it is long and alike
-enough.
+among those of every document.  Around each hit, document and item are laid over each other at that offset and the run with
+the most matches is taken of those that are alike enough, so substituted tokens are tolerated.  It is an overlap if it
+has enough matches, so none that meets the rule is lost once a mask hits.
 
 The benchmark is read in blocks of at most ``block_chars`` characters.  Each block's seeds are sent to the executors and
 the documents are scanned once for each block, so a larger benchmark costs more scans and not more memory.
@@ -81,12 +81,23 @@ class Seeds:
         return found
 
 
-def best_run(same: np.ndarray, penalty: int = 2) -> tuple[int, int]:
-    """Start and end of the run with the most matches less ``penalty`` for each mismatch; the first of equal ones."""
-    total = np.concatenate(([0], np.cumsum(np.where(same, 1, -penalty))))
-    lowest = np.minimum.accumulate(total)
-    end = int(np.argmax(total - lowest))
-    return int(np.argmin(total[: end + 1])), end
+def best_run(same: np.ndarray, min_share: float = 0.75) -> tuple[int, int]:
+    """Start and end of the run with the most matches of those with the share ``min_share`` of matches or more.
+
+    Of equal ones the shortest, then the first, so a run begins and ends with a match; empty if nothing matches.
+    """
+    starts = np.flatnonzero(same)
+    if not len(starts):
+        return 0, 0
+    count = np.concatenate(([0], np.cumsum(same)))
+    excess = count - min_share * np.arange(len(count))
+    # For each start the furthest end at which the share is still met has the most matches.
+    highest = np.maximum.accumulate(excess[::-1])
+    ends = len(same) - np.searchsorted(highest, excess[starts] - 1e-9)
+    matches = count[ends] - count[starts]
+    ends = starts[count[ends] - 1] + 1  # without mismatches at the end
+    best = np.lexsort((starts, ends - starts, -matches))[0]
+    return int(starts[best]), int(ends[best])
 
 
 def find_overlaps(
@@ -127,9 +138,9 @@ def find_overlaps(
                         own = seeds.tokens[item]
                         first, last = max(0, -offset), min(len(own), len(tokens) - offset)
                         same = own[first:last] == tokens[offset + first : offset + last]
-                        start, end = best_run(same)
+                        start, end = best_run(same, min_share)
                         matches = int(same[start:end].sum())
-                        if matches >= min(min_matches, -(-3 * len(own) // 4)) and matches >= min_share * (end - start):
+                        if matches >= min(min_matches, -(-3 * len(own) // 4)) and matches >= min_share * (end - start) - 1e-9:
                             found.append((d, seeds.ids[item], offset + first + start, first + start, end - start, matches))
                 yield pd.DataFrame(found, columns=["doc_id", "item_id", "doc_start", "item_start", "n_tokens", "n_matches"]).astype({"doc_id": "Int64", "item_id": "Int64"})
 
