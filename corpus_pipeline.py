@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tiltwise.llm.common import materialise
 from tiltwise.llm.decontaminate import find_overlaps
-from tiltwise.llm.lines import dedup_lines
+from tiltwise.llm.lines import dedup_runs
 from tiltwise.llm.minhash import near_duplicates
 from tiltwise.llm.mixing import mix_documents
 from tiltwise.llm.quality import keep_quality
@@ -24,8 +24,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut chunks of lines that occur before; every document stays, with n_chars of what is left of it."""
-    cut = dedup_lines(docs).withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")))
+    """Cut runs of lines that occur before; every document stays, with n_chars of what is left of it."""
+    cut = dedup_runs(docs).withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")))
     return cut.select(*docs.columns)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tiltwise.llm.decontaminate import MASKS, best_run, find_overlaps
 from tiltwise.llm.licenses import scan_licenses
-from tiltwise.llm.lines import chunks_of, dedup_lines
+from tiltwise.llm.lines import chunks_of, dedup_lines, dedup_runs
 from tiltwise.llm.minhash import near_duplicates, straggler_links
 from tiltwise.llm.repeats import remove_repeats
 
@@ -221,6 +221,43 @@ def test_chunk_boundaries_come_back_after_an_insertion():
     assert len(before - after) <= 3
 
 
+def brute_runs(rows):
+    """Every run of two lines or more that are not blank, of any length, is looked for in all that stands before it."""
+    split = [(d, None if t is None else t.split("\n")) for d, t in rows]
+    out = []
+    for d, mine in split:
+        gone = set()
+        for i in range(len(mine or [])):
+            for j in range(i + 2, len(mine) + 1):
+                run = mine[i:j]
+                if sum(1 for x in run if x.strip()) < 2 or not run[0].strip() or not run[-1].strip():
+                    continue
+                if any(other[k : k + len(run)] == run for e, other in split if other and e < d for k in range(len(other))) or any(mine[k : k + len(run)] == run for k in range(i - len(run) + 1)):
+                    gone.update(range(i, j))
+        kept = [x for i, x in enumerate(mine or []) if i not in gone]
+        out.append((d, None if mine is None else "" if gone and not any(x.strip() for x in kept) else "\n".join(kept)))
+    return sorted(out, key=str)
+
+
+def test_runs_equal_brute_force(spark):
+    rng = random.Random(18)
+    lines = [prose(rng, rng.randint(1, 4)) for _ in range(25)] + [""] * 5
+    rows = [(i, "\n".join(rng.choice(lines[:25]) if n in (0, 5) else rng.choice(lines) for n in range(6))) for i in range(60)]
+    rows += [(200, None), (201, ""), (202, "\n\n\n\n"), (203, "\n\n\n\n"), (204, "a\nb\na\nb\na\nb\na\nb"), (205, "q\nq\nq"), (206, "r\nr\nr\nr"), (207, "\nu\n\nv\n"), (208, "\nu\n\nv\n"), (5, "x\ny"), (5, "x\ny")]
+    table = dedup_runs(documents(spark, rows))
+    assert sorted(((r.doc_id, r.text) for r in table.collect()), key=str) == brute_runs(rows)
+    got = {r.doc_id: r for r in table.collect()}
+    assert got[204].text == "a\nb" and got[205].text == "q\nq\nq" and got[206].text == "r\nr" and got[208].text == "" and got[208].n_removed == 5
+
+
+def test_passages_of_two_lines_go_whole(spark):
+    rng = random.Random(19)
+    passages = [[prose(rng, 6) for _ in range(2 + n % 3)] for n in range(60)]
+    rows = [(2 * n + k, "\n".join([prose(rng, 6), *p, prose(rng, 6)])) for n, p in enumerate(passages) for k in range(2)]
+    got = {r.doc_id: r.n_removed for r in dedup_runs(documents(spark, rows)).collect()}
+    assert all(got[2 * n] == 0 and got[2 * n + 1] == len(p) for n, p in enumerate(passages))
+
+
 def test_lines_of_an_empty_table(spark):
     assert dedup_lines(documents(spark, [])).count() == 0
 

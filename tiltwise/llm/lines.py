@@ -1,17 +1,21 @@
-"""Line dedup by content-defined chunks of lines.
+"""Line dedup by rolling hashes of lines: of whole repeated runs (``dedup_runs``) or of content-defined chunks (``dedup_lines``).
 
-A rolling hash over the hashes of the last two lines ends a chunk where its low bits are zero, so boundaries depend on the
-lines around them alone and come back after an insertion.  A chunk of two lines or more that occurs elsewhere is removed
-wherever it is not the first: the document with the smallest id keeps it, once.
+``dedup_runs`` hashes every window of two lines that are not blank.  A window that occurs before is removed, and a repeated
+run of two lines or more is the union of such windows, so it goes from its first line to its last wherever it stands.
 
-Hashes select what may repeat; the bytes of just those chunks are then grouped by their content.  A hash under which more
-than one content is found removes nothing.
+``dedup_lines`` has a third of the hashes or less: a rolling hash over the hashes of the last two lines ends a chunk where
+its low bits are zero, so boundaries depend on the lines around them alone and come back after an insertion.  A chunk of
+two lines or more that occurs before is removed.  Repeated runs that hold no whole chunk stay.
+
+In both the document with the smallest id keeps what repeats, once.  Hashes select what may repeat; the bytes of just that
+are then grouped by their content.  A hash under which more than one content is found removes nothing.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import pandas as pd
 import pyarrow as pa
@@ -41,6 +45,42 @@ def chunks_of(text: str | None, min_lines: int = 2, bits: int = 1) -> list[tuple
     return found
 
 
+def chunk_spans(text: str | None, min_lines: int = 2, bits: int = 1) -> list[tuple[int, int, int, str]]:
+    """Hash, first line, end and content of each chunk that may be removed."""
+    found, start = [], 0
+    for key, chunk in chunks_of(text, min_lines, bits):
+        if key:
+            found.append((key, start, start + len(chunk), "\n".join(chunk)))
+        start += len(chunk)
+    return found
+
+
+def window_spans(text: str | None, min_lines: int = 2) -> list[tuple[int, int, int, str]]:
+    """Hash, first line, end and content of each window of ``min_lines`` lines that are not blank.
+
+    Blank lines between them are part of the content.  Those at the ends of the text go with the first and the last window.
+    """
+    lines = (text or "").split("\n")
+    full = [i for i, line in enumerate(lines) if line.strip()]
+    found = []
+    for n in range(len(full) - min_lines + 1):
+        first, last = full[n], full[n + min_lines - 1]
+        content = "\n".join(lines[first : last + 1])
+        key = xxhash.xxh3_64_intdigest(content.encode("utf-8", "surrogatepass")) - SIGN
+        found.append((key, first if n else 0, last + 1 if n + min_lines < len(full) else len(lines), content))
+    return found
+
+
+def dedup_runs(docs: DataFrame, min_lines: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Return the rows of ``docs`` with repeated runs of lines cut from the text, and ``n_lines``, ``n_removed``.
+
+    A line goes if it is in a run of ``min_lines`` lines or more that are not blank, and the same run (with the same blank
+    lines inside) occurs in a document before or ends earlier in this one.  What goes stays at its first place: a line of a
+    run goes there only if it is part of another run that occurs still earlier.  The rest is as in ``dedup_lines``.
+    """
+    return _cut_repeats(docs, partial(window_spans, min_lines=min_lines), id_col, text_col)
+
+
 def dedup_lines(docs: DataFrame, min_lines: int = 2, bits: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Return the rows of ``docs`` with repeated chunks cut from the text, and ``n_lines``, ``n_removed``.
 
@@ -49,6 +89,11 @@ def dedup_lines(docs: DataFrame, min_lines: int = 2, bits: int = 1, id_col: str
     Within a document the first of equal chunks stays.  No row is dropped: a text all of which occurs before becomes empty,
     a null text stays null.  Other columns pass through, but for earlier ones of the two names.
     """
+    return _cut_repeats(docs, partial(chunk_spans, min_lines=min_lines, bits=bits), id_col, text_col)
+
+
+def _cut_repeats(docs: DataFrame, spans: Callable[[str | None], list[tuple[int, int, int, str]]], id_col: str, text_col: str) -> DataFrame:
+    """Cut the spans of lines whose content occurs before; ``spans`` gives those of a text in order."""
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed") or c in (id_col, text_col)]
     inner = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
     key, text = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
@@ -56,7 +101,7 @@ def dedup_lines(docs: DataFrame, min_lines: int = 2, bits: int = 1, id_col: str
 
     def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(h, d, n) for d, t in zip(b["order"], b["text"], strict=True) for h, n in Counter(h for h, _ in chunks_of(t, min_lines, bits)).items() if h]
+            rows = [(h, d, n) for d, t in zip(b["order"], b["text"], strict=True) for h, n in Counter(h for h, *_ in spans(t)).items()]
             yield pd.DataFrame(rows, columns=["h", "order", "n"])
 
     at = materialise(inner.select("order", F.col(text).alias("text")).mapInPandas(hashes, "h long, order long, n long"), "chunks")
@@ -77,7 +122,7 @@ def dedup_lines(docs: DataFrame, min_lines: int = 2, bits: int = 1, id_col: str
             for t, hs in zip(b[text], b["hs"], strict=True):
                 if hs is not None:
                     hs = set(hs)
-                    rows.update((h, "\n".join(c)) for h, c in chunks_of(t, min_lines, bits) if h in hs)
+                    rows.update((h, c) for h, _, _, c in spans(t) if h in hs)
             yield pd.DataFrame(sorted(rows), columns=["h", "chunk"])
 
     compared = joined.mapInPandas(contents, "h long, chunk string").groupBy("h", "chunk").count().groupBy("h").agg(F.count("*").alias("contents"))
@@ -94,13 +139,13 @@ def dedup_lines(docs: DataFrame, min_lines: int = 2, bits: int = 1, id_col: str
                 kept, left = t, lines
                 if hs is not None and t is not None:
                     first = dict(zip(hs, firsts, strict=True))
-                    seen, out = set(), []
-                    for h, chunk in chunks_of(t, min_lines, bits):
-                        if h in first and (first[h] < d or h in seen):
-                            continue
-                        seen.add(h)
-                        out += chunk
-                    kept, left = "\n".join(out), len(out)
+                    seen, gone = {}, set()
+                    for h, start, end, _ in spans(t):
+                        if h in first and (first[h] < d or seen.setdefault(h, end) <= start):
+                            gone.update(range(start, end))
+                    if gone:
+                        out = [line for i, line in enumerate(t.split("\n")) if i not in gone]
+                        kept, left = "\n".join(out), len(out)
                 texts.append(kept)
                 n_lines.append(lines)
                 n_removed.append(lines - left)

@@ -11,7 +11,7 @@ from .decontaminate import find_overlaps
 from .hamming import nearest_codes
 from .htmltext import extract_text
 from .licenses import scan_licenses
-from .lines import dedup_lines
+from .lines import dedup_runs
 from .minhash import near_duplicates
 from .mixing import mix_documents
 from .quality import score_documents
@@ -61,7 +61,7 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = dedup_lines(table(spark, sf_dir, "documents"))
+    cut = dedup_runs(table(spark, sf_dir, "documents"))
     text = F.coalesce("text", F.lit(""))
     return cut.select("doc_id", "n_lines", "n_removed", F.length(text).cast("long").alias("n_kept"), F.sha2(text.cast("binary"), 256).alias("kept_sha256"))
 
