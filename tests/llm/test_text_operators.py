@@ -221,6 +221,17 @@ def test_chunk_boundaries_come_back_after_an_insertion():
     assert len(before - after) <= 3
 
 
+def test_copies_with_blank_lines_go_whole(spark):
+    rng = random.Random(20)
+    texts = ["\n\n".join(prose(rng, 6) for _ in range(10)) for _ in range(50)]
+    for t in texts:
+        chunks = chunks_of(t)
+        assert all(h for h, _ in chunks[:-1]) and "\n".join(x for _, c in chunks for x in c) == t
+    docs = documents(spark, [(n + 100 * k, t) for n, t in enumerate(texts) for k in range(2)])
+    got = {r.doc_id: r.text for r in dedup_runs(docs).collect()}
+    assert all(got[n] == t and got[n + 100] == "" for n, t in enumerate(texts))
+
+
 def brute_runs(rows):
     """Every run of two lines or more that are not blank, of any length, is looked for in all that stands before it."""
     split = [(d, None if t is None else t.split("\n")) for d, t in rows]

@@ -29,19 +29,23 @@ SIGN = 1 << 63
 
 
 def chunks_of(text: str | None, min_lines: int = 2, bits: int = 1) -> list[tuple[int, list[str]]]:
-    """Hash and lines of each chunk of a text, in order; the hash of a chunk that may not be removed is 0."""
+    """Hash and lines of each chunk of a text, in order; the hash of a chunk that may not be removed is 0.
+
+    Only lines that are not blank count toward ``min_lines``, so of all chunks only the last may have fewer.
+    """
     lines = (text or "").split("\n")
-    found, start, before = [], 0, 0
+    found, start, full, before = [], 0, 0, 0
     mask = (1 << bits) - 1
     for i, line in enumerate(lines):
         now = xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"))
         rolled = (before * 0x9E3779B97F4A7C15 + now) & 0xFFFFFFFFFFFFFFFF
         before = now
-        if i + 1 == len(lines) or (i + 1 - start >= min_lines and (rolled >> 29) & mask == 0):
+        full += bool(line.strip())
+        if i + 1 == len(lines) or (full >= min_lines and (rolled >> 29) & mask == 0):
             chunk = lines[start : i + 1]
-            start = i + 1
-            key = xxhash.xxh3_64_intdigest("\n".join(chunk).encode("utf-8", "surrogatepass")) - SIGN if sum(1 for x in chunk if x.strip()) >= min_lines else 0
+            key = xxhash.xxh3_64_intdigest("\n".join(chunk).encode("utf-8", "surrogatepass")) - SIGN if full >= min_lines else 0
             found.append((key, chunk))
+            start, full = i + 1, 0
     return found
 
 
