@@ -342,3 +342,15 @@ def test_licenses_by_wording(spark):
     got = sorted(((r.doc_id, r.line, r.license) for r in scan_licenses(documents(spark, rows)).collect()), key=str)
     assert got == sorted([(1, 1, "Apache-2.0"), (1, 3, "GPL-2.0"), (2, 0, "MIT"), (7, 0, "CC-BY-NC-4.0"), (8, 0, "CC-BY-4.0"), (8, 0, "CC-BY-4.0"), (None, 0, "all-rights-reserved"), (9, 0, "MIT")], key=str)
     assert scan_licenses(documents(spark, [])).count() == 0
+
+
+def test_licenses_wrapped_named_and_several(spark):
+    texts = [
+        "Prose.\nThis work is licensed under the GNU General\nPublic License, version 3.\nMore.",
+        "MIT License", "Apache License, Version 2.0", "Licensed under the Apache License 2.0", "BSD 3-Clause License",
+        "# SPDX-License-Identifier: MIT", "SPDX-License-Identifier: (GPL-2.0-or-later OR Apache-2.0)",
+        "Licensed under the MIT License. Released under the BSD 3-Clause License.",
+        "We compare the MIT License with others.", "Apache License, Version 1.1",
+    ]
+    got = sorted((r.doc_id, r.line, r.license) for r in scan_licenses(documents(spark, list(enumerate(texts)))).collect())
+    assert got == [(0, 1, "GPL-3.0"), (1, 0, "MIT"), (2, 0, "Apache-2.0"), (3, 0, "Apache-2.0"), (4, 0, "BSD-3-Clause"), (5, 0, "MIT"), (6, 0, "Apache-2.0"), (6, 0, "GPL-2.0"), (7, 0, "BSD-3-Clause"), (7, 0, "MIT")]
