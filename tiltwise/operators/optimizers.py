@@ -44,9 +44,37 @@ def kl_to_uniform(w: np.ndarray, counts: np.ndarray) -> float:
     return float(np.log(counts.sum()) + (w[inside] * np.log(w[inside] / counts[inside])).sum())
 
 
+class Tilt:
+    """Weights ``base * exp(-z theta)`` scaled to add up to 1, kept as logs: whatever a solver does, theta is its whole state."""
+
+    WIDEST = 690.0  # exp of less than -WIDEST is no longer a normal number
+
+    def __init__(self, z: np.ndarray, mu: np.ndarray, base: np.ndarray):
+        self.z, self.mu = z, mu
+        with np.errstate(divide="ignore"):
+            self.log_base = np.log(base / base.sum())
+
+    def at(self, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Shares, how far their means are above ``mu``, and the log of the scale that is divided out."""
+        score = self.log_base - self.z @ theta
+        top = float(score.max())
+        shares = np.exp(np.where(np.isneginf(score), score, np.maximum(score - top, -self.WIDEST)))
+        total = shares.sum()
+        shares = shares / total
+        return shares, shares @ self.z - self.mu, top + float(np.log(total))
+
+    def reach(self, step: np.ndarray) -> float:
+        """By how much the logs of two weights may come apart if theta moves by ``step``."""
+        return float(np.ptp(self.z @ step)) if len(self.z) else 0.0
+
+
 @dataclass(frozen=True)
 class ExponentiatedGradient:
-    """Exponentiated gradient with momentum on the squared error of the means, at one learning rate."""
+    """Exponentiated gradient on the squared error of the means, as heavy-ball steps of the tilt at one learning rate.
+
+    A rate is given up (``NA-objective``) when one step would spread the weights over more than doubles can hold.  The log has
+    error, divergence from the uniform weights and largest absolute error of every state, the first included.
+    """
 
     alpha: float = 0.1
     n_iter: int = 1000
@@ -56,40 +84,30 @@ class ExponentiatedGradient:
     max_success_mse: float = 0.1
     outcome_column: int | None = None  # start from weights that match the outcome's mean, if its column is not rescaled
     w0: np.ndarray | None = None
-    floor: float = 1e-10
+
+    def start(self, z: np.ndarray, mu: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        base = counts if self.w0 is None else counts * self.w0
+        if self.outcome_column is None:
+            return base
+        case, share = z[:, self.outcome_column] == 1, mu[self.outcome_column]
+        sizes = base[case].sum(), base[~case].sum()
+        return base * np.where(case, share / sizes[0], (1 - share) / sizes[1]) if min(sizes) > 0 else base
 
     def optimize(self, z: np.ndarray, mu: np.ndarray, counts: np.ndarray | None = None) -> WeightResult:
         counts = np.ones(len(z)) if counts is None else counts.astype(float)
-        n = counts.sum()
-        w = counts / n if self.w0 is None else self.w0 * counts / (self.w0 @ counts)
-        if self.outcome_column is not None:
-            y, share = z[:, self.outcome_column], mu[self.outcome_column]
-            for value, part in ((1, share), (0, 1 - share)):
-                if (total := w[y == value].sum()) > 0:
-                    w[y == value] *= part / total
-        velocity = np.zeros(len(z))
-        rest = z.T @ w - mu
-        err, worst = float(rest @ rest), float(np.abs(rest).max(initial=0.0))
-        log: list[tuple] = [(err, kl_to_uniform(w, counts), worst)]
-        with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
-            for i in range(2, self.n_iter + 1):
-                velocity = self.momentum * velocity + z @ rest
-                w = w * np.exp(-self.alpha * velocity)
-                w = w / w.sum()
-                rest = z.T @ w - mu
-                err, worst = float(rest @ rest), float(np.abs(rest).max(initial=0.0))
-                log.append((err, kl_to_uniform(w, counts) if i % 100 == 0 else None, worst))
-                if np.isnan(err):  # the step overflowed: this rate is too large
-                    return WeightResult(w * n / counts, "NA-objective", float("inf"), None, len(log), log)
-                if err < self.abs_tol or worst < self.max_abs_tol:
-                    break
-        low = w <= self.floor * counts
-        if low.any():
-            w = np.where(low, self.floor * counts, w)
-            w = w / w.sum()
-        log[-1] = (log[-1][0], kl_to_uniform(w, counts), log[-1][2])
-        status = "Success" if err < self.max_success_mse else "Not-converged"
-        return WeightResult(w * n / counts, status, err, worst, len(log), log)
+        tilt = Tilt(z, mu, self.start(z, mu, counts))
+        theta, velocity, log = np.zeros(len(mu)), np.zeros(len(mu)), []
+        while True:
+            shares, gap, _ = tilt.at(theta)
+            err, worst = float(gap @ gap), float(np.abs(gap).max(initial=0.0))
+            log.append((err, kl_to_uniform(shares, counts), worst))
+            weights = shares * counts.sum() / counts
+            if err < self.abs_tol or worst < self.max_abs_tol or len(log) >= self.n_iter:
+                return WeightResult(weights, "Success" if err < self.max_success_mse else "Not-converged", err, worst, len(log), log)
+            velocity = self.momentum * velocity + gap
+            if not tilt.reach(self.alpha * velocity) < tilt.WIDEST:
+                return WeightResult(weights, "NA-objective", float("inf"), None, len(log), log)
+            theta = theta + self.alpha * velocity
 
 
 @dataclass(frozen=True)
@@ -316,11 +334,12 @@ def upsampling(n1: int, n0: int) -> int:
 
 @dataclass(frozen=True)
 class DualSGD:
-    """DUAL-SGD: mini-batch gradient steps with momentum on the entropy dual, class 1 upsampled, rates tuned.
+    """DUAL-SGD: steps on the entropy dual from samples of the rows, class 1 upsampled.
 
-    Multipliers are held within a ball; the additive one is set so that the batch's weights add up to 1.  Rates are tried in
-    ascending order until one overflows; the one with the lowest dual value is run, at half its length after an overflow,
-    up to five times.
+    The dual is log sum a exp(-z nu) + mu nu over multipliers within a ball, with ``a`` how many rows (upsampled) a different row
+    stands for.  Rows stay merged: a sample is a multinomial draw of how often each of them is taken, and as large as the
+    table it is the table itself.  Progress is judged on all rows, at every ``check_every``-th step, never on the sample that
+    made the step.  A rate is out if multipliers leave their box.
     """
 
     epsilons: tuple[float, ...] = (0.01, 0.03, 0.1, 0.3, 1.0)
@@ -334,7 +353,8 @@ class DualSGD:
     max_abs_nu: float = 16.0
     max_norm: float = 10.0
     improve_th: float = 1e-4
-    averaging: bool = False
+    check_every: int = 10
+    max_halvings: int = 5
     outcome_column: int = 0
     min_sd: float = 1e-4
     seed: int = 1
@@ -347,61 +367,50 @@ class DualSGD:
     def rate(self, epsilon: float, i: int) -> float:
         return epsilon * (np.exp(-self.decay * i) if self.schedule == "exponential" else (self.poly_beta * i + 1) ** -0.5)
 
-    def _run(self, z: np.ndarray, mu: np.ndarray, rows: np.ndarray, epsilon: float, n_iter: int, rng: np.random.Generator) -> tuple[np.ndarray, list[tuple], bool]:
-        m, batch = z.shape[1], min(self.batch, len(rows))
-        per_epoch = max(1, len(rows) // batch)
-        nu = np.zeros(m) if self.nu0 is None else self.nu0[:m].copy()
-        velocity, mean, log = np.zeros(m), np.zeros(m), []
-        for i in range(1, n_iter + 1):
-            at = (i - 1) % per_epoch
-            if at == 0:
-                shuffled = rng.permutation(rows)
-            zi = z[shuffled[at * batch : (at + 1) * batch]]
-            nu = nu + velocity
-            norm = np.linalg.norm(nu)
-            if norm > self.max_norm:
-                nu = nu * (self.max_norm / norm)
-            mean = nu / i + (1 - 1 / i) * mean
-            t = -(zi @ nu)
-            top = t.max()
-            total = np.exp(t - top).sum()
-            additive = -1 + top + np.log(total)
-            if not np.isfinite(nu).all() or np.abs(nu).max(initial=0.0) > self.max_abs_nu or not np.isfinite(additive):
-                return nu, log, False
-            w = np.exp(t - top) / total
-            rest = zi.T @ w - mu
-            velocity = self.momentum * velocity + self.rate(epsilon, i) * rest
-            log.append((float(mu @ nu + additive + 1), float(rest @ rest), float(norm), float(np.abs(rest).max())))
-            if log[-1][1] < self.improve_th:
-                break
-        return (mean if self.averaging else nu), log, True
+    def descend(self, whole: Tilt, copies: np.ndarray, epsilon: float, n_iter: int) -> tuple[np.ndarray, list[tuple]] | None:
+        """Multipliers of the best state seen and (step, dual value, error, largest error) of the states judged; None if out."""
+        rng = np.random.default_rng(self.seed)
+        nu = np.zeros(len(whole.mu)) if self.nu0 is None else self.nu0[: len(whole.mu)].astype(float)
+        velocity, judged, best = np.zeros(len(nu)), [], None
+        shares = copies / copies.sum()
+        for i in range(n_iter + 1):
+            if i % self.check_every == 0 or i == n_iter:
+                _, gap, scale = whole.at(nu)
+                judged.append((i, scale + float(whole.mu @ nu), float(gap @ gap), float(np.abs(gap).max(initial=0.0))))
+                if best is None or judged[-1][2] < best[0]:
+                    best = (judged[-1][2], nu)
+                if judged[-1][2] < self.improve_th or i == n_iter:
+                    return best[1], judged
+            if self.batch < copies.sum():
+                drawn = rng.multinomial(self.batch, shares)
+                taken = drawn > 0
+                _, gap, _ = Tilt(whole.z[taken], whole.mu, drawn[taken].astype(float)).at(nu)
+            else:
+                _, gap, _ = whole.at(nu)
+            velocity = self.momentum * velocity + self.rate(epsilon, i + 1) * gap
+            nu = _project(nu + velocity, 1 / self.max_norm, "l2")
+            if not np.abs(nu).max(initial=0.0) <= self.max_abs_nu:
+                return None
+        raise AssertionError("the last step is judged")
 
     def optimize(self, z: np.ndarray, mu: np.ndarray, counts: np.ndarray | None = None) -> WeightResult:
-        counts = np.ones(len(z), dtype=int) if counts is None else counts.astype(int)
-        y = z[:, self.outcome_column]
+        counts = np.ones(len(z)) if counts is None else counts.astype(float)
+        case = z[:, self.outcome_column] == 1
         if not np.isin(z, (0, 1)).all():
-            z, mu = standardise(z, mu, counts.astype(float), self.min_sd)
-        copies = upsampling(int(counts[y == 1].sum()), int(counts[y == 0].sum()))
-        rows = np.repeat(np.arange(len(z)), counts * np.where(y == 1, copies, 1))
-        rng = np.random.default_rng(self.seed)
-        best = None
-        for epsilon in sorted(self.epsilons):
-            _, log, fine = self._run(z, mu, rows, epsilon, self.n_tune_iter, rng)
-            if not fine:
-                break
-            if best is None or log[-1][0] < best[0]:
-                best = (log[-1][0], epsilon)
-        epsilon = best[1] if best else min(self.epsilons) / 2
-        for _ in range(5):
-            nu, log, fine = self._run(z, mu, rows, epsilon, self.n_iter, rng)
-            if fine:
-                t = -(z @ nu)
-                w = np.exp(t - t.max()) * np.where(y == 1, copies, 1)
-                w = np.where(w == 0, 1e-9, w)
-                w = w * counts.sum() / (w @ counts)
-                return WeightResult(w, "Success" if log[-1][1] < self.improve_th else "Not-converged", log[-1][1], log[-1][3], len(log), log, nu)
-            epsilon /= 2
-        return WeightResult(np.full(len(z), np.nan), "Failure", float("inf"), None, len(log), log)
+            z, mu = standardise(z, mu, counts, self.min_sd)
+        copies = counts * np.where(case, upsampling(int(counts[case].sum()), int(counts[~case].sum())), 1)
+        whole = Tilt(z, mu, copies)
+        trials = {e: self.descend(whole, copies, e, self.n_tune_iter) for e in self.epsilons}
+        values = {e: t[1][-1][1] for e, t in trials.items() if t is not None}
+        first = min(values, key=values.get) if values else min(self.epsilons) / 2
+        for halving in range(self.max_halvings):
+            found = self.descend(whole, copies, first / 2**halving, self.n_iter)
+            if found is not None:
+                nu, judged = found
+                shares, gap, _ = whole.at(nu)
+                err = float(gap @ gap)
+                return WeightResult(shares * counts.sum() / counts, "Success" if err < self.improve_th else "Not-converged", err, float(np.abs(gap).max(initial=0.0)), judged[-1][0], judged, nu)
+        return WeightResult(np.full(len(z), np.nan), "Failure", float("inf"), None, 0)
 
 
 @dataclass(frozen=True)
