@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tiltwise.llm.decontaminate import MASKS, best_run, find_overlaps
 from tiltwise.llm.licenses import scan_licenses
 from tiltwise.llm.lines import chunks_of, dedup_lines, dedup_runs
-from tiltwise.llm.minhash import near_duplicates, straggler_links
+from tiltwise.llm.minhash import keep_one, near_duplicates, prefixes, signatures, straggler_links, throw
 from tiltwise.llm.repeats import remove_repeats
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, home int, n_lines int"
@@ -354,3 +354,67 @@ def test_licenses_wrapped_named_and_several(spark):
     ]
     got = sorted((r.doc_id, r.line, r.license) for r in scan_licenses(documents(spark, list(enumerate(texts)))).collect())
     assert got == [(0, 1, "GPL-3.0"), (1, 0, "MIT"), (2, 0, "Apache-2.0"), (3, 0, "Apache-2.0"), (4, 0, "BSD-3-Clause"), (5, 0, "MIT"), (6, 0, "Apache-2.0"), (6, 0, "GPL-2.0"), (7, 0, "BSD-3-Clause"), (7, 0, "MIT")]
+
+
+def test_near_copies_of_rows_without_id_or_with_the_same_id(spark):
+    rng = random.Random(12)
+    words = prose(rng, 200).split()
+    edits = [" ".join(words[:i] + ["other"] + words[i + 1 :]) for i in (20, 90, 150)]
+    rows = [(1, edits[0]), (None, edits[1]), (3, edits[2]), (7, prose(rng, 50)), (7, prose(rng, 50)), (None, prose(rng, 40)), (9, edits[0]), (9, edits[0]), (None, edits[1])]
+    got = Counter((r.doc_id, r.class_id, r.class_size) for r in near_duplicates(documents(spark, rows)).collect())
+    assert got == Counter({(1, 1, 6): 1, (None, 1, 6): 2, (3, 1, 6): 1, (9, 1, 6): 2, (7, 7, 1): 2, (None, None, 1): 1})
+    kept = keep_one(documents(spark, rows))
+    assert kept.columns == SCHEMA.replace(",", "").split()[::2]
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(1, edits[0]), rows[3], rows[4], rows[5]])
+    assert keep_one(documents(spark, [])).count() == 0
+    same = keep_one(documents(spark, [(None, "one two three")] * 4 + [(4, None), (5, ""), (5, "")])).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in same if r.text) == [(0, "one two three")] and len(same) == 2
+
+
+def test_prefixes_find_the_links_of_dense_buckets(spark):
+    rng = np.random.default_rng(13)
+    template = rng.integers(0, 2**40, 140)  # 70 % of each set, so no two are linked by it alone
+    sets = [np.concatenate([template, rng.integers(2**41, 2**60, 60)]) for _ in range(60)]
+    for i in range(0, 20, 2):  # ten pairs that differ in a few elements
+        sets[i + 1] = np.concatenate([sets[i][:-8], rng.integers(2**41, 2**60, 8)])
+    cells = spark.createDataFrame([(n, s.tolist()) for n, s in enumerate(sets)], "node long, cells array<long>")
+    placed = spark.createDataFrame([(5, n, n) for n in range(60)], "key long, node long, root long")
+    want = {(i + 1, i) for i in range(0, 20, 2)}
+    for dense in (0, 10**9):
+        links = straggler_links(placed, cells, 0.8, block=4, dense=dense).collect()
+        assert {(r.a, r.b) for r in links} == want
+    assert prefixes(placed, cells, 0.8).count() < 60 * 20  # the template is in no prefix
+
+
+def test_components_of_a_long_chain(spark, monkeypatch):
+    from tiltwise.llm import components as module
+
+    rounds = []
+    stored = module.materialise
+    monkeypatch.setattr(module, "materialise", lambda df, name: rounds.append(name) or stored(df, name))
+    n = 10_000
+    found = module.components(spark.range(1, n).select(F.col("id").alias("a"), (F.col("id") - 1).alias("b")))
+    assert found.where("root = 0").count() == found.count() == n
+    assert len(rounds) < 22
+    rng = random.Random(3)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(None, 3), (5, 5)]
+    parent = list(range(300))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and b is not None and find(a) != find(b):
+            parent[max(find(a), find(b))] = min(find(a), find(b))
+    used = {x for a, b in edges[:-2] if a != b for x in (a, b)}
+    got = {r.node: r.root for r in module.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in used}
+
+
+def test_darts_are_thrown_until_no_coordinate_is_bare():
+    sets = [np.arange(i + 1, i + 40, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) for i in range(0, 8000, 40)]
+    few, full = throw(sets, 64, 64 * 2.0), throw(sets, 64, 64 * 16.0)
+    assert np.isinf(few).any() and np.isfinite(signatures(sets, 64)).all()
+    assert (few[np.isfinite(few)] == full[np.isfinite(few)]).all()  # more darts change nothing that is filled

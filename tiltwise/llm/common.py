@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -29,16 +29,57 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def _folder(spark: SparkSession) -> str:
+    """This session's scratch folder; the driver's JVM removes it when it ends."""
+    found = spark.conf.get("tiltwise.scratch", None)
+    if not found or not found.startswith(shared_dir(spark)):
+        found = f"{shared_dir(spark)}/tiltwise/{uuid.uuid4().hex}"
+        spark.conf.set("tiltwise.scratch", found)
+        path, system = _hadoop(spark, found)
+        system.deleteOnExit(path)
+    return found
+
+
+def _hadoop(spark: SparkSession, path: str):
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: the plan starts anew there.
 
     A lost executor costs the tasks it ran, not what is stored.  The size of the table is then known to the planner,
-    which broadcasts it in a join only if it is below ``spark.sql.autoBroadcastJoinThreshold``.
+    which broadcasts it in a join only if it is below ``spark.sql.autoBroadcastJoinThreshold``.  The table goes with
+    ``discard``, or else when the driver's JVM ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tiltwise/{uuid.uuid4().hex}/{name}"
+    path = f"{_folder(spark)}/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Remove stored tables that nothing unwritten reads any more."""
+    for t in tables:
+        if t is not None:
+            path, system = _hadoop(t.sparkSession, t._scratch)
+            system.delete(path, True)
+
+
+def digest_of(text: Column) -> Column:
+    """16 bytes that stand for a text, null counting as empty."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
+def one_of_each(docs: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each value of ``keys``, the first by a hash of the whole row; null keys are equal.
+
+    Spark keeps one row of each value in every task before it shuffles, so a row that repeats is no hot key.
+    """
+    order = Window.partitionBy(*keys).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if c not in keys]) if len(docs.columns) > len(keys) else F.lit(0))
+    return docs.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
 
 
 def host_of(url: Column) -> Column:
