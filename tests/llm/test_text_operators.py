@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tiltwise.llm.decontaminate import MASKS, best_run, find_overlaps
+from tiltwise.llm.decontaminate import MASKS, best_run, drop_overlapping, find_overlaps, item_classes, normal_word
 from tiltwise.llm.licenses import scan_licenses
 from tiltwise.llm.lines import chunks_of, dedup_lines, dedup_runs
 from tiltwise.llm.minhash import keep_one, near_duplicates, prefixes, signatures, straggler_links, throw
@@ -296,8 +296,10 @@ def test_overlaps_tolerate_substitutions(spark):
     docs = documents(spark, rows)
     got = sorted(((r.doc_id, r.item_id) for r in find_overlaps(docs, bench).collect()), key=str)
     assert got == sorted([(100, 3), (101, 4), (102, 5), (103, 6), (107, 8), (107, 8), (None, 9)], key=str)
-    # A benchmark in several blocks gives the same.
-    assert sorted(((r.doc_id, r.item_id) for r in find_overlaps(docs, bench, block_chars=2000).collect()), key=str) == got
+    # A table of bits that is much too small only lets more through to the join.
+    assert sorted(((r.doc_id, r.item_id) for r in find_overlaps(docs, bench, most_bits=1 << 8).collect()), key=str) == got
+    kept = drop_overlapping(docs, bench)
+    assert kept.columns == docs.columns and sorted((r.doc_id for r in kept.collect())) == [*range(40), 104, 105, 106]
     assert find_overlaps(documents(spark, []), bench).count() == 0
     assert find_overlaps(docs, bench.where("false")).count() == 0
 
@@ -333,6 +335,60 @@ def test_overlaps_of_short_items_equal_brute_force(spark):
     assert sorted((r.doc_id, r.item_id, r.n_matches) for r in got) == wanted and len(wanted) > 200
 
 
+def brute_overlaps(rows, items, share=0.75, least=12):
+    """Document, item and start of every run that meets the rule at an offset where a mask, or a whole short item, agrees."""
+
+    def tokens(t):
+        return [w for w in map(normal_word, (t or "").split()) if w]
+
+    found = set()
+    shortest = min(m[-1] + 1 for m in MASKS)
+    for d, text in rows:
+        here = tokens(text)
+        for item, content in items:
+            own = tokens(content)
+            masks = [range(len(own))] if 0 < len(own) < shortest else MASKS if own else []
+            for offset in range(-len(own) + 1, len(here)):
+                same = np.array([0 <= offset + i < len(here) and here[offset + i] == w for i, w in enumerate(own)], dtype=bool)
+                if any(all(same[p + at] for at in m) for m in masks for p in range(len(own) - m[-1])):
+                    low, high = max(0, -offset), min(len(own), len(here) - offset)
+                    most = brute_run(same[low:high], share)
+                    if most >= min(least, -(-3 * len(own) // 4)):
+                        found.add((d, item, offset, most))
+    return sorted(found, key=str)
+
+
+def test_overlaps_equal_brute_force(spark):
+    rng = random.Random(18)
+    words = [f"w{i}" for i in range(60)]
+    items = [(n, " ".join(rng.choices(words, k=rng.choice([1, 3, 5, 7, 8, 9, 11, 14, 25, 40])))) for n in range(30)]
+    rows = []
+    for n in range(60):
+        parts = rng.choices(words, k=rng.randint(0, 40))
+        for _ in range(rng.choice([0, 1, 2])):
+            own = rng.choice(items)[1].split()
+            for i in rng.sample(range(len(own)), len(own) // 6):
+                own[i] = "changed"
+            parts += own[rng.choice([0, 0, 3]) :] + rng.choices(words, k=rng.randint(0, 5))
+        rows.append((n, " ".join(parts)))
+    rows += [(100, "Of " * 3000 + items[5][1]), (None, items[8][1]), (2**60 + 1, items[9][1]), (7, items[8][1])]  # long, without id, large id, id of another
+    bench = spark.createDataFrame([(t, i, "x") for i, t in items], "text string, item_id long, doc_id string")
+    got = find_overlaps(documents(spark, rows), bench).collect()
+    want = brute_overlaps(rows, items)
+    assert sorted(((r.doc_id, r.item_id, r.doc_start - r.item_start, r.n_matches) for r in got), key=str) == want
+    dirty = {d for d, *_ in brute_overlaps(list(enumerate(t for _, t in rows)), items)}
+    kept = drop_overlapping(documents(spark, rows), bench).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted((r for n, r in enumerate(rows) if n not in dirty), key=str) and 5 < len(kept) < 60
+
+
+def test_items_of_the_same_tokens_are_one(spark):
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    bench = spark.createDataFrame([(5, text), (3, text.upper() + "!"), (4, "a b c d e f g"), (None, "a b  c d e f g"), (9, None)], "item_id long, text string")
+    got = [(r.doc_id, r.item_id, r.n_items) for r in find_overlaps(documents(spark, [(1, "so " + text), (2, "a b c d e f g"), (3, "a b c d e f")]), bench).collect()]
+    assert sorted(got) == [(1, 3, 2), (2, 4, 2)]
+    assert {(r.item_id, r.class_id) for r in item_classes(bench).collect()} == {(5, 3), (3, 3), (4, 4), (None, 4)}
+
+
 # Licenses -----------------------------------------------------------------------------------------------------------------
 
 

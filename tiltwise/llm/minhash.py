@@ -193,11 +193,14 @@ def _classes(docs: DataFrame, similarity: float, shingle: int, bands: int, rows:
                 if full:
                     for i, row in zip(full, band_keys(signatures([sets[i] for i in full], bands * rows), bands, rows), strict=True):
                         keys[i] = row
-                yield pd.DataFrame({"doc_id": b["doc_id"].iloc[start:stop].to_numpy(), "digest": b["digest"].iloc[start:stop].to_numpy(), "keys": keys})
+                yield pd.DataFrame({"id": b["id"].iloc[start:stop].to_numpy(), "none": b["none"].iloc[start:stop].to_numpy(), "digest": b["digest"].iloc[start:stop].to_numpy(), "keys": keys})
                 start = stop
 
     picked = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).withColumn("digest", digest_of(F.col("text")))
-    base = materialise(picked.mapInPandas(first, "doc_id long, digest binary, keys array<long>"), "signatures")
+    # Null ids are flagged, as pandas would make the others floating-point numbers.
+    flagged = picked.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), "digest", "text")
+    base = flagged.mapInPandas(first, "id long, none boolean, digest binary, keys array<long>")
+    base = materialise(base.select(F.when(~F.col("none"), F.col("id")).alias("doc_id"), "digest", "keys"), "signatures")
     # One node for each different text; its keys are those of the row with the smallest id (null only if no row has one).
     nodes = base.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id())
     nodes = materialise(nodes, "nodes")
