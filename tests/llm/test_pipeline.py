@@ -1,9 +1,9 @@
 import inspect
+import random
 
 import corpus_pipeline
 import pytest
 from oracle import check
-from pyspark.sql import functions as F
 
 import __spark_entry__
 from tiltwise.llm import queries
@@ -39,13 +39,77 @@ def test_stages(spark, tmp_path):
     assert run.exceptAll(before).count() == 0 and run.count() == counts[4]
 
 
-def test_stages_on_odd_rows(spark):
-    rows = [(1, "a b c d e f\ng h", "en", "s", 15), (2, "a b c d e f\ng h", "en", "s", 15), (3, None, None, None, None), (4, "", "en", None, 0), (None, "one two three", "en", "s", 13)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    for _, stage in corpus_pipeline.STAGES[1:4]:
-        out = stage(spark, docs, FOLDER)
-        assert out.columns == docs.columns and out.where("doc_id = 1").count() == 1 and out.where("doc_id is null").count() == 1
-        assert stage(spark, docs.where("false"), FOLDER).count() == 0
-    near = corpus_pipeline.near_copies(spark, docs, FOLDER)
-    assert sorted(r.doc_id or 0 for r in near.collect()) == [0, 1, 3]  # 2 copies 1; the null text and the empty one are equal
-    assert corpus_pipeline.mix(spark, docs, FOLDER).select(F.sum("size")).first()[0] == 8 + 8 + 3
+ODD = "doc_id long, text string, lang string, source string, n_chars long, class_id string, digest int, n_lines string, size double"
+
+
+def odd(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t), "extra", 1, "x", 0.5) for i, t in rows], ODD).repartition(3)
+
+
+def texts_of(df):
+    return sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+
+
+def prose(seed, n):
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randint(2, 9))) for _ in range(n))
+
+
+def with_word(text, at, word="other"):
+    words = text.split()
+    return " ".join([*words[:at], word, *words[at + 1 :]])
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_on_empty_tables_and_clashing_names(spark, stage):
+    function = corpus_pipeline.STAGES[stage][1]
+    docs = odd(spark, [(1, "one two three\nfour five"), (None, "six seven"), (2, None), (3, "")])
+    out, none = function(spark, docs, FOLDER), function(spark, docs.where("false"), FOLDER)
+    assert none.count() == 0 and out.count() >= 2
+    if stage < 4:
+        assert out.columns == none.columns == docs.columns and out.schema["size"].dataType == docs.schema["size"].dataType
+        assert {r["class_id"] for r in out.collect()} == {"extra"}
+
+
+def test_quality_stage_on_odd_rows(spark):
+    labelled = spark.read.parquet(f"{FOLDER}/documents.parquet").join(spark.read.parquet(f"{FOLDER}/labels.parquet"), "doc_id").where("length(text) > 500").orderBy("doc_id")
+    good, junk = (labelled.where(f"quality = {q}").first().text for q in (1, 0))
+    big = 10**15
+    rows = [(big, good), (big, junk), (None, good), (None, junk), (big + 5, good + "\n" + good * 300), (big + 6, None), (big + 6, None), (big + 7, "")]
+    docs = odd(spark, rows).select("doc_id", "text", "class_id").unionByName(spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text"), allowMissingColumns=True)
+    kept = texts_of(corpus_pipeline.quality(spark, docs, FOLDER).where("class_id = 'extra'"))
+    assert (None, good) in kept and (big, good) in kept and not any(t == junk for _, t in kept)
+    assert all(r in rows for r in kept) and kept.count((big + 6, None)) in (0, 2)
+
+
+def test_lines_stage_on_odd_rows(spark):
+    run = "first shared line of a passage\nsecond shared line of a passage"
+    rows = [(1, "own\n" + run), (2, run + "\nend"), (None, "x\n" + run), (3, None), (4, ""), (9, "only\nhere" * 3)]
+    docs = odd(spark, [*rows, (None, "a line that rows have\nwithout any id\nleft"), (None, "a line that rows have\nwithout any id\nright")])
+    out = corpus_pipeline.lines(spark, docs, FOLDER)
+    got = texts_of(out)
+    assert [r for r in got if r[0]] == sorted([(1, "own\n" + run), (2, "end"), (3, None), (4, ""), rows[5]], key=str)
+    assert sorted(t for d, t in got if d is None) in (["a line that rows have\nwithout any id\nleft", "right", "x"], ["a line that rows have\nwithout any id\nright", "left", "x"])
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in out.collect())
+
+
+def test_near_copy_stage_on_odd_rows(spark):
+    base = prose(1, 200)
+    rows = [(7, base), (7, base), (None, with_word(base, 50)), (1, prose(2, 60)), (2, with_word(base, 100)), (2, prose(3, 60)), (None, None), (4, ""), (None, "alone"), (8, prose(4, 30_000))]
+    got = texts_of(corpus_pipeline.near_copies(spark, odd(spark, rows), FOLDER))
+    assert got == sorted([rows[3], rows[4], rows[5], (4, ""), rows[8], rows[9]], key=str)
+
+
+def test_leak_stage_on_odd_rows(spark):
+    item = spark.read.parquet(f"{FOLDER}/benchmark.parquet").first().text
+    dirty = "before " + item + " after"
+    rows = [(1, dirty), (1, "clean words"), (None, dirty), (None, "clean words"), (3, None), (4, ""), (5, dirty), (5, dirty), (6, prose(5, 30_000)), (7, prose(5, 30_000) + " " + dirty)]
+    got = texts_of(corpus_pipeline.leaks(spark, odd(spark, rows), FOLDER))
+    assert got == sorted([rows[1], rows[3], rows[4], rows[5], rows[8]], key=str)
+
+
+def test_mix_stage_on_odd_rows(spark):
+    rows = [(1, "a b c"), (1, "a b c"), (None, "d e"), (None, "d e"), (3, None), (4, ""), (5, "w " * 50_000)]
+    got = corpus_pipeline.mix(spark, odd(spark, rows), FOLDER).collect()
+    assert sorted(r["size"] for r in got) == [0, 0, 2, 2, 3, 3, 50_000] and {r.source_size for r in got} == {50_010}
+    assert all(0 <= r.taken <= 2 * r["size"] for r in got) and abs(sum(r.taken for r in got) - 1.5 * 50_010) < 64

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 STATISTICS = (
     "log_words", "word_mean", "word_sd", "word_longest", "distinct", "repeats_last", "top_word", "short_words", "log_lines",
@@ -56,10 +56,12 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "x": [statistics_of(t) for t in b["text"]]})
+            yield pd.DataFrame({"id": b["id"], "none": b["none"], "x": [statistics_of(t) for t in b["text"]]})
 
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return picked.mapInPandas(run, "doc_id long, x array<double>")
+    own = F.col(f"`{id_col}`").cast("long")
+    # Null ids are flagged, as pandas would make the others floating-point numbers.
+    picked = docs.select(F.coalesce(own, F.lit(0)).alias("id"), own.isNull().alias("none"), F.col(f"`{text_col}`").alias("text"))
+    return picked.mapInPandas(run, "id long, none boolean, x array<double>").select(F.when(~F.col("none"), F.col("id")).alias("doc_id"), "x")
 
 
 @dataclass
@@ -162,13 +164,18 @@ class Scorer:
         return self.model.score(x) if self.model else np.full(len(x), self.plain)
 
 
+def training_labels(labels: DataFrame) -> DataFrame:
+    """``doc_id, y, part`` of the labelled documents whose crc32 of the id is not 0 modulo 5."""
+    labels = labels.where("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("y"))
+    return labels.withColumn("fold", fold(F.col("doc_id"))).where("fold <> 0").select("doc_id", "y", (F.col("fold") - 1).alias("part"))
+
+
 def train(stats: DataFrame, labels: DataFrame, **fit_options) -> Scorer:
-    """Fit on the rows of ``stats`` (``doc_id, x``) that have a label and whose crc32 of the id is not 0 modulo 5."""
-    labels = labels.where("quality in (0, 1)").groupBy(F.col("doc_id").alias("doc_id")).agg(F.min("quality").cast("int").alias("y"))
-    labels = labels.withColumn("fold", fold(F.col("doc_id"))).where("fold <> 0").withColumn("part", F.col("fold") - 1)
+    """Fit on the rows of ``stats`` (``doc_id, x``) that ``labels`` (of ``training_labels``) has."""
     rows = materialise(stats.join(labels, "doc_id").select("x", "y", "part"), "train")
     model = fit(rows, **fit_options)
     share = rows.agg(F.avg("y")).first()[0] if model is None else None
+    discard(rows)
     return Scorer(model, 1.0 if share is None else share)
 
 
@@ -181,24 +188,33 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
     among the labels (1 without labels).  Rows that repeat get the same score; extra columns are ignored.
     """
     stats = materialise(document_statistics(docs, id_col, text_col), "statistics")
-    scorer = train(stats, labels, **fit_options)
+    scorer = train(stats, training_labels(labels), **fit_options)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                yield pd.DataFrame({"doc_id": b["doc_id"], "score": scorer.score(np.stack(b["x"]))})
+                yield pd.DataFrame({"id": b["id"], "none": b["none"], "score": scorer.score(np.stack(b["x"]))})
 
-    scored = stats.mapInPandas(run, "doc_id long, score double")
+    flagged = stats.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), "x")
+    scored = flagged.mapInPandas(run, "id long, none boolean, score double").select(F.when(~F.col("none"), F.col("id")).alias("doc_id"), "score")
     return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", **fit_options) -> DataFrame:
+def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_rows: int = 120_000, id_col: str = "doc_id", text_col: str = "text", **fit_options) -> DataFrame:
     """The rows of ``docs`` whose score is ``threshold`` or more, as they are.
 
-    The model is trained as in ``score_documents``.  Texts are scored where they are read, a second time, so that they need not
-    be shuffled.
+    The model is that of ``score_documents``, fitted on about ``max_rows`` labelled documents at most (those with the lowest
+    hash of their ids): only their statistics are taken beforehand, and all texts are scored where they are read.
     """
-    scorer = train(materialise(document_statistics(docs, id_col, text_col), "statistics"), labels, **fit_options)
+    chosen = materialise(training_labels(labels), "labels")
+    total = chosen.count()
+    if total > max_rows:
+        chosen = chosen.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * max_rows / total))
+    own = F.col(f"`{id_col}`").cast("long")
+    # At most about ``max_rows`` ids are sent.
+    few = docs.select(own.alias("doc_id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
+    scorer = train(document_statistics(few), chosen, max_rows=max_rows, **fit_options)
+    discard(chosen)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
