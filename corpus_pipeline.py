@@ -10,39 +10,57 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tiltwise.llm.common import materialise
-from tiltwise.llm.decontaminate import find_overlaps
-from tiltwise.llm.lines import dedup_runs
-from tiltwise.llm.minhash import near_duplicates
+from tiltwise.llm.decontaminate import drop_overlapping
+from tiltwise.llm.lines import dedup_lines
+from tiltwise.llm.minhash import keep_one
 from tiltwise.llm.mixing import mix_documents
 from tiltwise.llm.quality import keep_quality
 from tiltwise.llm.queries import WEIGHTS, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the classifier rejects (a score below 0.3)."""
+    """Drop the documents that the classifier rejects (a score below 0.3).
+
+    Every row is scored by its own text, null and empty ones as texts without words, long ones whole; so rows that repeat or
+    share an id go or stay by their texts, with or without an id.  Columns pass through, whatever their names.  An empty
+    table stays empty; without labels every score is 1 and all rows stay.
+    """
     return keep_quality(docs, table(spark, sf_dir, "labels"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut runs of lines that occur before; every document stays, with n_chars of what is left of it."""
-    cut = dedup_runs(docs).withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")))
-    return cut.select(*docs.columns)
+    """Cut chunks of lines that occur before; every document stays, with n_chars of what is left of it.
+
+    Of what repeats the row of the smallest id keeps one (null ids come last; rows of the same id, or without one, are in the
+    order of a hash of their texts, and rows of the same id and text are one document and cut nothing from each other).  A
+    null text stays null, an empty one empty; other columns pass through, whatever their names.
+    """
+    cut = dedup_lines(docs.withColumn("n_chars", F.lit(None).cast("long")) if "n_chars" not in docs.columns else docs)
+    return cut.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long"))).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each class of near-duplicates."""
-    dropped = near_duplicates(docs).where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(materialise(dropped, "dropped").hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    """Keep one row of each class of near-duplicates: that of the smallest id, or any if none has one.
+
+    Rows go by their texts: copies without an id, under the same id and rows that repeat go, and an unrelated text that shares
+    an id with a copy stays.  Null, empty and blank texts are copies of equal ones alone (null is empty).
+    """
+    return keep_one(docs)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that overlap with an item of the benchmark."""
-    found = find_overlaps(docs, table(spark, sf_dir, "benchmark")).select("doc_id").where("doc_id is not null").distinct()
-    return docs.join(materialise(found, "leaks").hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    """Drop the rows whose text overlaps with an item of the benchmark, with or without an id.
+
+    Null and empty texts stay; a clean text stays though a dropped one has its id; without a benchmark all stay.
+    """
+    return drop_overlapping(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix takes."""
+    """How many words of each document the mix takes: a row for each row of docs.
+
+    A null or empty text has no words; a null source is a source of its own; rows that repeat are documents of their own.
+    """
     return mix_documents(docs, WEIGHTS).select("doc_id", "size", "source_size", "target", "taken")
 
 
