@@ -1,13 +1,15 @@
 import html
 import random
 import re
+import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 
 from tiltwise.llm.hamming import nearest_codes
-from tiltwise.llm.htmltext import extract_text, low_branches, main_text
+from tiltwise.llm.htmltext import FLOOR, branch_importance, extract_text, kept_text, main_text, read_page
 from tiltwise.llm.mixing import mix_documents, seats, source_targets
 from tiltwise.llm.quality import isotonic, keep_quality, score_documents
 from tiltwise.llm.urlrules import Rule, judge_urls, rules_frame
@@ -106,24 +108,105 @@ def test_deep_page():
     assert main_text("<div>" * 20000 + "deep" + "</div>" * 20000) == "deep"
 
 
-def test_style_tree_cuts_the_frame_of_a_site(spark):
+def test_broken_markup_is_read_in_linear_time():
+    pages = ['<a "x ' * 16000, "<p " * 40000, "<a href='x " * 20000, "<b>" * 20000 + "<div>x</div>" * 20000, "<div>" * 20000 + "</x>" * 20000, "<!-- " * 20000, "<" * 100000, "<a b=\"'>" * 20000, "<li><div>" * 20000]
+    began = time.time()
+    for page in pages:
+        main_text(page)
+    assert time.time() - began < 9  # each takes some 0.1 s
+    assert main_text('<p title="a>b">x</p><p title="y>z') == 'x\nz' and main_text("<!-- a > b -->c<!-- d") == "c"
+
+
+def brute_importance(pages, shared=8, damping=0.9):
+    """The style tree with dictionaries: one of each host, one of all, and the markup's mean."""
+    shown, said, marks = {}, {}, {}
+    for host, page in pages:
+        branches, blocks = read_page(page)
+        own = "\n".join(t for b, t in blocks if b.factor > 0.1)
+        for b in branches:
+            if not b.frame:
+                shown.setdefault((host, b.path), {}).setdefault(frozenset(b.below), set()).add(own)
+                for t in b.texts:
+                    said.setdefault((host, b.path), {}).setdefault(t, set()).add(own)
+                marks.setdefault((host, b.path), []).append((b.factor, b.main))
+    out = {}
+    for tree in ("host", "all"):
+        counts, styles = {}, {}
+        for (host, path), texts in said.items():
+            own = counts.setdefault((host if tree == "host" else "", path), Counter())
+            for t, p in texts.items():
+                own[t] += len(p)
+        for (host, path), sets in shown.items():
+            own = styles.setdefault((host if tree == "host" else "", path), Counter())
+            for f, p in sets.items():
+                own[f] += len(p)
+        for (host, path), c in styles.items():
+            n = sum(c.values())
+            varied = -sum(x / n * np.log(x / n) for x in c.values()) / np.log(n) if n > 1 else 0.0
+            top = bottom = 0.0
+            for (h, below), texts in counts.items():
+                if h == host and (below + "/").startswith(path + "/"):
+                    m, weight = sum(styles[h, below].values()), damping ** (below.count("/") - path.count("/"))
+                    bottom += weight * sum(texts.values())
+                    top += weight * sum(x * (1 - (np.log(x) / np.log(m) if m > 1 else 0)) for x in texts.values())
+            if bottom:
+                out[tree, host, path] = ((1 - damping) * varied + damping * top / bottom, n)
+    result = {}
+    for (tree, host, path), (entropy, n) in out.items():
+        if tree == "host":
+            common, m = out["all", "", path]
+            weight = min(m - 1, shared)
+            mixed = ((n - 1) * entropy + weight * common + 1) / (n + weight)
+            factor, main = np.mean(marks[host, path], axis=0)
+            result[host, path] = factor * max(mixed, FLOOR if main > 0.5 else 0)
+    return result
+
+
+def site(rng, n, host, article):
+    """Pages with a frame that repeats, a list of links, adverts that differ, and their own text, in an article or not."""
+    out = []
+    for i in range(n):
+        own = [" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(30)) for _ in range(rng.randint(1, 4))]
+        body = "".join(f"<p>{t}</p>" for t in own)
+        share = '<div class="tools"><p>Print this page</p></div>'  # no word that speaks against it
+        main = f"<article><h1>{own[0][:20]}</h1>{body}{share}</article>" if article else f'<div class="story"><h1>{own[0][:20]}</h1>{body}{share}</div>'
+        links = "".join(f'<li><a href="/{rng.random()}">{rng.choice("uvwxyz") * rng.randint(2, 5)}</a></li>' for _ in range(6))
+        advert = '<div class="advert"><p>' + " ".join(rng.choice(["buy", "now", "cheap", "best"]) for _ in range(8)) + "</p></div>"
+        page = f'<body><div class="top"><p>Welcome to the site</p></div><div class="list"><ul>{links}</ul></div>{advert}{main}<div class="bottom"><p>All about us</p></div></body>'
+        out.append((f"http://{host}/{i}", page, "\n".join([own[0][:20].strip(), *own])))
+    return out
+
+
+def test_style_tree_equals_brute_force(spark):
     rng = random.Random(1)
-    pages, body = [], {}
-    for i in range(40):
-        own = " ".join(rng.choice("abcdefgh") * rng.randint(1, 9) for _ in range(40))
-        body[i] = own
-        pages.append((i, f"http://site.test/{i}", f'<body><div class="top"><p>Welcome to the site</p></div><div class="story"><p>{own}</p></div><div class="bottom"><p>All about us</p></div></body>', "clash"))
-    pages += [(100, "http://small.test/1", "<p>Welcome</p>", "x"), (101, None, None, None), (102, "none", "", ""), (0, pages[0][1], pages[0][2], "y")]
-    df = spark.createDataFrame(pages, "page_id long, url string, html string, host string")
-    got = {r.page_id: (r.url, r.text, r.n_chars) for r in extract_text(df).collect()}
-    assert all(got[i] == (f"http://site.test/{i}", body[i], len(body[i])) for i in body)
-    assert got[100][1] == "Welcome" and got[101] == (None, "", 0) and got[102][1] == ""
-    assert extract_text(df).count() == len(pages) and extract_text(df.where("false")).count() == 0
+    pages = [(h, p) for h, n, article in (("a.test", 12, True), ("b.test", 9, False), ("c.test", 1, False), ("d.test", 2, True)) for _, p, _ in site(rng, n, h, article)]
+    pages += [("b.test", pages[13][1]), ("", ""), ("", None), ("b.test", "<p>odd <a href=x>page</a>")]
+    got = {(r.host, r.path): r.importance for r in branch_importance(spark.createDataFrame(pages, "host string, html string").repartition(3)).collect()}
+    want = brute_importance(pages)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
+@pytest.mark.parametrize("article", [True, False])
+def test_style_tree_cuts_the_frame_of_a_site(spark, article):
+    rng = random.Random(2)
+    pages = [(i, *p, "clash") for i, p in enumerate(site(rng, 40, "site.test", article))]
+    pages += [(100 + i, *p, "clash") for i, p in enumerate(site(rng, 3, "small.test", article))]
+    copies = site(rng, 1, "copies.test", article)[0]
+    pages += [(200 + i, f"{copies[0]}?page={i}", copies[1], copies[2], "clash") for i in range(20)]
+    pages += [(300, "http://one.test/1", "<p>Welcome</p>", "Welcome", "x"), (301, None, None, "", None), (302, "none", "", "", ""), (0, *pages[0][1:])]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, want string, host string")
+    found = extract_text(df).collect()
+    got = {r.page_id: (r.url, r.text, r.n_chars) for r in found}
+    assert len(found) == len(pages) and extract_text(df.where("false")).count() == 0
+    assert all(got[i] == (u, w, len(w)) for i, u, _, w, _ in pages)  # small sites are judged by the shared tree
+    assert all(r.n_cut >= 5 for r in found if r.page_id < 100)  # top, list, advert, tools, bottom
 
 
 def test_articles_of_the_test_pages(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
     got = {r.page_id: r.text for r in extract_text(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).collect()}
+    cut = extract_text(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).where("n_cut >= 3").count()
+    assert cut == len(rows)  # by the tree: links, advert and footer
     for r in rows:
         article = re.search(r"<article>(.*?)(</article>|\Z)", r.html, re.S)[1]
         blocks = (re.sub(r"\s+", " ", html.unescape(re.sub(r"</?b>|<br>", "", b))).strip() for b in re.split(r"</?(?:p|h1)>", article))
@@ -215,9 +298,3 @@ def test_nearest_with_few_rows(spark):
     df = spark.createDataFrame([(1, [1.0, -1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<double>")
     assert [(r.query_id, r.vec_id, r.distance) for r in nearest_codes(df, df.where("vec_id = 1")).orderBy("rank").collect()] == [(1, 1, 0), (1, 2, 1)]
     assert nearest_codes(df.where("false"), df.where("false")).count() == 0
-
-
-def test_low_branches_need_pages(spark):
-    df = spark.createDataFrame([("h", "<div class=a><p>same</p></div>")] * 3, "host string, html string")
-    assert low_branches(df).count() == 0
-    assert low_branches(df, least_pages=2).count() == 1
