@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tiltwise.llm.hamming import nearest_codes
+from tiltwise.llm.hamming import nearest_codes, segments_of
 from tiltwise.llm.htmltext import FLOOR, branch_importance, extract_text, kept_text, main_text, read_page
 from tiltwise.llm.mixing import mix_documents, seats, source_targets
 from tiltwise.llm.quality import isotonic, keep_quality, score_documents
@@ -276,25 +276,36 @@ def test_targets_without_cap(spark):
 # Hamming search -----------------------------------------------------------------------------------------------------------
 
 
-def test_nearest_equal_brute_force(spark):
-    rng = np.random.default_rng(1)
-    centres = rng.normal(size=(6, 40))
-    rows = [(i, [float(x) for x in centres[i % 6] + rng.normal(size=40) * 0.5]) for i in range(400)]
-    rows += [(400 + i, rows[0][1]) for i in range(30)] + [(500, None), (501, []), (502, [None] * 40), (503, [1.0] * 7), (0, rows[0][1])]
-    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<double>, part int, block int").repartition(3)
-    queries = df.where("vec_id % 50 = 0")
-    got = {(r.query_id, r.rank): (r.vec_id, r.distance) for r in nearest_codes(df, queries, k=10, block_rows=100, query_rows=4).collect()}
+@pytest.mark.parametrize("dims", [40, 64, 100, 5])
+def test_nearest_equal_brute_force(spark, dims):
+    rng = np.random.default_rng(dims)
+    centres = rng.normal(size=(6, dims))
+    rows = [(i, [float(x) for x in centres[i % 6] + rng.normal(size=dims) * 0.5]) for i in range(400)]
+    rows += [(400 + i, rows[0][1]) for i in range(30)] + [(500, None), (501, []), (502, [None] * dims), (503, [1.0] * 3), (0, rows[0][1]), (None, rows[1][1]), (None, rows[50][1]), (2**60 + 1, rows[2][1])]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<double>, part int, q int").repartition(3)
+    queries = df.where("vec_id % 50 = 0 or vec_id is null or vec_id > 1000")
+    found = nearest_codes(df, queries, k=10, split=20).collect()  # most values of short segments are split
+    got = {(r.query_id, r.rank): (r.vec_id, r.distance) for r in found}
 
     def bits(v):
-        return np.array([x is not None and x > 0 for x in v] + [False] * (40 - len(v)))
+        return np.array([x is not None and x > 0 for x in v] + [False] * (dims - len(v)))
 
-    codes = [(i, bits(v)) for i, v in rows if v is not None]
-    for q, v in [r for r in rows if r[0] % 50 == 0 and r[1] is not None and r[0] != 0]:
-        best = sorted((int((bits(v) != c).sum()), i) for i, c in codes)[:10]
-        assert [got[q, n + 1] for n in range(10)] == [(i, d) for d, i in best]
+    codes = [(i is None, i, bits(v)) for i, v in rows if v is not None]
+    asked = [r for r in rows if (r[0] is None or r[0] % 50 == 0 or r[0] > 1000) and r[1] is not None]
+    assert len(found) == 10 * len(asked)
+    for q, v in asked:
+        best = sorted((int((bits(v) != c).sum()), none, i or 0) for none, i, c in codes)[:10]
+        if q is not None and q != 0:
+            assert [got[q, n + 1] for n in range(10)] == [(None if none else i, d) for d, none, i in best]
+
+
+def test_segments_cover_all_bits_once():
+    for dims, n in ((1, 1), (5, 3), (64, 10_000), (64, 10**9), (100, 500), (1024, 10**6)):
+        bits = [(word, low + i) for word, low, width in segments_of(dims, n) for i in range(width)]
+        assert sorted(set(bits)) == sorted(bits) == [(i // 64, i % 64) for i in range(dims)]
 
 
 def test_nearest_with_few_rows(spark):
     df = spark.createDataFrame([(1, [1.0, -1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<double>")
     assert [(r.query_id, r.vec_id, r.distance) for r in nearest_codes(df, df.where("vec_id = 1")).orderBy("rank").collect()] == [(1, 1, 0), (1, 2, 1)]
-    assert nearest_codes(df.where("false"), df.where("false")).count() == 0
+    assert nearest_codes(df.where("false"), df.where("false")).count() == nearest_codes(df, df.where("false")).count() == nearest_codes(df.where("false"), df).count() == 0

@@ -1,12 +1,14 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A code is cut into segments of 16 bits.  If two codes differ in at most D = m r + a bits, with m segments and a < m, then one
-of the first a + 1 segments differs in at most r bits, or one of the others in at most r - 1.  So a query looks up its
-segments at growing radii and stops when its k-th verified distance is not above the D that is covered.
-
-Rows with equal codes are one entry with their k smallest ids, summed in two steps, so a common vector is no hot key.  The
-entries are dealt evenly to blocks of about ``block_rows``; each block builds its own index and answers the queries, which
-are sent to it in blocks as well, and the best k of each query over all blocks are kept.
+A code is cut into m segments of about log2(number of codes) bits, and each segment's value is a key of the index.  If two codes
+differ in at most m (r + 1) - 1 bits, one of their segments differs in at most r.  So a query looks up all values of its
+segments at radius r, for r = 0, 1, ..., and leaves when its k-th verified distance is not above what is covered.
+
+The index is a table of (segment, value) keys and a radius is one join with it, so neither codes nor queries are sent everywhere.
+A pair is met by several segments and radii but counted once: at its smallest segment distance, by the first segment that
+has it, which both codes tell.  Only the k nearest of each query leave a task.  Rows with equal codes are one entry with their k
+smallest ids, summed in two steps, and queries with equal codes are asked once, so a common vector is no hot key.  Values that
+more than ``split`` entries have are split, and what asks for them is sent to each part.
 """
 
 from __future__ import annotations
@@ -17,113 +19,139 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
-SEGMENT = 16
+WORD = 64
+PROBES = 400_000  # rows that a task makes at once
 
 
 def pack(vectors: list, dims: int) -> np.ndarray:
-    """Codes as rows of 16-bit words: bit i is set where component i is above 0; null components and missing ones are not."""
-    words = max(1, -(-dims // SEGMENT))
-    bits = np.zeros((len(vectors), words * SEGMENT), dtype=bool)
+    """Codes as rows of 64-bit words: bit i is set where component i is above 0; null components and missing ones are not."""
+    words = max(1, -(-dims // WORD))
+    bits = np.zeros((len(vectors), words * WORD), dtype=bool)
     for i, v in enumerate(vectors):
-        bits[i, : len(v)] = np.array([x is not None and x > 0 for x in v]) if any(x is None for x in v) else np.asarray(v, dtype=float) > 0
-    return np.packbits(bits, axis=1).view(np.uint16)
-
-
-def _masks(radius: int) -> np.ndarray:
-    return np.array([sum(1 << b for b in c) for c in combinations(range(SEGMENT), radius)], dtype=np.uint16)
-
-
-MASKS = [_masks(r) for r in range(SEGMENT + 1)]
-
-
-class MultiIndex:
-    """For each segment, the codes in the order of its value, with the place where each value begins."""
-
-    def __init__(self, codes: np.ndarray):
-        self.codes = codes
-        self.order = [np.argsort(codes[:, s], kind="stable") for s in range(codes.shape[1])]
-        self.begin = [np.concatenate(([0], np.cumsum(np.bincount(codes[:, s], minlength=1 << SEGMENT)))) for s in range(codes.shape[1])]
-
-    def search(self, code: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Entries and distances of all codes no further than the k-th nearest, in no order."""
-        m, n = self.codes.shape[1], len(self.codes)
-        seen = np.zeros(n, dtype=bool)
-        rows, dist = [], []
-        counts = np.zeros(m * SEGMENT + 2, dtype=np.int64)
-        for radius in range(SEGMENT + 1):
-            for s in range(m):
-                values = code[s] ^ MASKS[radius]
-                low, size = self.begin[s][values], self.begin[s][values.astype(np.int64) + 1] - self.begin[s][values]
-                low, size = low[size > 0], size[size > 0]
-                if len(size):
-                    at = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                    new = self.order[s][at]
-                    new = new[~seen[new]]
-                    if len(new):
-                        seen[new] = True
-                        far = np.bitwise_count(self.codes[new] ^ code).sum(axis=1, dtype=np.int64)
-                        rows.append(new)
-                        dist.append(far)
-                        counts += np.bincount(far, minlength=len(counts))
-                # Every code within m * radius + s bits has been met.
-                covered = m * radius + s
-                if counts[: covered + 1].sum() >= min(k, n):
-                    r, d = np.concatenate(rows), np.concatenate(dist)
-                    kth = np.partition(d, min(k, n) - 1)[min(k, n) - 1]
-                    return r[d <= kth], d[d <= kth]
-        return np.concatenate(rows), np.concatenate(dist)
-
-
-def nearest_codes(
-    vectors: DataFrame, queries: DataFrame, k: int = 10, block_rows: int = 32768, query_rows: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding"
-) -> DataFrame:
+        bits[i, : len(v)] = np.array([x is not None and x > 0 for x in v], dtype=bool) if any(x is None for x in v) else np.asarray(v, dtype=float) > 0
+    return np.packbits(bits, axis=1, bitorder="little").view("<i8")
+
+
+def segments_of(dims: int, n: int) -> list[tuple[int, int, int]]:
+    """Word, lowest bit and width of each segment: about log2(n) bits each, none across words."""
+    wanted, found = max(4.0, math.log2(max(2, n))), []
+    for word in range(max(1, -(-dims // WORD))):
+        used = max(1, min(WORD, dims - word * WORD))
+        parts = max(1, round(used / min(wanted, 24)))
+        edges = [used * i // parts for i in range(parts + 1)]
+        found += [(word, a, b - a) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    return found
+
+
+def masks_of(width: int, radius: int) -> np.ndarray:
+    return np.array([sum(1 << b for b in c) for c in combinations(range(width), radius)], dtype=np.int64)
+
+
+def _value(words: Column, segment: tuple[int, int, int]) -> Column:
+    word, low, width = segment
+    return F.shiftrightunsigned(words[word], low).bitwiseAND(F.lit((1 << width) - 1 if width < WORD else -1))
+
+
+def nearest_codes(vectors: DataFrame, queries: DataFrame, k: int = 10, split: int = 100_000, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Return ``query_id, rank, vec_id, distance``: the ``k`` rows of ``vectors`` nearest to each row of ``queries``.
 
     Codes have a bit for each component, set where it is above 0; shorter vectors count as filled with unset bits.  The order
     is by distance, then id (null last); a query that is a row of ``vectors`` finds itself.  Rows that repeat are found
-    each.  Null vectors are neither found nor searched for; empty ones are codes without a set bit.  With fewer than
-    ``k`` rows, all are returned; without rows, nothing.
+    each, and queries that repeat are answered each, with or without an id.  Null vectors are neither found nor searched
+    for; empty ones are codes without a set bit.  With fewer than ``k`` rows, all are returned; without rows, nothing.
+    Other columns are ignored.
     """
-    dims = max(vectors.agg(F.max(F.size(vector_col))).first()[0] or 0, queries.agg(F.max(F.size(vector_col))).first()[0] or 0)
+    size = F.max(F.size(f"`{vector_col}`"))
+    dims = max(vectors.agg(size).first()[0] or 0, queries.agg(size).first()[0] or 0)
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "code": [c.tobytes() for c in pack(list(b["v"]), dims)]})
+            yield pd.DataFrame({"id": b["id"], "none": b["none"], "code": list(pack(list(b["v"]), dims))})
 
     def coded(df: DataFrame) -> DataFrame:
-        return df.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).mapInPandas(encode, "id long, code binary")
+        own = F.col(f"`{id_col}`").cast("long")
+        picked = df.select(F.coalesce(own, F.lit(0)).alias("id"), own.isNull().alias("none"), F.col(f"`{vector_col}`").alias("v"))
+        return picked.where("v is not null").mapInPandas(encode, "id long, none boolean, code array<long>")
+
+    order = ["none", "id"]
+    rows = coded(vectors).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(64)))
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("code", "part").orderBy(*order))).where(F.col("n") <= k)
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("code").orderBy(*order))).where(F.col("n") <= k)
+    entries = materialise(rows.groupBy("code").agg(F.sort_array(F.collect_list(F.struct("none", "id"))).alias("ids")), "codes")
+    counted = entries.agg(F.count("*").alias("entries"), F.sum(F.size("ids")).alias("rows")).first()
+    wanted = min(k, counted["rows"] or 0)
+    segments = segments_of(dims, counted["entries"])
+    keys = F.array(*[F.struct(F.lit(s).alias("s"), _value(F.col("code"), seg).alias("v")) for s, seg in enumerate(segments)])
+    index = entries.select(F.explode(keys).alias("key"), "code", "ids").select("key.s", "key.v", "code", "ids")
+    hot = index.groupBy("s", "v").agg(F.count("*").alias("size")).where(F.col("size") > split).select("s", "v", F.ceil(F.col("size") / split).cast("int").alias("parts"))
+    hot = materialise(hot, "hot_values")
+    part = F.pmod(F.xxhash64("code"), F.coalesce("parts", F.lit(1))).cast("int")
+    index = materialise(index.join(hot, ["s", "v"], "left").select("s", "v", part.alias("part"), "code", "ids"), "index")
 
-    ids = F.col("id").asc_nulls_last()
-    rows = coded(vectors).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(64))).withColumn("n", F.row_number().over(Window.partitionBy("code", "part").orderBy(ids))).where(F.col("n") <= k)
-    entries = rows.withColumn("n", F.row_number().over(Window.partitionBy("code").orderBy(ids))).where(F.col("n") <= k).groupBy("code").agg(F.sort_array(F.collect_list(F.struct(F.col("id").isNull().alias("none"), "id"))).alias("ids"))
-    entries = materialise(entries.select("code", F.col("ids.id").alias("ids")), "codes")
     asked = materialise(coded(queries), "queries")
-    blocks, asked_blocks = max(1, -(-entries.count() // block_rows)), max(1, -(-asked.count() // query_rows))
-    entries = entries.withColumn("block", F.pmod(F.xxhash64("code"), F.lit(blocks)))
-    asked = asked.withColumn("part", F.pmod(F.xxhash64("id", "code"), F.lit(asked_blocks)))
-    # Each pair of blocks is one group; ``kind`` keeps the two sides apart.
-    left = entries.select("block", F.explode(F.sequence(F.lit(0), F.lit(asked_blocks - 1))).alias("part"), "code", "ids")
-    right = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "part", "code", "id")
-
-    def answer(codes: pd.DataFrame, sought: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        if len(codes) and len(sought):
-            index = MultiIndex(np.frombuffer(b"".join(codes["code"]), dtype=np.uint16).reshape(len(codes), -1))
-            found = codes["ids"].tolist()
-            known: dict[bytes, list] = {}
-            for q, code in zip(sought["id"], sought["code"], strict=True):
-                if code not in known:
-                    at, far = index.search(np.frombuffer(code, dtype=np.uint16), k)
-                    best = sorted((d, i != i or i is None, i) for r, d in zip(at.tolist(), far.tolist(), strict=True) for i in found[r])[:k]
-                    known[code] = best
-                out += [(q, i, d) for d, _, i in known[code]]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "distance"]).astype({"query_id": "Int64", "vec_id": "Int64"})
-
-    near = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(answer, "query_id long, vec_id long, distance int")
-    order = Window.partitionBy("query_id").orderBy("distance", F.col("vec_id").asc_nulls_last())
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")
+    active = materialise(asked.select("code").distinct().withColumn("q", F.monotonically_increasing_id()), "asked")
+    members = materialise(asked.join(active, "code").select("q", "id", "none"), "members")
+
+    # Segment distances of a pair, and whether this segment and radius are the first to meet it.
+    apart = [F.bit_count(_value(F.col("sought"), seg).bitwiseXOR(_value(F.col("code"), seg))) for seg in segments]
+    first = F.lit(True)
+    for s, d in enumerate(apart):
+        first = first & ((d > F.col("radius")) | ((d == F.col("radius")) & (F.col("s") <= s)))
+    distance = sum(apart[1:], apart[0]).cast("int")
+    near = Window.partitionBy("q").orderBy("distance", "none", "id")
+    nearest = Window.partitionBy("q").orderBy("distance", F.col("ids")[0]["none"], F.col("ids")[0]["id"])
+
+    best, done = None, []
+    widest = max(width for _, _, width in segments)
+    radii = [0, 1]
+    while wanted and radii:
+
+        def probe(batches: Iterator[pd.DataFrame], radii=tuple(radii)) -> Iterator[pd.DataFrame]:
+            masks = [(s, r, masks_of(width, r)) for s, (_, _, width) in enumerate(segments) for r in radii]
+            each = sum(len(m) for *_, m in masks)
+            step = max(1, PROBES // max(1, each))
+            for b in batches:
+                for i in range(0, len(b), step):
+                    own = b.iloc[i : i + step]
+                    code = np.stack([np.asarray(c, dtype=np.int64) for c in own["code"]])
+                    out = {"q": [], "s": [], "radius": [], "v": []} | {f"w{w}": [] for w in range(code.shape[1])}
+                    for s, r, mask in masks:
+                        word, low, width = segments[s]
+                        value = (code[:, word].view(np.uint64) >> np.uint64(low) & np.uint64((1 << width) - 1)).view(np.int64)
+                        out["v"].append((value[:, None] ^ mask).ravel())
+                        out["q"].append(np.repeat(own["q"].to_numpy(), len(mask)))
+                        out["s"].append(np.full(len(own) * len(mask), s))
+                        out["radius"].append(np.full(len(own) * len(mask), r))
+                        for w in range(code.shape[1]):
+                            out[f"w{w}"].append(np.repeat(code[:, w], len(mask)))
+                    yield pd.DataFrame({c: np.concatenate(parts) for c, parts in out.items()})
+
+        words = [f"w{w}" for w in range(max(1, -(-dims // WORD)))]
+        probes = active.select("q", "code").mapInPandas(probe, "q long, s int, radius int, v long, " + ", ".join(f"{w} long" for w in words)).join(hot, ["s", "v"], "left")
+        probes = probes.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+        met = probes.join(index.hint("merge"), ["s", "v", "part"]).withColumn("sought", F.array(*words)).where(first).select("q", distance.alias("distance"), "ids")
+        # An entry's smallest id stands for it: what is not among the first k entries has no row among the first k.
+        met = met.withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= k).select("q", "distance", F.explode("ids").alias("row")).select("q", "distance", "row.none", "row.id")
+        pool = met if best is None else met.unionByName(best.select("q", "distance", "none", "id"))
+        ranked = materialise(pool.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k), "ranked")
+        covered = len(segments) * (radii[-1] + 1) - 1 if radii[-1] < widest else len(segments) * WORD
+        ready = materialise(ranked.groupBy("q").agg(F.count("*").alias("n"), F.max("distance").alias("far")).where((F.col("n") >= wanted) & (F.col("far") <= covered)).select("q"), "ready")
+        done.append(materialise(ranked.join(ready, "q"), "done"))
+        left = materialise(active.join(ready, "q", "left_anti").select("code", "q"), "asked")
+        rest = materialise(ranked.join(ready, "q", "left_anti"), "best")
+        discard(ranked, ready, active, best)
+        best, active = rest, left
+        radii = [radii[-1] + 1] if radii[-1] < widest and not active.isEmpty() else []
+    discard(entries, asked, index, hot)
+    if not done:
+        return members.select(F.col("q").alias("query_id"), F.lit(0).alias("rank"), F.col("q").alias("vec_id"), F.lit(0).alias("distance")).where("false")
+    found = done[0]
+    for more in done[1:]:
+        found = found.unionByName(more)
+    asker = members.select("q", F.when(~F.col("none"), F.col("id")).alias("query_id"))
+    return found.join(asker, "q").select("query_id", F.col("rank").cast("int").alias("rank"), F.when(~F.col("none"), F.col("id")).alias("vec_id"), "distance")
