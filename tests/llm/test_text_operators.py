@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -10,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tiltwise.llm.decontaminate import MASKS, best_run, drop_overlapping, find_overlaps, item_classes, normal_word
-from tiltwise.llm.licenses import scan_licenses
+from tiltwise.llm.licenses import TEXTS, Scanner, scan_licenses, templates_by_rule, templates_from
 from tiltwise.llm.lines import chunks_of, dedup_lines
 from tiltwise.llm.minhash import keep_one, near_duplicates, prefixes, signatures, straggler_links, throw
 from tiltwise.llm.repeats import remove_repeats
@@ -417,10 +418,45 @@ def test_licenses_wrapped_named_and_several(spark):
         "MIT License", "Apache License, Version 2.0", "Licensed under the Apache License 2.0", "BSD 3-Clause License",
         "# SPDX-License-Identifier: MIT", "SPDX-License-Identifier: (GPL-2.0-or-later OR Apache-2.0)",
         "Licensed under the MIT License. Released under the BSD 3-Clause License.",
-        "We compare the MIT License with others.", "Apache License, Version 1.1",
+        "We compare the MIT License with others.", "Apache License, Version 1.1", "licensed under GPL v3", "GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007",
+        "# Licensed under the Apache License,\n# Version 2.0", "It mentions the GNU Lesser General Public License, version 2.1 and more", "GPLv3 oder MIT, mit Lizenz",
     ]
     got = sorted((r.doc_id, r.line, r.license) for r in scan_licenses(documents(spark, list(enumerate(texts)))).collect())
-    assert got == [(0, 1, "GPL-3.0"), (1, 0, "MIT"), (2, 0, "Apache-2.0"), (3, 0, "Apache-2.0"), (4, 0, "BSD-3-Clause"), (5, 0, "MIT"), (6, 0, "Apache-2.0"), (6, 0, "GPL-2.0"), (7, 0, "BSD-3-Clause"), (7, 0, "MIT")]
+    assert got == [
+        (0, 1, "GPL-3.0"), (1, 0, "MIT"), (2, 0, "Apache-2.0"), (3, 0, "Apache-2.0"), (4, 0, "BSD-3-Clause"), (5, 0, "MIT"), (6, 0, "Apache-2.0"), (6, 0, "GPL-2.0"),
+        (7, 0, "BSD-3-Clause"), (7, 0, "MIT"), (10, 0, "GPL-3.0"), (11, 0, "GPL-3.0"), (12, 0, "Apache-2.0"),
+    ]
+
+
+def test_whole_license_texts(spark, tmp_path):
+    rng = random.Random(21)
+    rows, want = [], []
+    for n, (license, text) in enumerate(TEXTS):
+        for k, wrapped in enumerate((text, textwrap.fill(text, 60, initial_indent=" * ", subsequent_indent=" * "), textwrap.fill(text.lower(), 40))):
+            rows.append((10 * n + k, prose(rng, 30) + "\n\n" + wrapped + "\n\n" + prose(rng, 30)))
+            want.append((10 * n + k, 2, license))
+    got = sorted((r.doc_id, r.line, r.license) for r in scan_licenses(documents(spark, rows)).collect())
+    assert got == sorted(want)
+    # Texts from files, however long; a change of some words is told from a change of the license.
+    long = " ".join(f"{prose(rng, 8)} section {i}." for i in range(400))
+    (tmp_path / "Own-1.0").write_text(long)
+    other = " ".join(w if i % 5 else "other" for i, w in enumerate(long.split()))
+    near = " ".join(w if i % 50 else "other" for i, w in enumerate(long.split()))
+    found = scan_licenses(documents(spark, [(1, "x\n" + textwrap.fill(long, 70)), (2, other), (3, near)]), templates_by_rule() + templates_from(str(tmp_path))).collect()
+    assert sorted((r.doc_id, r.line, r.license) for r in found) == [(1, 1, "Own-1.0"), (3, 0, "Own-1.0")]
+
+
+def test_candidates_lose_nothing_that_is_confirmed():
+    """Every stretch of lines against every template, without looking for words first."""
+    rng = random.Random(22)
+    scanner = Scanner(templates_by_rule())
+    sentences = [t.text for t in scanner.templates if len(t.text) < 100]
+    for _ in range(150):
+        lines = [rng.choice([prose(rng, 6), rng.choice(sentences), textwrap.fill(rng.choice(sentences), 25), "The license of 2.0 is public.", "version 3"]) for _ in range(rng.randint(1, 4))]
+        text = "\n".join(lines)
+        got = {license for _, license, *_ in scanner.scan(text)}
+        everywhere = scanner.block(text, text.lower(), [(i, 0, len(text)) for i in range(len(scanner.templates))])
+        assert {license for _, license, *_ in everywhere} <= got
 
 
 def test_near_copies_of_rows_without_id_or_with_the_same_id(spark):
