@@ -7,10 +7,11 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tiltwise.llm.hamming import nearest_codes, segments_of
 from tiltwise.llm.htmltext import FLOOR, branch_importance, extract_text, kept_text, main_text, read_page
-from tiltwise.llm.mixing import mix_documents, seats, source_targets
+from tiltwise.llm.mixing import div, drawn, mix_documents, seats, source_targets
 from tiltwise.llm.quality import isotonic, keep_quality, score_documents
 from tiltwise.llm.urlrules import Rule, judge_urls, rules_frame
 
@@ -268,11 +269,34 @@ def test_seats_are_sainte_lague(spark):
 
 
 def test_targets_without_cap(spark):
-    df = spark.createDataFrame([("a", 10), ("b", 10), (None, 10)], "source string, size long")
+    df = spark.createDataFrame([("a", 10, 2), ("b", 10, 1), (None, 10, 1)], "source string, size long, copies long")
     got = {r.source: r.target for r in source_targets(df, [1, 1, 1], 1.5, 2).collect()}
     assert got == {"a": 15.0, "b": 15.0, None: 15.0}
 
 
+def test_equal_rows_are_spread_over_shards(spark):
+    docs = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one and the same text " * 4).alias("text"), F.lit("s").alias("source"))
+    got = mix_documents(docs.unionByName(docs.limit(7).withColumn("text", F.lit("other"))), [1], share=0.75).toPandas()
+    assert len(got) == 20_007 and got.shard.nunique() == len(range(0, 20_007 + 400_007, 16_384))  # documents and words
+    assert got.shard.value_counts().max() < 1.2 * len(got) / got.shard.nunique()
+    assert abs(got.taken.sum() - 0.75 * 400_007) < 0.002 * 300_000 and (got.taken <= 2 * got["size"]).all()
+
+
+def test_blocks_of_a_shard_are_chosen_at_random(spark):
+    """Each stretch gives one block, and which one is no progression."""
+    docs = spark.range(512).select("id", F.lit("w " * 32).alias("text"), F.lit("s").alias("source"))
+    got = mix_documents(docs, [1], share=0.25, shard_words=10**6, id_col="id").toPandas()
+    assert got.shard.nunique() == 1 and set(got.taken) <= set(range(33)) and got.taken.sum() == 0.25 * 512 * 32
+    chosen = spark.range(2000).select(F.pmod(drawn(F.lit(12345), F.col("id")), F.lit(8)).alias("at"), F.pmod(drawn(F.lit(54321), F.col("id")), F.lit(8)).alias("other")).toPandas()
+    assert chosen["at"].value_counts().between(200, 300).all() and (chosen["at"] == chosen.other).mean() < 0.2
+    assert chosen["at"].diff().value_counts(normalize=True).max() < 0.2
+
+
+def test_whole_division_of_large_numbers(spark):
+    a, b = 9_007_199_254_740_993 * 7 + 3, 7
+    assert spark.range(1).select(div(F.lit(a), F.lit(b))).first()[0] == a // b
+
+
 # Hamming search -----------------------------------------------------------------------------------------------------------
 
 

@@ -3,12 +3,13 @@
 1. Targets: the mix has ``share`` times all words; sources get it by weight, none more than ``most`` times its own size.
 2. Seats: the mix is cut into blocks of ``block`` words, and sources get blocks by the highest quotients
    target / (2 k + 1).  All but about two seats a source are certain beforehand, so only those quotients are ranked.
-3. Shards: the documents of a source are dealt to shards by a hash, in proportion to its size; a source's seats go to its
-   shards by the same method.
-4. Blocks: the words of a shard, with documents in the order of a seeded hash, are cut into equal blocks; a seeded
-   permutation says which of them fill the shard's quota.  A document is taken by as many words as those blocks hold.
+3. Shards: the documents of a source are dealt to shards by a hash of id and text, in proportion to its size; rows that are
+   wholly equal are counted and spread over all shards of their source.  A source's seats go to its shards by the same method.
+4. Blocks: the words of a shard, with documents in the order of a seeded hash, are cut into equal blocks.  The shard's quota
+   takes every block a number of times; what is left over cuts the shard into as many stretches of blocks and takes a block
+   of each, which a seeded hash chooses.  A document is taken by as many words as the blocks that are taken hold.
 
-Only ids and sizes are shuffled, never texts.  No group is larger than a shard: about ``shard_words`` words, or one of
+Only ids, sizes and hashes are shuffled, never texts.  No group is larger than a shard: about ``shard_words`` words, or one of
 ``shards`` parts of the corpus where that is more.
 """
 
@@ -22,6 +23,11 @@ from .common import materialise
 PRIME = (1 << 31) - 1
 
 
+def div(a: Column, b: Column) -> Column:
+    """Whole division of longs, never through doubles."""
+    return F.call_function("div", a, b)
+
+
 def words_in(text: Column) -> Column:
     """Number of runs of characters other than ASCII white space; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
@@ -34,12 +40,12 @@ def hash_of(*parts: Column | str) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: list[float], share: float, most: float) -> DataFrame:
-    """``source, source_size, n_docs, weight, target`` from ``source, size``; one row for each source.
+    """``source, source_size, n_docs, weight, target`` from ``source, size, copies``; one row for each source.
 
     Sources are ordered by code point, null last, and take the weights in turn.  Filling level: in the order of
     ``most * size / weight``, a source is capped as long as the level that the rest would get is not below its own.
     """
-    sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
+    sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum("copies").alias("n_docs"))
     named = Window.orderBy(F.col("source").asc_nulls_last())
     turn = F.pmod(F.row_number().over(named) - 1, F.lit(len(weights)))
     sources = sources.withColumn("weight", F.get(F.array(*[F.lit(float(w)) for w in weights]), turn))
@@ -101,9 +107,11 @@ def mix_documents(
     words; a null source is a source of its own; rows that repeat are documents of their own.  An empty table gives no
     rows, and documents without a word are taken by 0 words.
     """
-    sizes = materialise(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words_in(F.col(text_col)).alias("size")), "sizes"
-    )
+    text = F.col(f"`{text_col}`")
+    picked = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), words_in(text).alias("size"), F.md5(F.coalesce(text, F.lit(""))).alias("digest"))
+    # Equal rows are counted where they are read, so however often a row repeats it is no hot key.
+    groups = materialise(picked.groupBy("doc_id", "source", "size", "digest").agg(F.count("*").alias("copies")), "sizes")
+    sizes = groups.select("source", (F.col("size") * F.col("copies")).alias("size"), "copies")
     targets = source_targets(sizes, weights, share, most)
     everything = Window.partitionBy()
     targets = targets.withColumn("_all", F.round(F.sum("target").over(everything) / block).cast("long")).withColumn("_one", F.lit(1))
@@ -113,36 +121,52 @@ def mix_documents(
     plan = materialise(seats(targets, ["_one"], ["source"], "target", "_all").drop("_one", "_all"), "plan")
 
     per_source = plan.select(F.col("source").alias("_source"), "source_size", "target", "n_shards", F.col("seats").alias("source_seats"))
-    dealt = sizes.join(per_source, sizes["source"].eqNullSafe(per_source["_source"]), "left").drop("_source")
-    dealt = dealt.withColumn("draw", hash_of(F.lit(seed), F.col("doc_id"))).withColumn("shard", F.pmod("draw", "n_shards"))
-    dealt = dealt.withColumn("place", F.floor(F.col("draw") / F.col("n_shards")))
-
-    parts = dealt.groupBy("source", "shard", "source_seats").agg(F.sum("size").alias("shard_size"))
+    dealt = groups.join(per_source, groups["source"].eqNullSafe(per_source["_source"]), "left").drop("_source")
+    dealt = dealt.withColumn("draw", hash_of(F.lit(seed), F.col("doc_id"), F.col("digest"))).withColumn("place", div(F.col("draw"), F.col("n_shards")))
+    # The copies of a row go to different shards, as evenly as they can.
+    dealt = dealt.withColumn("ways", F.least("copies", "n_shards")).withColumn("way", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ways") - 1)))
+    here = div(F.col("copies"), F.col("ways")) + F.when(F.col("way") < F.pmod("copies", "ways"), 1).otherwise(0)
+    dealt = dealt.withColumn("copies", here).withColumn("shard", F.pmod(F.col("draw") + F.col("way"), F.col("n_shards"))).withColumn("words", F.col("size") * F.col("copies"))
+
+    parts = dealt.groupBy("source", "shard", "source_seats").agg(F.sum("words").alias("shard_size"))
     parts = seats(parts, ["source", "source_seats"], ["source", "source_seats", "shard"], "shard_size", "source_seats")
     blocks = F.when(F.col("shard_size") > 0, F.greatest(F.lit(1), F.round(F.col("shard_size") / block))).otherwise(0).cast("long")
     parts = parts.withColumn("blocks", blocks).withColumn("quota", F.least(F.col("seats"), F.col("blocks") * most))
-    parts = parts.withColumn("first", F.when(F.col("blocks") > 0, F.pmod(hash_of(F.lit(seed), F.col("source"), F.col("shard")), F.when(F.col("blocks") > 0, F.col("blocks")))).otherwise(0))
+    parts = parts.withColumn("first", F.pmod(hash_of(F.lit(seed), F.col("source"), F.col("shard")), F.lit(PRIME)))
     parts = parts.select(F.col("source").alias("_source"), F.col("shard").alias("_shard"), "shard_size", "blocks", "quota", "first")
 
-    placed = Window.partitionBy("source", "shard").orderBy("place", F.col("doc_id").asc_nulls_last(), "size")
-    dealt = dealt.withColumn("end", F.sum("size").over(placed.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    placed = Window.partitionBy("source", "shard").orderBy("place", F.col("doc_id").asc_nulls_last(), "size", "digest", "way")
+    dealt = dealt.withColumn("before", F.sum("words").over(placed.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("words"))
     dealt = dealt.join(parts, dealt["source"].eqNullSafe(parts["_source"]) & (dealt["shard"] == parts["_shard"])).drop("_source", "_shard")
+    dealt = dealt.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).withColumn("start", F.col("before") + F.col("copy") * F.col("size"))
     return dealt.select("doc_id", "size", "source_size", "target", _taken().alias("taken"), "source", "shard")
 
 
+def drawn(first: Column, i: Column) -> Column:
+    """A number below PRIME for stretch ``i`` of a shard: two rounds that are not linear, in products below 2 ** 63."""
+    x = F.pmod(first + i * 1_103_515_245, F.lit(PRIME))
+    x = F.pmod(x * (F.pmod(x, F.lit(65_521)) + 7_919), F.lit(PRIME))
+    return F.pmod(x * (F.pmod(x, F.lit(65_519)) + 104_729), F.lit(PRIME))
+
+
 def _taken() -> Column:
     """Words of the document in blocks of the mix; block j holds the words from ceil(j s / n) to ceil((j + 1) s / n)."""
-    start, end, size, n = F.col("end") - F.col("size"), F.col("end"), F.col("shard_size"), F.col("blocks")
+    start, size, total, n = F.col("start"), F.col("size"), F.col("shard_size"), F.col("blocks")
+    end = start + size
+    over = F.pmod(F.col("quota"), n)
 
     def edge(j: Column) -> Column:
-        return F.floor((j * size + n - 1) / n)
+        return div(j * total + n - 1, n)
 
     def times(j: Column) -> Column:
-        place = F.pmod(j * PRIME + F.col("first"), n)
-        return F.floor(F.col("quota") / n) + F.when(place < F.pmod(F.col("quota"), n), 1).otherwise(0)
+        # Block j is in stretch i, the blocks from ceil(i n / over) on.
+        i = div(j * over, n)
+        low, high = div(i * n + over - 1, over), div((i + 1) * n + over - 1, over)
+        chosen = low + F.pmod(drawn(F.col("first"), i), high - low)
+        return div(F.col("quota"), n) + F.when((over > 0) & (chosen == j), 1).otherwise(0)
 
-    def held(total: Column, j: Column) -> Column:
-        return total + times(j) * F.greatest(F.lit(0).cast("long"), F.least(end, edge(j + 1)) - F.greatest(start, edge(j)))
+    def held(found: Column, j: Column) -> Column:
+        return found + times(j) * F.greatest(F.lit(0).cast("long"), F.least(end, edge(j + 1)) - F.greatest(start, edge(j)))
 
-    blocks = F.sequence(F.floor(start * n / size), F.floor((end - 1) * n / size))
-    return F.when(F.col("size") > 0, F.aggregate(blocks, F.lit(0).cast("long"), held)).otherwise(F.lit(0)).cast("long")
+    blocks = F.sequence(div(start * n, total), div((end - 1) * n, total))
+    return F.when(size > 0, F.aggregate(blocks, F.lit(0).cast("long"), held)).otherwise(F.lit(0)).cast("long")

@@ -97,11 +97,11 @@ from split s left join fits f on f.place = 1 and s.page_id is not distinct from
 #: Seats are dealt by all quotients here, rather than by the few that are undecided.
 OP6_SQL = r"""
 with sizes as (
-    select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
-           ('0x' || substr(md5('mix|' || coalesce(doc_id::varchar, '')), 1, 15))::bigint as draw
-    from documents
+    select doc_id, source, size, digest, count(*) as copies, ('0x' || substr(md5('mix|' || coalesce(doc_id::varchar, '') || '|' || digest), 1, 15))::bigint as draw
+    from (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size, md5(coalesce(text, '')) as digest from documents)
+    group by all
 ), sources as (
-    select source, sum(size)::bigint as source_size, count(*) as n_docs from sizes group by source
+    select source, sum(size * copies)::bigint as source_size, sum(copies)::bigint as n_docs from sizes group by source
 ), weighted as (
     select *, ([5.0, 2.0, 1.0])[((row_number() over (order by source nulls last) - 1) % 3) + 1]::double as weight from sources
 ), levels as (
@@ -125,10 +125,13 @@ with sizes as (
 ), plan as (
     select t.*, coalesce(d.seats, 0) as seats, greatest(1, ceil((t.source_size + t.n_docs) / per_shard))::bigint as n_shards
     from targets t cross join totals left join dealt d on t.source is not distinct from d.source
+), spread as (
+    select s.*, p.source_size, p.target, p.seats, p.n_shards, least(s.copies, p.n_shards) as ways from sizes s join plan p on s.source is not distinct from p.source
 ), placed as (
-    select s.*, p.source_size, p.target, p.seats, p.n_shards, s.draw % p.n_shards as shard, s.draw // p.n_shards as place from sizes s join plan p on s.source is not distinct from p.source
+    select * exclude (copies), copies // ways + case when way < copies % ways then 1 else 0 end as copies, (draw + way) % n_shards as shard, draw // n_shards as place
+    from spread, unnest(generate_series(0, ways - 1)) as w(way)
 ), shards as (
-    select source, seats, shard, sum(size)::bigint as shard_size, sum(sum(size)) over (partition by source) as own, count(*) over (partition by source) as n from placed group by source, seats, shard
+    select source, seats, shard, sum(size * copies)::bigint as shard_size, sum(sum(size * copies)) over (partition by source) as own, count(*) over (partition by source) as n from placed group by source, seats, shard
 ), shard_quotients as (
     select source, shard, (k - 0.5) / (shard_size::double * seats / own) as q, k, seats
     from shards, unnest(generate_series(1, floor(shard_size::double * seats / own)::bigint + n)) as s(k) where shard_size > 0
@@ -140,14 +143,23 @@ with sizes as (
            ('0x' || substr(md5('mix|' || coalesce(h.source, '') || '|' || h.shard::varchar), 1, 15))::bigint as draw
     from shards h left join shard_seats d on h.source is not distinct from d.source and h.shard = d.shard
 ), spans as (
-    select p.*, b.shard_size, b.n, b.quota, b.draw % b.n as first,
-           sum(p.size) over (partition by p.source, p.shard order by p.place, p.doc_id nulls last, p.size rows unbounded preceding)::bigint as stop
+    select p.*, b.shard_size, b.n, b.quota, b.quota % b.n as rest, b.draw % 2147483647 as first,
+           sum(p.size * p.copies) over (partition by p.source, p.shard order by p.place, p.doc_id nulls last, p.size, p.digest, p.way rows unbounded preceding)::bigint - p.size * p.copies as before
     from placed p join blocks b on p.source is not distinct from b.source and p.shard = b.shard
+), words as (
+    select *, before + copy * size as start, before + (copy + 1) * size as stop from spans, unnest(generate_series(0, copies - 1)) as c(copy)
+), chosen as (  -- the block that is taken once more of each stretch of blocks
+    select source, shard, low + ((x2 * (x2 % 65519 + 104729)) % 2147483647) % (high - low) as j from (
+        select *, (x * (x % 65521 + 7919)) % 2147483647 as x2 from (
+            select source, shard, (first + i * 1103515245) % 2147483647 as x, (i * n + rest - 1) // rest as low, ((i + 1) * n + rest - 1) // rest as high
+            from (select distinct source, shard, n, rest, first from spans where rest > 0), unnest(generate_series(0, rest - 1)) as s(i)))
+), once_more as (
+    select source, shard, list(j) as js from chosen group by source, shard
 )
-select doc_id, size, source_size, target, case when size > 0 then list_sum(list_transform(generate_series((stop - size) * n // shard_size, (stop - 1) * n // shard_size),
-    lambda j: (quota // n + case when (j * 2147483647 + first) % n < quota % n then 1 else 0 end)
-              * greatest(0, least(stop, ((j + 1) * shard_size + n - 1) // n) - greatest(stop - size, (j * shard_size + n - 1) // n))))::bigint else 0 end as taken
-from spans
+select doc_id, size, source_size, target, case when size > 0 then list_sum(list_transform(generate_series(start * n // shard_size, (stop - 1) * n // shard_size),
+    lambda j: (quota // n + case when coalesce(list_contains(js, j), false) then 1 else 0 end)
+              * greatest(0, least(stop, ((j + 1) * shard_size + n - 1) // n) - greatest(start, (j * shard_size + n - 1) // n))))::bigint else 0 end as taken
+from words left join once_more o on words.source is not distinct from o.source and words.shard = o.shard
 """
 
 #: Components at or below 0 are unset bits, so the distance is the number of components whose signs differ.
