@@ -14,7 +14,7 @@ from tiltwise.llm.decontaminate import MASKS, best_run, drop_overlapping, find_o
 from tiltwise.llm.licenses import TEXTS, Scanner, scan_licenses, templates_by_rule, templates_from
 from tiltwise.llm.lines import chunks_of, dedup_lines
 from tiltwise.llm.minhash import keep_one, near_duplicates, prefixes, signatures, straggler_links, throw
-from tiltwise.llm.repeats import remove_repeats
+from tiltwise.llm.repeats import joined, remove_repeats
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, home int, n_lines int"
 
@@ -71,6 +71,24 @@ def test_repeats_spans_and_long_text(spark):
     assert [(s.starts, s.ends) for s in got[2].spans] == [(6, 406)]
 
 
+def test_repeats_of_many_equal_rows(spark):
+    t = "".join(chr(97 + i * i % 23) for i in range(300)) * 2
+    rows = [(None, t)] * 500 + [(4, t + "end")] * 300 + [(2, None)] * 3 + [(2**63 - 1, t)] * 2
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed) for r in remove_repeats(documents(spark, rows)).collect())
+    want = {d: v[:2] for d, v in brute_repeats([(4, t + "end"), (None, t)]).items()}
+    assert got == Counter({(None, *want[None]): 500, (4, *want[4]): 300, (2, 0, 0): 3, (2**63 - 1, *want[None]): 2})
+
+
+def test_intervals_are_joined():
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        low = rng.integers(0, 60, rng.integers(0, 12))
+        high = low + rng.integers(-2, 9, len(low))
+        covered = {x for a, b in zip(low, high) for x in range(a, b)}
+        a, b = joined(low, high)
+        assert {x for p, q in zip(a, b) for x in range(p, q)} == covered and (a[1:] > b[:-1]).all()
+
+
 def test_repeats_of_repeated_rows_and_empty_table(spark):
     t = "x" * 20 + "".join(chr(97 + i % 26) for i in range(7 * 26)) + "yz" * 60
     twice = [(r.n_removed, r.n_spans) for r in remove_repeats(documents(spark, [(1, t), (1, t)])).collect()]

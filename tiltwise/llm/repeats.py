@@ -9,11 +9,14 @@ equal windows have the same anchor at the same place.  So the passes go over anc
    span are repeated.  Anchors whose nearest digits agree with no other on either side drop out.
 3. Last digit: what is still undecided (around the ends of repeats) is compared as whole windows.
 
-Digits are hashes: 64 bits for the anchor with 64 for its four neighbours, and 80 for a window.
+Digits are hashes: 64 bits for the anchor with 64 for its four neighbours, and 128 for a window.  So equal means equal in 128 bits:
+among 10 ** 13 strings, two different ones are taken for equal with a probability of some 10 ** -13.
 
 A batch sends the first of equal entries only, as the others are repeated whatever the rest of the corpus holds; so the
 copies of a hot passage cost a message for each batch.  An anchor that has more than ``hot`` contexts within a batch goes to
-the last pass at once, with all windows around it.  Messages are dealt to buckets of about ``bucket_bytes`` of text.
+the last pass at once, with all windows around it.  Messages are dealt to buckets of about ``bucket_bytes`` of text.  Rows that are
+wholly equal are one document, sent once from each task and written as often as they were read.  Long texts are worked on
+in pieces in every pass; beside them only intervals are held.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -143,11 +147,23 @@ def anchors_of(text: Text, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def windows_of(raw: bytes, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """80 bits of hash for the windows at ``starts``."""
+    """128 bits of hash for the windows at ``starts``."""
     b = np.frombuffer(raw, dtype=np.uint8)
     one = mix64(Hashes(b).of(starts, starts + depth))
     two = mix64(Hashes(b, SECOND).of(starts, starts + depth) + U64(depth))
-    return one, (two >> U64(48)).astype(np.uint16)
+    return one, two
+
+
+def joined(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Intervals [low, high) that meet or overlap as one; in order."""
+    some = high > low
+    order = np.argsort(low[some], kind="stable")
+    low, high = low[some][order], high[some][order]
+    if not len(low):
+        return low, high
+    far = np.maximum.accumulate(high)
+    fresh = np.concatenate(([True], low[1:] > far[:-1]))
+    return low[fresh], far[np.append(np.flatnonzero(fresh)[1:] - 1, len(far) - 1)]
 
 
 # Messages: a table of documents (a row of id, tie and home bucket for each) and columns of entries, as bytes.
@@ -175,7 +191,7 @@ def table_of(rows: pd.DataFrame) -> np.ndarray:
 
 
 ANCHOR_TYPES = (np.uint64, np.uint64, np.uint32, np.uint32, np.uint8)  # key, digits, document, place, hot
-WINDOW_TYPES = (np.uint64, np.uint16, np.uint32, np.uint32)  # hash, its rest, document, place
+WINDOW_TYPES = (np.uint64, np.uint64, np.uint32, np.uint32)  # hash, its rest, document, place
 FLAG_TYPES = (np.uint32, np.uint32, np.uint8)  # document, place, kind
 
 
@@ -227,7 +243,7 @@ def _shared(key: np.ndarray) -> np.ndarray:
     return n[at] > 1
 
 
-def remove_repeats(docs: DataFrame, depth: int = 100, hot: int = 64, bucket_bytes: int = 32_000_000, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, depth: int = 100, hot: int = 64, bucket_bytes: int = 16_000_000, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """Return ``doc_id, n_bytes, n_removed, n_spans, spans, kept`` for every row of ``docs``.
 
     A byte goes if a string of ``depth`` bytes (at least 70) that covers it also begins earlier: in a document of smaller id,
@@ -244,7 +260,8 @@ def remove_repeats(docs: DataFrame, depth: int = 100, hot: int = 64, bucket_byte
     # Only computed columns, so that both uses of the texts below have the same plan and share one exchange.
     picked = docs.select(F.col(id_col).isNull().alias("none"), F.coalesce(F.col(id_col).cast("long"), F.lit(LONG_MAX)).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     picked = picked.withColumn("tie", F.xxhash64("text"))
-    total = picked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    counted = materialise(picked.groupBy("key", "tie").agg(F.count("*").alias("copies"), F.count(F.when(F.col("none"), 1)).alias("nones"), F.sum(F.octet_length("text")).alias("bytes")), "rows")
+    total = counted.agg(F.sum("bytes")).first()[0] or 0
     n = max(8, -(-total // bucket_bytes))
     messages = "bucket long, kind int, blob binary"
     columns = ["bucket", "kind", "blob"]
@@ -349,13 +366,20 @@ def remove_repeats(docs: DataFrame, depth: int = 100, hot: int = 64, bucket_byte
                 continue
             done.add(here)
             raw = t.encode("utf-8", "surrogatepass")
-            marks = np.zeros(len(raw) + 2, dtype=np.int64)
+            # Where windows begin that are not yet decided, as intervals.
+            lows, highs = [], []
             for low, high, kinds in ((0, width - 1 - half, (RIGHT,)), (half, width - 1, (LEFT,)), (0, width - 1, (BOTH,))):
                 a = place[np.isin(kind, kinds)]
-                np.add.at(marks, np.maximum(a - high, 0), 1)
-                np.add.at(marks, np.maximum(a - low + 1, 0), -1)
-            starts = np.flatnonzero(np.cumsum(marks)[: max(0, len(raw) - depth + 1)] > 0)
-            one, two = windows_of(raw, starts, depth)
+                lows.append(np.maximum(a - high, 0))
+                highs.append(np.minimum(a - low + 1, max(0, len(raw) - depth + 1)))
+            found = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=U64)], [np.zeros(0, dtype=U64)]
+            for a, z in zip(*(x.tolist() for x in joined(np.concatenate(lows), np.concatenate(highs))), strict=True):
+                for at in range(a, z, PIECE):
+                    own = np.arange(min(PIECE, z - at))
+                    one, two = windows_of(raw[at : at + len(own) + depth - 1], own, depth)
+                    for x, y in zip(found, (own + at, one, two), strict=True):
+                        x.append(y)
+            starts, one, two = (np.concatenate(x) for x in found)
             hashes.append(one)
             tails.append(two)
             owners.append(np.full(len(starts), i))
@@ -387,8 +411,11 @@ def remove_repeats(docs: DataFrame, depth: int = 100, hot: int = 64, bucket_byte
 
     def cut(texts: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         known = by_document(rows)
-        out = []
-        for none, k, tie, t in zip(texts["none"], texts["key"], texts["tie"], texts["text"], strict=True):
+        out, done = [], set()
+        for k, tie, t in zip(texts["key"], texts["tie"], texts["text"], strict=True):
+            if (k, tie) in done:
+                continue
+            done.add((k, tie))
             raw = t.encode("utf-8", "surrogatepass")
             starts = ends = np.zeros(0, dtype=np.int64)
             place, kind = known.get((int(k), int(tie)), (None, None))
@@ -397,24 +424,35 @@ def remove_repeats(docs: DataFrame, depth: int = 100, hot: int = 64, bucket_byte
                 low = np.concatenate((np.maximum(a - 2 * half, 0), w))
                 high = np.concatenate((np.minimum(a + ANCHOR + 2 * half, len(raw)), w + depth))
                 long = high - low >= depth  # near an end of a text, what agrees may be shorter than a window
-                marks = np.zeros(len(raw) + 1, dtype=np.int64)
-                np.add.at(marks, low[long], 1)
-                np.add.at(marks, high[long], -1)
-                gone = np.concatenate(([False], np.cumsum(marks)[:-1] > 0, [False]))
-                starts, ends = np.flatnonzero(gone[1:] & ~gone[:-1]), np.flatnonzero(gone[:-1] & ~gone[1:])
+                starts, ends = joined(low[long], high[long])
             left = b"".join(raw[a:b] for a, b in zip(np.concatenate(([0], ends)).tolist(), np.concatenate((starts, [len(raw)])).tolist(), strict=True))
-            out.append((None if none else int(k), len(raw), len(raw) - len(left), len(starts), starts.tolist(), ends.tolist(), hashlib.sha256(left).hexdigest(), left if keep_text else None))
-        frame = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "starts", "ends", "kept_sha256", "kept"])
-        return frame.astype({"doc_id": "Int64"})
+            out.append((int(k), int(tie), len(raw), len(raw) - len(left), len(starts), starts.tolist(), ends.tolist(), hashlib.sha256(left).hexdigest(), left if keep_text else None))
+        return pd.DataFrame(out, columns=["key", "tie", "n_bytes", "n_removed", "n_spans", "starts", "ends", "kept_sha256", "kept"])
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows without those that this task has sent."""
+        done: set = set()
+        for b in batches:
+            at = [b.schema.get_field_index(c) for c in ("key", "tie")]
+            fresh = []
+            for here in zip(*(b.column(i).to_pylist() for i in at), strict=True):
+                fresh.append(here not in done)
+                done.add(here)
+            yield b if all(fresh) else b.filter(pa.array(fresh))
 
     # Every document has a bucket of its own hash, to which all flags of it go.
-    picked = picked.withColumn("home", F.pmod(F.xxhash64("key", "tie"), F.lit(n)).cast("long"))
-    near = picked.select("key", "tie", "home", "text").mapInPandas(first_pass, messages)
+    picked = picked.withColumn("home", F.pmod(F.xxhash64("key", "tie"), F.lit(n)).cast("long")).select("home", "key", "tie", "text")
+    near = picked.mapInPandas(first_pass, messages)
     found = materialise(near.groupBy("bucket").applyInPandas(second_pass, messages), "flags").select("bucket", "kind", "blob")
-    texts = picked.select("home", "none", "key", "tie", "text").groupBy("home")
+    texts = picked.mapInArrow(once, "home long, key long, tie long, text string").groupBy("home")
     found = found.withColumn("home", F.col("bucket"))
     windows = texts.cogroup(found.groupBy("home")).applyInPandas(third_pass, messages)
     more = windows.groupBy("bucket").applyInPandas(fourth_pass, messages).withColumn("home", F.col("bucket"))
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, starts array<long>, ends array<long>, kept_sha256 string, kept binary"
+    schema = "key long, tie long, n_bytes long, n_removed long, n_spans long, starts array<long>, ends array<long>, kept_sha256 string, kept binary"
     out = texts.cogroup(found.unionByName(more).groupBy("home")).applyInPandas(cut, schema)
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.arrays_zip("starts", "ends").alias("spans"), "kept_sha256", "kept")
+    # Rows that were equal, and ids that were null (or the largest number), come back.
+    several = counted.where("copies > 1 or nones > 0").select(F.col("key").alias("_key"), F.col("tie").alias("_tie"), "copies", "nones")
+    out = out.join(several, (F.col("key") == F.col("_key")) & (F.col("tie") == F.col("_tie")), "left")
+    out = out.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("copies", F.lit(1)))))
+    doc_id = F.when(F.col("nth") > F.coalesce("nones", F.lit(0)), F.col("key"))
+    return out.select(doc_id.alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.arrays_zip("starts", "ends").alias("spans"), "kept_sha256", "kept")
