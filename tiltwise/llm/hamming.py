@@ -1,8 +1,9 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A code is cut into m segments of about log2(number of codes) bits, and each segment's value is a key of the index.  If two codes
-differ in at most m (r + 1) - 1 bits, one of their segments differs in at most r.  So a query looks up all values of its
-segments at radius r, for r = 0, 1, ..., and leaves when its k-th verified distance is not above what is covered.
+A code is cut into m segments, and each segment's value is a key of the index.  If two codes differ in at most m r + s bits, one of
+the first s + 1 segments differs in at most r bits, or one of the others in at most r - 1.  So a query looks up all values
+of its segments at radius r, for r = 0, 1, ..., and leaves when its k-th verified distance is covered.  Once it has k codes,
+segments that would cover more than the k-th distance are not looked up, and codes farther than that are not passed on.
 
 The index is a table of (segment, value) keys and a radius is one join with it, so neither codes nor queries are sent everywhere.
 A pair is met by several segments and radii but counted once: at its smallest segment distance, by the first segment that
@@ -26,6 +27,7 @@ from .common import discard, materialise
 
 WORD = 64
 PROBES = 400_000  # rows that a task makes at once
+FAR = 1 << 30  # the k-th distance of a query that has fewer than k codes
 
 
 def pack(vectors: list, dims: int) -> np.ndarray:
@@ -37,12 +39,30 @@ def pack(vectors: list, dims: int) -> np.ndarray:
     return np.packbits(bits, axis=1, bitorder="little").view("<i8")
 
 
-def segments_of(dims: int, n: int) -> list[tuple[int, int, int]]:
-    """Word, lowest bit and width of each segment: about log2(n) bits each, none across words."""
-    wanted, found = max(4.0, math.log2(max(2, n))), []
-    for word in range(max(1, -(-dims // WORD))):
-        used = max(1, min(WORD, dims - word * WORD))
-        parts = max(1, round(used / min(wanted, 24)))
+def expected_cost(dims: int, n: int, k: int, m: int) -> float:
+    """Rows that a query makes with ``m`` segments if bits are random: the codes it meets, and 8 times the values it asks for."""
+    radius, reach, share = 0, 0, 0.0
+    while reach < dims and (share := share + math.comb(dims, reach) / 2**dims) * n < k:
+        reach += 1
+    width, asked, met = max(1, round(dims / m)), 0, 0.0
+    while True:
+        for s in range(m):
+            values = math.comb(width, radius)
+            asked, met = asked + values, met + n * values / 2**width
+            if m * radius + s >= reach:
+                return 8 * asked + met
+        radius += 1
+
+
+def segments_of(dims: int, n: int, k: int = 10) -> list[tuple[int, int, int]]:
+    """Word, lowest bit and width of each segment, as many as cost least; none goes across words."""
+    dims = max(1, dims)
+    few = max(1, -(-dims // 32))
+    wanted = min(range(few, max(few, dims // 4) + 1), key=lambda m: expected_cost(dims, max(1, n), k, m))
+    found = []
+    for word in range(-(-dims // WORD)):
+        used = min(WORD, dims - word * WORD)
+        parts = max(1, round(wanted * used / dims))
         edges = [used * i // parts for i in range(parts + 1)]
         found += [(word, a, b - a) for a, b in zip(edges[:-1], edges[1:], strict=True)]
     return found
@@ -85,7 +105,7 @@ def nearest_codes(vectors: DataFrame, queries: DataFrame, k: int = 10, split: in
     entries = materialise(rows.groupBy("code").agg(F.sort_array(F.collect_list(F.struct("none", "id"))).alias("ids")), "codes")
     counted = entries.agg(F.count("*").alias("entries"), F.sum(F.size("ids")).alias("rows")).first()
     wanted = min(k, counted["rows"] or 0)
-    segments = segments_of(dims, counted["entries"])
+    segments = segments_of(dims, counted["entries"], k)
     keys = F.array(*[F.struct(F.lit(s).alias("s"), _value(F.col("code"), seg).alias("v")) for s, seg in enumerate(segments)])
     index = entries.select(F.explode(keys).alias("key"), "code", "ids").select("key.s", "key.v", "code", "ids")
     hot = index.groupBy("s", "v").agg(F.count("*").alias("size")).where(F.col("size") > split).select("s", "v", F.ceil(F.col("size") / split).cast("int").alias("parts"))
@@ -94,7 +114,7 @@ def nearest_codes(vectors: DataFrame, queries: DataFrame, k: int = 10, split: in
     index = materialise(index.join(hot, ["s", "v"], "left").select("s", "v", part.alias("part"), "code", "ids"), "index")
 
     asked = materialise(coded(queries), "queries")
-    active = materialise(asked.select("code").distinct().withColumn("q", F.monotonically_increasing_id()), "asked")
+    active = materialise(asked.select("code").distinct().withColumn("q", F.monotonically_increasing_id()).withColumn("far", F.lit(FAR)), "asked")
     members = materialise(asked.join(active, "code").select("q", "id", "none"), "members")
 
     # Segment distances of a pair, and whether this segment and radius are the first to meet it.
@@ -106,7 +126,7 @@ def nearest_codes(vectors: DataFrame, queries: DataFrame, k: int = 10, split: in
     near = Window.partitionBy("q").orderBy("distance", "none", "id")
     nearest = Window.partitionBy("q").orderBy("distance", F.col("ids")[0]["none"], F.col("ids")[0]["id"])
 
-    best, done = None, []
+    best, done, left = None, [], active.count()
     widest = max(width for _, _, width in segments)
     radii = [0, 1]
     while wanted and radii:
@@ -118,35 +138,45 @@ def nearest_codes(vectors: DataFrame, queries: DataFrame, k: int = 10, split: in
             for b in batches:
                 for i in range(0, len(b), step):
                     own = b.iloc[i : i + step]
-                    code = np.stack([np.asarray(c, dtype=np.int64) for c in own["code"]])
-                    out = {"q": [], "s": [], "radius": [], "v": []} | {f"w{w}": [] for w in range(code.shape[1])}
+                    codes, far, q = np.stack([np.asarray(c, dtype=np.int64) for c in own["code"]]), own["far"].to_numpy(), own["q"].to_numpy()
+                    out = {"q": [], "s": [], "radius": [], "v": [], "far": []} | {f"w{w}": [] for w in range(codes.shape[1])}
                     for s, r, mask in masks:
+                        some = len(segments) * r + s <= far  # others have what they need
+                        code, n = codes[some], int(some.sum())
                         word, low, width = segments[s]
                         value = (code[:, word].view(np.uint64) >> np.uint64(low) & np.uint64((1 << width) - 1)).view(np.int64)
                         out["v"].append((value[:, None] ^ mask).ravel())
-                        out["q"].append(np.repeat(own["q"].to_numpy(), len(mask)))
-                        out["s"].append(np.full(len(own) * len(mask), s))
-                        out["radius"].append(np.full(len(own) * len(mask), r))
+                        out["q"].append(np.repeat(q[some], len(mask)))
+                        out["far"].append(np.repeat(far[some], len(mask)))
+                        out["s"].append(np.full(n * len(mask), s))
+                        out["radius"].append(np.full(n * len(mask), r))
                         for w in range(code.shape[1]):
                             out[f"w{w}"].append(np.repeat(code[:, w], len(mask)))
                     yield pd.DataFrame({c: np.concatenate(parts) for c, parts in out.items()})
 
         words = [f"w{w}" for w in range(max(1, -(-dims // WORD)))]
-        probes = active.select("q", "code").mapInPandas(probe, "q long, s int, radius int, v long, " + ", ".join(f"{w} long" for w in words)).join(hot, ["s", "v"], "left")
+        each = sum(math.comb(width, r) for _, _, width in segments for r in radii)
+        spread = active.select("q", "code", "far").repartition(max(1, -(-left * each // PROBES)), "q")
+        probes = spread.mapInPandas(probe, "q long, s int, radius int, v long, far int, " + ", ".join(f"{w} long" for w in words)).join(hot, ["s", "v"], "left")
         probes = probes.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
-        met = probes.join(index.hint("merge"), ["s", "v", "part"]).withColumn("sought", F.array(*words)).where(first).select("q", distance.alias("distance"), "ids")
+        met = probes.join(index.hint("merge"), ["s", "v", "part"]).withColumn("sought", F.array(*words)).where(first & (distance <= F.col("far"))).select("q", distance.alias("distance"), "ids")
         # An entry's smallest id stands for it: what is not among the first k entries has no row among the first k.
         met = met.withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= k).select("q", "distance", F.explode("ids").alias("row")).select("q", "distance", "row.none", "row.id")
         pool = met if best is None else met.unionByName(best.select("q", "distance", "none", "id"))
         ranked = materialise(pool.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k), "ranked")
-        covered = len(segments) * (radii[-1] + 1) - 1 if radii[-1] < widest else len(segments) * WORD
-        ready = materialise(ranked.groupBy("q").agg(F.count("*").alias("n"), F.max("distance").alias("far")).where((F.col("n") >= wanted) & (F.col("far") <= covered)).select("q"), "ready")
+        # Of segments beyond the k-th distance nothing was asked, and nothing was needed.
+        covered = F.least(F.col("before"), F.lit(len(segments) * (radii[-1] + 1) - 1 if radii[-1] < widest else len(segments) * WORD))
+        reached = ranked.groupBy("q").agg(F.count("*").alias("n"), F.max("distance").alias("far"))
+        state = active.select("q", "code", F.col("far").alias("before")).join(reached, "q", "left").withColumn("far", F.when(F.col("n") >= wanted, F.col("far")).otherwise(FAR))
+        state = materialise(state.select("code", "q", "far", (F.col("far") <= covered).alias("ready")), "asked")
+        ready = state.where("ready").select("q")
         done.append(materialise(ranked.join(ready, "q"), "done"))
-        left = materialise(active.join(ready, "q", "left_anti").select("code", "q"), "asked")
         rest = materialise(ranked.join(ready, "q", "left_anti"), "best")
-        discard(ranked, ready, active, best)
-        best, active = rest, left
-        radii = [radii[-1] + 1] if radii[-1] < widest and not active.isEmpty() else []
+        discard(ranked, active, best)
+        best, active = rest, state.where("not ready").select("code", "q", "far")
+        active._scratch = state._scratch
+        left = active.count()
+        radii = [radii[-1] + 1] if radii[-1] < widest and left else []
     discard(entries, asked, index, hot)
     if not done:
         return members.select(F.col("q").alias("query_id"), F.lit(0).alias("rank"), F.col("q").alias("vec_id"), F.lit(0).alias("distance")).where("false")
