@@ -354,17 +354,21 @@ def _entropies(counts: DataFrame, keys: list[str], damping: float) -> DataFrame:
 
     Entropies are to the base of the pages that have the branch: 0 for what is the same on all, 1 for what differs on each.
     """
-    sizes = counts.where("kind = 's'").groupBy(*keys, "path").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("shown"))
-    joined = counts.where("kind = 't'").join(sizes.select(*keys, "path", "pages"), [*keys, "path"])
-    alike = F.when(F.col("pages") > 1, F.log("n") / F.log("pages")).otherwise(0.0)
-    texts = joined.groupBy(*keys, "path").agg(F.sum("n").alias("texts"), F.sum(F.col("n") * (1 - alike)).alias("said"))
+    # Sums of n and n log n are enough, so nothing but sums is dealt by path.
+    def total(kind: str, value: Column) -> Column:
+        return F.sum(F.when(F.col("kind") == kind, value).otherwise(0.0))
+
+    sums = counts.groupBy(*keys, "path").agg(
+        total("s", F.col("n")).alias("pages"), total("s", F.col("n") * F.log("n")).alias("shown"), total("t", F.col("n")).alias("texts"), total("t", F.col("n") * F.log("n")).alias("alike")
+    )
+    sums = sums.withColumn("said", F.col("texts") - F.when(F.col("pages") > 1, F.col("alike") / F.log("pages")).otherwise(0.0))
     # A branch's texts count for itself and all above it, less with each level.
     parts = F.split("path", "/")
     prefix = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.struct(F.array_join(F.slice(parts, 1, i), "/").alias("path"), F.pow(F.lit(damping), F.size(parts) - i).alias("weight")))
-    above = texts.select(*keys, F.explode(prefix).alias("a"), "texts", "said").select(*keys, F.col("a.path").alias("path"), (F.col("texts") * F.col("a.weight")).alias("texts"), (F.col("said") * F.col("a.weight")).alias("said"))
-    folded = above.groupBy(*keys, "path").agg((F.sum("said") / F.sum("texts")).alias("said"))
+    above = sums.where("texts > 0").select(*keys, F.explode(prefix).alias("a"), "texts", "said").select(*keys, F.col("a.path").alias("path"), (F.col("texts") * F.col("a.weight")).alias("texts"), (F.col("said") * F.col("a.weight")).alias("said"))
+    folded = above.groupBy(*keys, "path").agg((F.sum("said") / F.sum("texts")).alias("all_said"))
     varied = F.when(F.col("pages") > 1, (F.log("pages") - F.col("shown") / F.col("pages")) / F.log("pages")).otherwise(0.0)
-    return sizes.join(folded, [*keys, "path"]).select(*keys, "path", ((1 - damping) * varied + damping * F.col("said")).alias("entropy"), "pages")
+    return sums.join(folded, [*keys, "path"]).select(*keys, "path", ((1 - damping) * varied + damping * F.col("all_said")).alias("entropy"), "pages")
 
 
 def branch_importance(pages: DataFrame, shared: int = 8, damping: float = 0.9) -> DataFrame:
