@@ -372,14 +372,14 @@ def remove_repeats(docs: DataFrame, depth: int = 100, hot: int = 64, bucket_byte
                 a = place[np.isin(kind, kinds)]
                 lows.append(np.maximum(a - high, 0))
                 highs.append(np.minimum(a - low + 1, max(0, len(raw) - depth + 1)))
-            found = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=U64)], [np.zeros(0, dtype=U64)]
-            for a, z in zip(*(x.tolist() for x in joined(np.concatenate(lows), np.concatenate(highs))), strict=True):
-                for at in range(a, z, PIECE):
-                    own = np.arange(min(PIECE, z - at))
-                    one, two = windows_of(raw[at : at + len(own) + depth - 1], own, depth)
-                    for x, y in zip(found, (own + at, one, two), strict=True):
-                        x.append(y)
-            starts, one, two = (np.concatenate(x) for x in found)
+            low, high = joined(np.concatenate(lows), np.concatenate(highs))
+            size = high - low
+            starts = np.arange(size.sum()) + np.repeat(low - np.concatenate(([0], np.cumsum(size)[:-1])), size) if len(size) else low
+            one, two, i = np.zeros(len(starts), dtype=U64), np.zeros(len(starts), dtype=U64), 0
+            while i < len(starts):  # all that begins within a piece
+                at, stop = starts[i], np.searchsorted(starts, starts[i] + PIECE)
+                one[i:stop], two[i:stop] = windows_of(raw[at : starts[stop - 1] + depth], starts[i:stop] - at, depth)
+                i = stop
             hashes.append(one)
             tails.append(two)
             owners.append(np.full(len(starts), i))
