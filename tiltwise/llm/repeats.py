@@ -375,11 +375,11 @@ def remove_repeats(docs: DataFrame, depth: int = 100, hot: int = 64, bucket_byte
             low, high = joined(np.concatenate(lows), np.concatenate(highs))
             size = high - low
             starts = np.arange(size.sum()) + np.repeat(low - np.concatenate(([0], np.cumsum(size)[:-1])), size) if len(size) else low
-            one, two, i = np.zeros(len(starts), dtype=U64), np.zeros(len(starts), dtype=U64), 0
-            while i < len(starts):  # all that begins within a piece
-                at, stop = starts[i], np.searchsorted(starts, starts[i] + PIECE)
-                one[i:stop], two[i:stop] = windows_of(raw[at : starts[stop - 1] + depth], starts[i:stop] - at, depth)
-                i = stop
+            one, two, begin = np.zeros(len(starts), dtype=U64), np.zeros(len(starts), dtype=U64), 0
+            while begin < len(starts):  # all windows that begin within a piece
+                at, stop = starts[begin], np.searchsorted(starts, starts[begin] + PIECE)
+                one[begin:stop], two[begin:stop] = windows_of(raw[at : starts[stop - 1] + depth], starts[begin:stop] - at, depth)
+                begin = stop
             hashes.append(one)
             tails.append(two)
             owners.append(np.full(len(starts), i))
