@@ -84,7 +84,9 @@ def test_subsets_and_warm_start(binary, stratified):
 
 def test_whole_table_weights_meet_the_means(anchor):
     z = anchor["z"].select(*anchor["spec"].names)
-    w = solve_whole(z, anchor["mu"])
+    found = solve_whole(z, anchor["mu"])
+    assert found.status == "Success"
+    w = found.weights
     row = w.agg(*[(F.sum(F.col("w") * F.col("_count") * col(c)) / F.sum(F.col("w") * F.col("_count"))).alias(f"m{i}") for i, c in enumerate(anchor["mu"])]).first()
     assert max(abs(row[f"m{i}"] - v) for i, v in enumerate(anchor["mu"].values())) < 1e-4
 

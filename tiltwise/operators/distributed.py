@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import col
-from .optimizers import WeightResult
+from .optimizers import Tilt, WeightResult
 
 
 def compress(z: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -79,6 +79,19 @@ def _merge(a: tuple | None, b: tuple) -> tuple:
     return np.array([top, fa * a[0][1] + fb * b[0][1], a[0][2] + b[0][2]]), fa * a[1] + fb * b[1], fa * a[2] + fb * b[2]
 
 
+class TableTilt(Tilt):
+    """The tilt of a table: every state is a pass that sums small vectors."""
+
+    def __init__(self, z: DataFrame, mu: dict[str, float], columns: list[str], count: str | None = None):
+        self.table, self.columns, self.count, self.mu = z, columns, count, np.array([mu[c] for c in columns])
+        ends = z.agg(*[f(col(c)).alias(f"{name}{i}") for i, c in enumerate(columns) for name, f in (("lo", F.min), ("hi", F.max))]).first()
+        self.width = np.array([(ends[f"hi{i}"] or 0.0) - (ends[f"lo{i}"] or 0.0) for i in range(len(columns))])
+
+    def state(self, theta: np.ndarray) -> tuple[np.ndarray, float, float]:
+        lse, n, mean, _ = tilted_sums(self.table, self.columns, theta, False, self.count)
+        return mean - self.mu, float(np.log(n) - theta @ mean - lse), lse - float(np.log(n))
+
+
 def newton_tilt(z: DataFrame, mu: dict[str, float], columns: list[str], count: str | None = None, tol: float = 1e-9, max_passes: int = 60) -> tuple[np.ndarray, WeightResult]:
     """theta with weighted means equal to ``mu``, by damped Newton steps: some ten passes instead of thousands of steps."""
     target = np.array([mu[c] for c in columns])

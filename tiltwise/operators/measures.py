@@ -37,8 +37,7 @@ def auroc(df: DataFrame, y: Column, p: Column, w: Column | None = None, by: list
     """
     weight = w if w is not None else F.lit(1.0)
     points = df.groupBy(*by, p.cast("double").alias("_p")).agg(F.sum(F.when(y == 1, weight).otherwise(0.0)).alias("_pos"), F.sum(F.when(y == 1, 0.0).otherwise(weight)).alias("_neg"))
-    # Predictions are probabilities; what is outside of 0 to 1 goes to the end ranges.
-    points = points.withColumn("_range", F.least(F.greatest(F.floor(F.col("_p") * 1024), F.lit(0)), F.lit(1023)))
+    points = points.withColumn("_range", _range_of(df, p))
     inside = Window.partitionBy(*by, "_range").orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     points = points.withColumn("_below", F.sum("_neg").over(inside) - F.col("_neg") / 2)
     ranges = points.groupBy(*by, "_range").agg(F.sum("_pos").alias("_pos"), F.sum("_neg").alias("_neg"), F.sum(F.col("_pos") * F.col("_below")).alias("_won"))
@@ -48,6 +47,20 @@ def auroc(df: DataFrame, y: Column, p: Column, w: Column | None = None, by: list
     return ranges.groupBy(*by).agg((F.sum("_won") / F.when(pairs > 0, pairs)).alias("auroc"))
 
 
+def _range_of(df: DataFrame, p: Column, ranges: int = 256) -> Column:
+    """Which of about equally filled ranges a prediction ``_p`` is in, from approximate quantiles of all predictions."""
+    edges = df.agg(F.percentile_approx(p.cast("double"), [i / ranges for i in range(1, ranges)], 10 * ranges).alias("e")).first()["e"]
+
+    def search(low: int, high: int) -> Column:  # a tree of comparisons
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(F.col("_p") < F.lit(edges[middle]), search(low, middle)).otherwise(search(middle + 1, high))
+
+    edges = sorted(set(edges or ()))
+    return search(0, len(edges))
+
+
 def measures(df: DataFrame, y: str = "y", p: str = "p", w: str | None = None, by: list[str] | tuple[str, ...] = ()) -> DataFrame:
     """``by, n, n_outcome, auroc, brier, mean_prediction, observed_risk, log_likelihood`` for rows of positive weight.
 

@@ -45,12 +45,16 @@ def kl_to_uniform(w: np.ndarray, counts: np.ndarray) -> float:
 
 
 class Tilt:
-    """Weights ``base * exp(-z theta)`` scaled to add up to 1, kept as logs: whatever a solver does, theta is its whole state."""
+    """Weights ``base * exp(-z theta)`` scaled to add up to 1, kept as logs: whatever a solver does, theta is its whole state.
+
+    Solvers see ``state``, ``reach`` and ``mu`` alone, so they run as they are on a table of any size (``distributed.TableTilt``).
+    """
 
     WIDEST = 690.0  # exp of less than -WIDEST is no longer a normal number
 
-    def __init__(self, z: np.ndarray, mu: np.ndarray, base: np.ndarray):
-        self.z, self.mu = z, mu
+    def __init__(self, z: np.ndarray, mu: np.ndarray, base: np.ndarray, counts: np.ndarray | None = None):
+        self.z, self.mu, self.counts = z, mu, base if counts is None else counts
+        self.width = np.ptp(z, axis=0) if len(z) else np.zeros(len(mu))
         with np.errstate(divide="ignore"):
             self.log_base = np.log(base / base.sum())
 
@@ -63,17 +67,42 @@ class Tilt:
         shares = shares / total
         return shares, shares @ self.z - self.mu, top + float(np.log(total))
 
+    def state(self, theta: np.ndarray) -> tuple[np.ndarray, float, float]:
+        """How far the means are above ``mu``, the divergence from uniform weights, and the log of the scale."""
+        shares, gap, scale = self.at(theta)
+        return gap, kl_to_uniform(shares, self.counts), scale
+
     def reach(self, step: np.ndarray) -> float:
-        """By how much the logs of two weights may come apart if theta moves by ``step``."""
-        return float(np.ptp(self.z @ step)) if len(self.z) else 0.0
+        """A bound on how far the logs of two weights may come apart if theta moves by ``step``."""
+        return float(np.abs(step) @ self.width)
+
+
+@dataclass
+class Descent:
+    """Where a solver ended: theta and the log of (error, divergence, largest absolute error) of every state it saw."""
+
+    theta: np.ndarray
+    status: str
+    log: list[tuple]
+    iterations: int
+
+    @property
+    def err(self) -> float:
+        return float("inf") if self.status in ("NA-objective", "Failure") else self.log[-1][0]
+
+    @property
+    def worst(self) -> float | None:
+        return None if self.status in ("NA-objective", "Failure") else self.log[-1][2]
+
+    def result(self, weights: np.ndarray) -> WeightResult:
+        return WeightResult(weights, self.status, self.err, self.worst, self.iterations, self.log)
 
 
 @dataclass(frozen=True)
 class ExponentiatedGradient:
     """Exponentiated gradient on the squared error of the means, as heavy-ball steps of the tilt at one learning rate.
 
-    A rate is given up (``NA-objective``) when one step would spread the weights over more than doubles can hold.  The log has
-    error, divergence from the uniform weights and largest absolute error of every state, the first included.
+    A rate is given up (``NA-objective``) when one step could spread the weights over more than doubles can hold.
     """
 
     alpha: float = 0.1
@@ -93,28 +122,34 @@ class ExponentiatedGradient:
         sizes = base[case].sum(), base[~case].sum()
         return base * np.where(case, share / sizes[0], (1 - share) / sizes[1]) if min(sizes) > 0 else base
 
-    def optimize(self, z: np.ndarray, mu: np.ndarray, counts: np.ndarray | None = None) -> WeightResult:
-        counts = np.ones(len(z)) if counts is None else counts.astype(float)
-        tilt = Tilt(z, mu, self.start(z, mu, counts))
-        theta, velocity, log = np.zeros(len(mu)), np.zeros(len(mu)), []
+    def converged(self, err: float, worst: float) -> bool:
+        return err < self.abs_tol or worst < self.max_abs_tol
+
+    def solve(self, tilt: Tilt, theta: np.ndarray | None = None) -> Descent:
+        theta = np.zeros(len(tilt.mu)) if theta is None else theta
+        velocity, log = np.zeros(len(theta)), []
         while True:
-            shares, gap, _ = tilt.at(theta)
-            err, worst = float(gap @ gap), float(np.abs(gap).max(initial=0.0))
-            log.append((err, kl_to_uniform(shares, counts), worst))
-            weights = shares * counts.sum() / counts
-            if err < self.abs_tol or worst < self.max_abs_tol or len(log) >= self.n_iter:
-                return WeightResult(weights, "Success" if err < self.max_success_mse else "Not-converged", err, worst, len(log), log)
+            gap, kl, _ = tilt.state(theta)
+            log.append((float(gap @ gap), kl, float(np.abs(gap).max(initial=0.0))))
+            if self.converged(log[-1][0], log[-1][2]) or len(log) >= self.n_iter:
+                return Descent(theta, "Success" if log[-1][0] < self.max_success_mse else "Not-converged", log, len(log))
             velocity = self.momentum * velocity + gap
             if not tilt.reach(self.alpha * velocity) < tilt.WIDEST:
-                return WeightResult(weights, "NA-objective", float("inf"), None, len(log), log)
+                return Descent(theta, "NA-objective", log, len(log))
             theta = theta + self.alpha * velocity
 
+    def optimize(self, z: np.ndarray, mu: np.ndarray, counts: np.ndarray | None = None) -> WeightResult:
+        counts = np.ones(len(z)) if counts is None else counts.astype(float)
+        tilt = Tilt(z, mu, self.start(z, mu, counts), counts)
+        found = self.solve(tilt)
+        return found.result(tilt.at(found.theta)[0] * counts.sum() / counts)
+
 
 @dataclass(frozen=True)
 class TunedExponentiatedGradient:
     """W-MSE: try each learning rate for a few steps, restart the best of them.
 
-    Columns are standardised unless all of them hold 0 and 1 only.  A rate that overflows ends the trial, as larger ones do so
+    Columns are standardised unless all of them hold 0 and 1 only.  A rate that is given up ends the trial, as larger ones are
     too; a trial that converges is the result.  ``anchor_outcome`` starts from weights that match the outcome's mean (off by
     default).
     """
@@ -135,27 +170,35 @@ class TunedExponentiatedGradient:
     def with_initial(self, result: WeightResult) -> TunedExponentiatedGradient:
         return replace(self, w0=result.weights)
 
+    def step(self, alpha: float, n_iter: int) -> ExponentiatedGradient:
+        return ExponentiatedGradient(alpha, n_iter, self.abs_tol, self.momentum, self.max_abs_tol, self.max_success_mse)
+
+    def solve(self, tilt: Tilt) -> Descent:
+        trials, total = [], 0
+        for alpha in self.alphas:
+            trial = self.step(alpha, self.n_tune_iter).solve(tilt)
+            total += trial.iterations
+            if trial.status == "NA-objective":
+                break
+            trials.append((trial.err, alpha, trial.theta))
+            if self.step(alpha, 0).converged(trial.err, trial.worst):
+                return replace(trial, iterations=total)
+        if not trials:
+            return Descent(np.zeros(len(tilt.mu)), "Failure", [], total)
+        _, alpha, theta = min(trials, key=lambda t: t[0])
+        found = self.step(alpha, self.n_iter).solve(tilt, theta)
+        return replace(found, iterations=total + found.iterations)
+
     def optimize(self, z: np.ndarray, mu: np.ndarray, counts: np.ndarray | None = None) -> WeightResult:
         counts = np.ones(len(z)) if counts is None else counts.astype(float)
         plain = bool(np.isin(z, (0, 1)).all())
         if not plain:
             z, mu = standardise(z, mu, counts, self.min_sd)
-        anchor = self.outcome_column if self.anchor_outcome and plain else None
-        step = ExponentiatedGradient(0.0, self.n_tune_iter, self.abs_tol, self.momentum, self.max_abs_tol, self.max_success_mse, anchor, self.w0)
-        total, best = 0, None
-        for alpha in self.alphas:
-            r = replace(step, alpha=alpha).optimize(z, mu, counts)
-            total += r.iterations
-            if r.max_abs_err is None:
-                break
-            if r.err < self.abs_tol or r.max_abs_err < self.max_abs_tol:
-                return replace(r, iterations=total)
-            if best is None or r.err < best[0]:
-                best = (r.err, alpha, r.weights)
-        if best is None:
-            return WeightResult(np.full(len(z), np.nan), "Failure", float("inf"), None, total)
-        r = replace(step, alpha=best[1], n_iter=self.n_iter, w0=best[2], outcome_column=None).optimize(z, mu, counts)
-        return replace(r, iterations=total + r.iterations)
+        start = ExponentiatedGradient(outcome_column=self.outcome_column if self.anchor_outcome and plain else None, w0=self.w0)
+        tilt = Tilt(z, mu, start.start(z, mu, counts), counts)
+        found = self.solve(tilt)
+        weights = np.full(len(z), np.nan) if found.status == "Failure" else tilt.at(found.theta)[0] * counts.sum() / counts
+        return found.result(weights)
 
 
 @dataclass(frozen=True)
@@ -225,28 +268,40 @@ def solve_entropy(z: np.ndarray, mu: np.ndarray, counts: np.ndarray, lam: float,
             if np.linalg.norm(nu) > 1e6:  # the means are out of reach
                 return w, nu, False
         return w, nu, bool(np.abs(grad).max(initial=0.0) < 1e-6)
-    ahead, pace, step = nu.copy(), 1.0, 1.0
-    value, grad, w = _entropy_dual(z, mu, counts, nu)
+    tilt = Tilt(z, mu, counts)
+    nu, good = projected_descent(tilt, lam, distance, tol, n_iter)
+    return tilt.at(nu)[0], nu, good
+
+
+def projected_descent(tilt: Tilt, lam: float, distance: str = "l2", tol: float = 1e-9, n_iter: int = 20000) -> tuple[np.ndarray, bool]:
+    """Multipliers that minimise the dual within the ball of ``lam``: accelerated steps of adaptive length, restarted when it rises."""
+
+    def dual(at: np.ndarray) -> tuple[float, np.ndarray]:
+        gap, _, scale = tilt.state(at)
+        return scale + float(tilt.mu @ at), -gap
+
+    nu = np.zeros(len(tilt.mu))
+    ahead, pace, step, moved = nu.copy(), 1.0, 1.0, np.inf
+    value = dual(nu)[0]
     for _ in range(n_iter):
-        f, g, _ = _entropy_dual(z, mu, counts, ahead)
+        f, g = dual(ahead)
         while True:
             new = _project(ahead - step * g, lam, distance)
             d = new - ahead
-            fn, gn, wn = _entropy_dual(z, mu, counts, new)
+            fn, gn = dual(new)
             if fn <= f + g @ d + d @ d / (2 * step) + 1e-15 or step < 1e-14:
                 break
             step /= 2
         moved = np.abs(_project(new - gn, lam, distance) - new).max(initial=0.0)
         if fn > value:
-            ahead, pace = nu.copy(), 1.0
-            value = np.inf
+            ahead, pace, value = nu.copy(), 1.0, np.inf
             continue
         faster = (1 + np.sqrt(1 + 4 * pace**2)) / 2
         ahead = new + (pace - 1) / faster * (new - nu)
-        nu, value, w, pace, step = new, fn, wn, faster, step * 1.1
+        nu, value, pace, step = new, fn, faster, step * 1.1
         if moved < tol:
-            return w, nu, True
-    return w, nu, bool(moved < 1e-5)
+            return nu, True
+    return nu, bool(moved < 1e-5)
 
 
 def solve_chi2(z: np.ndarray, mu: np.ndarray, counts: np.ndarray, lam: float, min_w: float = 0.0, distance: str = "l2", tol: float = 1e-10, n_iter: int = 50000) -> tuple[np.ndarray, np.ndarray, bool]:
@@ -322,6 +377,14 @@ class ConvexOptimizer:
     distance: str = "l2"
     name: str = "CVX"
 
+    def solve(self, tilt: Tilt) -> Descent:
+        """The entropy problem with ``lam`` on any tilt; others need the rows themselves."""
+        if self.lam <= 0 or (self.method, self.divergence) == ("primal", "chi2"):
+            raise NotImplementedError("only the entropy problem with lam above 0 is solved from sums")
+        nu, good = projected_descent(tilt, self.lam, "l2" if self.method == "dual" else self.distance)
+        gap, kl, _ = tilt.state(nu)
+        return Descent(nu, "Success" if good else "Failure", [(float(gap @ gap), kl, float(np.abs(gap).max(initial=0.0)))], 1)
+
     def optimize(self, z: np.ndarray, mu: np.ndarray, counts: np.ndarray | None = None) -> WeightResult:
         r = reweight_by_means(z, mu, ReweightSettings(self.divergence, self.lam, self.min_sd, 0.0, self.distance, self.method), counts)
         return WeightResult(r.weights, r.status, nu=r.nu)
@@ -368,7 +431,7 @@ class DualSGD:
         return epsilon * (np.exp(-self.decay * i) if self.schedule == "exponential" else (self.poly_beta * i + 1) ** -0.5)
 
     def descend(self, whole: Tilt, copies: np.ndarray, epsilon: float, n_iter: int) -> tuple[np.ndarray, list[tuple]] | None:
-        """Multipliers of the best state seen and (step, dual value, error, largest error) of the states judged; None if out."""
+        """Multipliers of the best state seen and (dual value, error, norm, largest error) of the states judged; None if out."""
         rng = np.random.default_rng(self.seed)
         nu = np.zeros(len(whole.mu)) if self.nu0 is None else self.nu0[: len(whole.mu)].astype(float)
         velocity, judged, best = np.zeros(len(nu)), [], None
@@ -376,10 +439,10 @@ class DualSGD:
         for i in range(n_iter + 1):
             if i % self.check_every == 0 or i == n_iter:
                 _, gap, scale = whole.at(nu)
-                judged.append((i, scale + float(whole.mu @ nu), float(gap @ gap), float(np.abs(gap).max(initial=0.0))))
-                if best is None or judged[-1][2] < best[0]:
-                    best = (judged[-1][2], nu)
-                if judged[-1][2] < self.improve_th or i == n_iter:
+                judged.append((scale + float(whole.mu @ nu), float(gap @ gap), float(np.linalg.norm(nu)), float(np.abs(gap).max(initial=0.0))))
+                if best is None or judged[-1][1] < best[0]:
+                    best = (judged[-1][1], nu)
+                if judged[-1][1] < self.improve_th or i == n_iter:
                     return best[1], judged
             if self.batch < copies.sum():
                 drawn = rng.multinomial(self.batch, shares)
@@ -401,7 +464,7 @@ class DualSGD:
         copies = counts * np.where(case, upsampling(int(counts[case].sum()), int(counts[~case].sum())), 1)
         whole = Tilt(z, mu, copies)
         trials = {e: self.descend(whole, copies, e, self.n_tune_iter) for e in self.epsilons}
-        values = {e: t[1][-1][1] for e, t in trials.items() if t is not None}
+        values = {e: t[1][-1][0] for e, t in trials.items() if t is not None}
         first = min(values, key=values.get) if values else min(self.epsilons) / 2
         for halving in range(self.max_halvings):
             found = self.descend(whole, copies, first / 2**halving, self.n_iter)
@@ -409,7 +472,7 @@ class DualSGD:
                 nu, judged = found
                 shares, gap, _ = whole.at(nu)
                 err = float(gap @ gap)
-                return WeightResult(shares * counts.sum() / counts, "Success" if err < self.improve_th else "Not-converged", err, float(np.abs(gap).max(initial=0.0)), judged[-1][0], judged, nu)
+                return WeightResult(shares * counts.sum() / counts, "Success" if err < self.improve_th else "Not-converged", err, float(np.abs(gap).max(initial=0.0)), min(self.n_iter, (len(judged) - 1) * self.check_every), judged, nu)
         return WeightResult(np.full(len(z), np.nan), "Failure", float("inf"), None, 0)
 
 

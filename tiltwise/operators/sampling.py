@@ -6,7 +6,9 @@ hashes of seed, repetition and id, so a lost task draws the same again.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import col
@@ -45,18 +47,42 @@ def with_row_id(df: DataFrame, name: str = "row_id", n: int | None = None) -> Da
     return tagged.join(starts, "_part").withColumn(name, F.col("_at") - F.col("_low") + F.col("_start")).drop("_part", "_at", "_low", "_start")
 
 
-def draws_with_replacement(spark: SparkSession, n: int, size: int, reps: int, seed: int, label: str = "") -> DataFrame:
-    """``rep, row_id, mult``: ``size`` draws of the ids 0 to n - 1 for each repetition, as multiplicities."""
-    drawn = spark.range(reps * size).select((F.floor(F.col("id") / size)).cast("int").alias("rep"), F.floor(uniform(F.lit(seed), F.lit(label), F.col("id")) * n).alias("row_id"))
-    return drawn.groupBy("rep", "row_id").agg(F.count("*").alias("mult"))
+def _poisson(mean: float, u: Column) -> Column:
+    """A Poisson number from a uniform one, by the distribution function; what lies beyond 1e-15 is not drawn."""
+    below, term, k, found = 0.0, math.exp(-mean), 0, F.lit(0)
+    while below + term < 1 - 1e-15 and k < mean + 40 * (1 + math.sqrt(mean)):
+        below += term
+        found = found + F.when(u >= below, 1).otherwise(0)
+        k += 1
+        term *= mean / k
+    return found
+
 
+def bootstrap(df: DataFrame, size: int, reps: int, seed: int = 1, row_id: str = "row_id", n: int | None = None, label: str = "") -> DataFrame:
+    """``rep, mult`` and the columns of ``df``: each repetition draws ``size`` rows with replacement.
 
-def bootstrap(df: DataFrame, size: int, reps: int, seed: int = 1, row_id: str = "row_id", n: int | None = None) -> DataFrame:
-    """``rep, mult`` and the columns of ``df``: each repetition draws ``size`` rows with replacement."""
+    Every row draws a Poisson number for each repetition by a hash, where it stands: of some five deviations fewer draws than
+    ``size``, so that the few that are missing are drawn from all ids and added.  The numbers then are those of ``size`` draws,
+    exactly, and no draw is shuffled but those few.
+    """
     n = df.count() if n is None else n
-    if n == 0:
+    if n == 0 or size == 0:
         return df.select(F.lit(0).alias("rep"), F.lit(1).cast("long").alias("mult"), "*").where("false")
-    return draws_with_replacement(df.sparkSession, n, size, reps, seed).withColumnRenamed("row_id", "_drawn").join(df, F.col("_drawn") == col(row_id)).drop("_drawn")
+    spark, attempt = df.sparkSession, 0
+    while True:
+        mean = max(0.0, size - (5 + attempt) * math.sqrt(size) - 5 * attempt) / n
+        rep = F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))
+        own = df.withColumn("rep", rep).withColumn("mult", _poisson(mean, uniform(F.lit(seed), F.lit(label), F.lit(attempt), F.col("rep"), col(row_id))).cast("long"))
+        totals = {r["rep"]: r["n"] for r in own.groupBy("rep").agg(F.sum("mult").alias("n")).collect()}  # a row for each repetition
+        if max(totals.values()) <= size:
+            break
+        attempt += 1
+    missing = spark.createDataFrame([(r, int(size - t)) for r, t in totals.items() if t < size], "rep int, k long")
+    more = missing.select("rep", F.explode(F.sequence(F.lit(1).cast("long"), F.col("k"))).alias("k"))
+    more = more.groupBy("rep", F.floor(uniform(F.lit(seed), F.lit(label), F.lit("more"), F.col("rep"), F.col("k")) * n).cast("long").alias("_id")).agg(F.count("*").alias("_more"))
+    joined = own.join(more.withColumnRenamed("rep", "_rep"), (F.col("rep") == F.col("_rep")) & (col(row_id) == F.col("_id")), "left")
+    mult = F.col("mult") + F.coalesce("_more", F.lit(0))
+    return joined.withColumn("mult", mult).drop("_rep", "_id", "_more").where("mult > 0").select("rep", "mult", *[col(c) for c in df.columns])
 
 
 def subset(df: DataFrame, size: int, reps: int, seed: int = 1, row_id: str = "row_id") -> DataFrame:
@@ -84,8 +110,7 @@ def stratified(df: DataFrame, y: str, n_max: int, reps: int, seed: int = 1) -> D
     for value in (0, 1):
         if sizes[value]:
             own = with_row_id(df.where(col(y) == value), "_own")
-            drawn = draws_with_replacement(df.sparkSession, counts[value], sizes[value], reps, seed, f"class {value}").withColumnRenamed("row_id", "_drawn")
-            parts.append(drawn.join(own, F.col("_drawn") == F.col("_own")).drop("_drawn", "_own"))
+            parts.append(bootstrap(own, sizes[value], reps, seed, "_own", counts[value], f"class {value}").drop("_own"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

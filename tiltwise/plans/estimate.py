@@ -170,11 +170,29 @@ def warm_start(rows: DataFrame, names: list[str], mu: dict[str, float], settings
     return rows.withColumn("_w0", F.exp(F.least(F.greatest(score, F.lit(-60.0)), F.lit(60.0))))
 
 
-def solve_whole(z: DataFrame, mu: dict[str, float], optimizer: WeightOptimizer | None = None, max_local: int = 50_000, name: str = "w") -> DataFrame:
+@dataclass
+class WholeSolution:
+    """Weights of a whole table (its different rows with ``_count`` and a weight) and how solving ended; no weights unless it did."""
+
+    status: str
+    err: float | None
+    max_abs_err: float | None
+    iterations: int | None
+    table: DataFrame | None
+
+    @property
+    def weights(self) -> DataFrame:
+        if self.table is None:
+            raise ValueError(f"no weights were found: {self.status}")
+        return self.table
+
+
+def solve_whole(z: DataFrame, mu: dict[str, float], optimizer: WeightOptimizer | None = None, max_local: int = 50_000, name: str = "w") -> WholeSolution:
     """Weights for equal rows of ``z`` (its columns, ``_count`` and ``w``), with no sample and no cap.
 
-    If the different rows are at most ``max_local``, the optimizer solves them on the driver; beyond, Newton steps on the dual
-    run over the table.
+    Without an optimizer, Newton steps on the dual run over the table.  With one, its own steps do: on the driver if the
+    different rows are at most ``max_local``, else as passes over them, with the same result.  An optimizer that needs the rows
+    themselves (chi2, SGD, Adam) refuses more of them.  Columns that do not vary are left out, as by the optimizers.
     """
     columns = [c for c in z.columns if c in mu]
     small = distributed.compress(z, z.columns)
@@ -182,19 +200,40 @@ def solve_whole(z: DataFrame, mu: dict[str, float], optimizer: WeightOptimizer |
         local_rows = small.limit(max_local + 1).toPandas()
         if len(local_rows) <= max_local:
             r = optimizer.optimize(local_rows[columns].to_numpy(float), np.array([mu[c] for c in columns]), local_rows["_count"].to_numpy(float))
+            good = r.status == "Success" and np.isfinite(r.weights).all()
             local_rows[name] = r.weights
-            return z.sparkSession.createDataFrame(local_rows)
+            return WholeSolution(r.status, r.err, r.max_abs_err, r.iterations, z.sparkSession.createDataFrame(local_rows) if good else None)
+        if not hasattr(optimizer, "solve"):
+            raise NotImplementedError(f"{optimizer.name} needs the rows themselves: more than {max_local} different ones")
     # Moments come from all rows; the passes run over stored different rows with their counts.
     _, target, moments = normalise(z, mu, columns=columns)
+    if optimizer is not None and getattr(optimizer, "w0", None) is None and isinstance(optimizer, TunedExponentiatedGradient) and all(set(c) <= {0, 1} for c in _two_values(z, columns)):
+        moments, target = {c: (0.0, 1.0) for c in columns}, {c: mu[c] for c in columns}  # 0/1 columns are not rescaled
     standard = {c: (col(c) - F.lit(m)) / F.lit(s) for c, (m, s) in moments.items()}
     scaled = small.select(*[e.alias(c) for c, e in standard.items()], "_count").persist()
-    theta, _ = distributed.newton_tilt(scaled, target, list(moments), "_count")
-    lse, n, _, _ = distributed.tilted_sums(scaled, list(moments), theta, False, "_count")
+    if optimizer is None:
+        theta, r = distributed.newton_tilt(scaled, target, list(moments), "_count")
+        ended = WholeSolution(r.status, r.err, r.max_abs_err, r.iterations, None)
+    else:
+        found = optimizer.solve(distributed.TableTilt(scaled, target, list(moments), "_count"))
+        theta, ended = found.theta, WholeSolution(found.status, found.err, found.worst, found.iterations, None)
+    if ended.status == "Success":
+        lse, n, _, _ = distributed.tilted_sums(scaled, list(moments), theta, False, "_count")
+        score = F.lit(-lse)
+        for c, t in zip(moments, theta, strict=True):
+            score = score - standard[c] * F.lit(float(t))
+        ended.table = small.withColumn(name, F.exp(score) * F.lit(n))
+    else:
+        log.error("solving the whole table ended with %s", ended.status)
     scaled.unpersist()
-    score = F.lit(-lse)
-    for c, t in zip(moments, theta, strict=True):
-        score = score - standard[c] * F.lit(float(t))
-    return small.withColumn(name, F.exp(score) * F.lit(n))
+    return ended
+
+
+def _two_values(z: DataFrame, columns: list[str]) -> list[tuple]:
+    """Smallest, largest and (if any) a value between them of each column."""
+    parts = [e for i, c in enumerate(columns) for e in (F.min(col(c)).alias(f"a{i}"), F.max(col(c)).alias(f"b{i}"), F.max(F.when(~col(c).isin(0, 1), col(c))).alias(f"c{i}"))]
+    row = z.agg(*parts).first()
+    return [tuple(v for v in (row[f"a{i}"], row[f"b{i}"], row[f"c{i}"]) if v is not None) for i in range(len(columns))]
 
 
 def estimate_internal(df: DataFrame, y: str = "y", p: str = "p", n_boot: int = 100, seed: int = 1) -> DataFrame:
@@ -206,8 +245,12 @@ def estimate_internal(df: DataFrame, y: str = "y", p: str = "p", n_boot: int = 1
     counts = counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), col(c).alias("value")) for c in ("n", "n outcome")])).alias("c")).select("c.*")
     drawn = measures(sampling.bootstrap(rows, n, n_boot, seed, n=n), "y", "p", "mult", by=["rep"])
     long = drawn.select("rep", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(c).alias("value")) for m, c in zip(CORE_MEASURES, ("auroc", "brier", "mean_prediction", "observed_risk"), strict=True)])).alias("m")).select("rep", "m.*")
+    # A value for each resample and measure: small, and read twice.
+    long = df.sparkSession.createDataFrame(long.toPandas(), "rep int, metric string, value double")
     summary = summary_fields(long).where(~F.col("field").isin(list(CORE_MEASURES)))
-    return counts.unionByName(plain).unionByName(summary)
+    out = df.sparkSession.createDataFrame(counts.unionByName(plain).unionByName(summary).toPandas(), "field string, value double")  # 22 rows
+    rows.unpersist()
+    return out
 
 
 def flagship(spark: SparkSession, data: DataFrame, features: list[str]) -> DataFrame:
@@ -218,7 +261,7 @@ def flagship(spark: SparkSession, data: DataFrame, features: list[str]) -> DataF
     spec = fit_transform(internal.select("y", *features), "Table 1", "y", features)
     mu = spec.means(external)
     z = spec.apply(internal.withColumn("_y", F.col("y").cast("double")), keep=["_y", "p"])
-    weighted = solve_whole(z, mu, TunedExponentiatedGradient())
+    weighted = solve_whole(z, mu, TunedExponentiatedGradient()).weights
     weighted = weighted.withColumn("_w", F.col("w") * F.col("_count"))
     # One pass for the measures of both sides; the estimate is a table of different rows.
     columns = ("auroc", "brier", "mean_prediction", "observed_risk")
@@ -229,4 +272,4 @@ def flagship(spark: SparkSession, data: DataFrame, features: list[str]) -> DataF
     return long.groupBy("metric").agg(*[F.max(F.when(F.col("side") == s, F.col("value"))).alias(s) for s in ("internal", "estimated", "external")])
 
 
-__all__ = ["CORE_MEASURES", "WEIGHTING_CORE", "Estimation", "EstimatorSettings", "estimate_external", "estimate_internal", "flagship", "solve_whole"]
+__all__ = ["CORE_MEASURES", "WEIGHTING_CORE", "Estimation", "WholeSolution", "EstimatorSettings", "estimate_external", "estimate_internal", "flagship", "solve_whole"]
