@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tiltwise.llm.hamming import nearest_codes, segments_of
 from tiltwise.llm.htmltext import FLOOR, branch_importance, extract_text, kept_text, main_text, read_page
 from tiltwise.llm.mixing import div, drawn, mix_documents, seats, source_targets
-from tiltwise.llm.quality import isotonic, keep_quality, score_documents
+from tiltwise.llm.quality import STATISTICS, fit, isotonic, keep_quality, score_documents
 from tiltwise.llm.urlrules import Rule, judge_urls, rules_frame
 
 # URL rules ----------------------------------------------------------------------------------------------------------------
@@ -39,6 +39,19 @@ def test_rules_equal_brute_force(spark, ranges):
     assert got == sorted(str((i if i % 40 else None, *brute_verdict(u))) for i, u in enumerate(urls))
 
 
+def test_long_urls(spark):
+    urls = ["https://" + "a." * 50_000 + "example.net/en/" + "x" * 100_000, "https://example.com/de/" + "?" * 100_000, "x" * 200_000]
+    got = {r.page_id: (r.rule, r.verdict) for r in judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules_frame(spark, RULES[:4])).collect()}
+    assert got == {i: (brute_verdict_of(u), ("allow", "block", "allow")[i]) for i, u in enumerate(urls)}
+
+
+def brute_verdict_of(url):
+    m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url)
+    fits = [r for r in RULES[:4] if m and (m[1] == r.host or m[1].endswith("." + r.host)) and m[2].startswith(r.path)]
+    best = max(fits, key=lambda r: (len(r.host + r.path), len(r.host)), default=None)
+    return best and best.host + best.path
+
+
 def test_rules_without_rows(spark):
     df = spark.createDataFrame([(1, "http://a.net/"), (1, "http://a.net/")], "page_id long, url string")
     assert [tuple(r) for r in judge_urls(df, rules_frame(spark, [])).collect()] == [(1, "a.net", "/", None, "allow")] * 2
@@ -73,6 +86,40 @@ def test_quality_of_odd_rows(spark):
     assert score_documents(docs.where("false"), labels).count() == 0
 
 
+def test_fit_equals_one_machine(spark):
+    """The normal equations summed by partition give the ridge fit of all rows in one place; isotonic levels as well."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, len(STATISTICS)))
+    y = (x[:, 0] + x[:, 3] ** 2 + rng.normal(size=600) * 0.3 > 0.8).astype(int)
+    part = rng.integers(0, 4, 600)
+    rows = spark.createDataFrame([(a.tolist(), int(b), int(c)) for a, b, c in zip(x, y, part)], "x array<double>, y int, part int").repartition(7)
+    model = fit(rows, n_features=40)
+    own = part < 3
+    z = model.features(x)
+    assert np.allclose(model.mean, x[own].mean(axis=0)) and np.allclose(model.scale, x[own].std(axis=0))
+    # Cosines of projections, to the letter.
+    assert np.allclose(z[:, :-1], np.cos((x - model.mean) / model.scale @ model.projection + model.phase) * np.sqrt(2 / 40), atol=1e-9) or (np.abs((x - model.mean) / model.scale) > 6).any()
+    ridge = 1e-3 * own.sum() / 40 * np.diag([1.0] * 40 + [0.0]) + 1e-9 * np.eye(41)
+    assert np.allclose(model.weights, np.linalg.solve(z[own].T @ z[own] + ridge, z[own].T @ y[own]), atol=1e-6)
+    raw = np.round(z[~own] @ model.weights, 3)
+    values = np.unique(raw)
+    knots, levels = isotonic(values, np.array([y[~own][raw == v].mean() for v in values]), np.array([(raw == v).sum() for v in values], dtype=float))
+    assert np.allclose(model.knots, knots, atol=1e-6) and np.allclose(model.levels, levels, atol=1e-6)
+
+
+def test_scores_depend_on_texts_alone(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    before = {r.doc_id: r.score for r in score_documents(docs, labels).collect()}
+    changed = docs.select("doc_id", "text", F.lit("xx").alias("lang"), F.reverse("source").alias("source"), F.lit(1).alias("quality"))
+    held = labels.withColumn("quality", F.when(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
+    after = {r.doc_id: r.score for r in score_documents(changed, held).collect()}  # labels of held-out rows are turned round
+    assert before.keys() == after.keys() and max(abs(before[d] - after[d]) for d in before) < 1e-9
+    again = docs.withColumn("doc_id", F.lit(10**16) + F.col("doc_id")).unionByName(docs)
+    moved = {r.doc_id: r.score for r in score_documents(again, labels).collect()}
+    assert max(abs(moved[d] - moved[10**16 + d]) for d in before) < 1e-12  # an id moves no score
+
+
 def test_isotonic_is_the_nearest_monotone_fit():
     x, y = np.arange(6.0), np.array([0, 1, 0, 1, 0, 1.0])
     at, level = isotonic(x, y, np.ones(6))

@@ -3,10 +3,14 @@ import random
 
 import corpus_pipeline
 import pytest
+import numpy as np
 from oracle import check
+from test_text_operators import MASKS, brute_classes, brute_lines, brute_run, normal_word
 
 import __spark_entry__
 from tiltwise.llm import queries
+from tiltwise.llm.mixing import mix_documents
+from tiltwise.llm.quality import score_documents
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -39,6 +43,42 @@ def test_stages(spark, tmp_path):
     assert run.exceptAll(before).count() == 0 and run.count() == counts[4]
 
 
+def overlaps_any(text, items):
+    """Whether a text meets the rule of the decontamination with an item, looked for at every offset."""
+
+    def tokens(t):
+        return np.array([w for w in map(normal_word, (t or "").split()) if w], dtype=object)
+
+    here = tokens(text)
+    for own in map(tokens, items):
+        masks = [range(len(own))] if 0 < len(own) < 8 else MASKS
+        for offset in range(-len(own) + 1, len(here)) if len(own) else ():
+            low, high = max(0, -offset), min(len(own), len(here) - offset)
+            same = np.zeros(len(own), dtype=bool)
+            same[low:high] = own[low:high] == here[offset + low : offset + high]
+            if same.sum() >= min(6, len(own)) and any(all(same[p + at] for at in m) for m in masks for p in range(len(own) - m[-1])):
+                if brute_run(same[low:high]) >= min(12, -(-3 * len(own) // 4)):
+                    return True
+    return False
+
+
+def test_pipeline_equals_brute_force(spark):
+    """Every stage by plain Python on all documents of the smallest table; scores and the mix have tests of their own."""
+    folder = "/root/testdata/sf0.001"
+    table = spark.read.parquet(f"{folder}/documents.parquet")
+    scores = {r.doc_id: r.score for r in score_documents(table, spark.read.parquet(f"{folder}/labels.parquet")).collect()}
+    rows = {r.doc_id: r for r in table.collect()}
+    kept = [(d, r.text) for d, r in rows.items() if scores[d] >= 0.3]
+    lines = brute_lines(kept)
+    least = {d: c for d, c, _ in brute_classes(lines)}
+    items = [r.text for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    left = [(d, t, rows[d].source) for d, t in lines if least[d] == d and not overlaps_any(t, items)]
+    assert len(rows) > len(kept) > len(left) > 50
+    want = mix_documents(spark.createDataFrame(left, "doc_id long, text string, source string"), [5, 2, 1]).select("doc_id", "size", "source_size", "target", "taken").collect()
+    got = corpus_pipeline.run(spark, folder).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
 ODD = "doc_id long, text string, lang string, source string, n_chars long, class_id string, digest int, n_lines string, size double"
 
 

@@ -85,7 +85,12 @@ def one_of_each(docs: DataFrame, keys: list[str]) -> DataFrame:
 def host_of(url: Column) -> Column:
     """Lower-cased (A-Z) text after the first ``://`` up to ``/``, ``?``, ``#`` or the end; empty without one."""
     host = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1)
-    return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return lowered(host)
+
+
+def lowered(text: Column) -> Column:
+    """A-Z in lower case, and nothing else."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def path_of(url: Column) -> Column:

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import host_of, path_of
+from .common import host_of, lowered, path_of
 
 END = "\U0010ffff"
 
@@ -81,7 +81,7 @@ def judge_urls(
     )
     rules = (
         rules.where("host is not null and host <> ''")
-        .select(F.lower("host").alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict")
+        .select(lowered(F.col("host")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict")
         .groupBy("host", "path").agg(F.min("verdict").alias("verdict"))
         .withColumn("labels", F.size(F.split("host", r"\.")))
         .withColumn("key", canonical_key(F.col("host"), F.col("path"), F.col("labels")))
