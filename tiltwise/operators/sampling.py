@@ -63,7 +63,7 @@ def bootstrap(df: DataFrame, size: int, reps: int, seed: int = 1, row_id: str =
 
     Every row draws a Poisson number for each repetition by a hash, where it stands: of some five deviations fewer draws than
     ``size``, so that the few that are missing are drawn from all ids and added.  The numbers then are those of ``size`` draws,
-    exactly, and no draw is shuffled but those few.
+    exactly, and no draw is shuffled but those few.  A row that has draws of both kinds comes twice; its numbers add up.
     """
     n = df.count() if n is None else n
     if n == 0 or size == 0:
@@ -80,9 +80,9 @@ def bootstrap(df: DataFrame, size: int, reps: int, seed: int = 1, row_id: str =
     missing = spark.createDataFrame([(r, int(size - t)) for r, t in totals.items() if t < size], "rep int, k long")
     more = missing.select("rep", F.explode(F.sequence(F.lit(1).cast("long"), F.col("k"))).alias("k"))
     more = more.groupBy("rep", F.floor(uniform(F.lit(seed), F.lit(label), F.lit("more"), F.col("rep"), F.col("k")) * n).cast("long").alias("_id")).agg(F.count("*").alias("_more"))
-    joined = own.join(more.withColumnRenamed("rep", "_rep"), (F.col("rep") == F.col("_rep")) & (col(row_id) == F.col("_id")), "left")
-    mult = F.col("mult") + F.coalesce("_more", F.lit(0))
-    return joined.withColumn("mult", mult).drop("_rep", "_id", "_more").where("mult > 0").select("rep", "mult", *[col(c) for c in df.columns])
+    columns = ["rep", "mult", *df.columns]
+    added = more.join(df, F.col("_id") == col(row_id)).withColumnRenamed("_more", "mult")
+    return own.where("mult > 0").select(*[col(c) for c in columns]).unionByName(added.select(*[col(c) for c in columns]))
 
 
 def subset(df: DataFrame, size: int, reps: int, seed: int = 1, row_id: str = "row_id") -> DataFrame:

@@ -243,12 +243,15 @@ def estimate_internal(df: DataFrame, y: str = "y", p: str = "p", n_boot: int = 1
     plain = measures_long(rows).select(F.col("measure").alias("field"), "value")
     counts = rows.agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("y").alias("n outcome"))
     counts = counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), col(c).alias("value")) for c in ("n", "n outcome")])).alias("c")).select("c.*")
-    drawn = measures(sampling.bootstrap(rows, n, n_boot, seed, n=n), "y", "p", "mult", by=["rep"])
+    # Equal rows of a resample as one, stored: the measures read them several times.
+    resampled = sampling.bootstrap(rows, n, n_boot, seed, n=n).groupBy("rep", "y", "p").agg(F.sum("mult").alias("mult")).persist()
+    drawn = measures(resampled, "y", "p", "mult", by=["rep"])
     long = drawn.select("rep", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(c).alias("value")) for m, c in zip(CORE_MEASURES, ("auroc", "brier", "mean_prediction", "observed_risk"), strict=True)])).alias("m")).select("rep", "m.*")
     # A value for each resample and measure: small, and read twice.
     long = df.sparkSession.createDataFrame(long.toPandas(), "rep int, metric string, value double")
     summary = summary_fields(long).where(~F.col("field").isin(list(CORE_MEASURES)))
     out = df.sparkSession.createDataFrame(counts.unionByName(plain).unionByName(summary).toPandas(), "field string, value double")  # 22 rows
+    resampled.unpersist()
     rows.unpersist()
     return out
 

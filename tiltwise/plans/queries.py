@@ -710,7 +710,7 @@ def est_end2end(spark: SparkSession, sf_dir: str) -> DataFrame:
     select m as field, round(v, 6) as value from plain union all select '95% lower ' || m, round((v - 1.96 * se) * 50) / 50 from plain union all select '95% upper ' || m, round((v + 1.96 * se) * 50) / 50 from plain
         union all select 'Median    ' || m, round(v, 2) from plain union all select m || ' sd', round(se, 3) from plain union all select 'n', count(*)::double from own union all select 'n outcome', sum(y)::double from own""")
 def int_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = estimate_internal(internal(spark, sf_dir), n_boot=100)
+    found = estimate_internal(internal(spark, sf_dir), n_boot=40)
     name, value = F.col("field"), F.col("value")
     digits = F.when(name.startswith("95%"), F.round(value * 50) / 50).when(name.startswith("Median"), F.round(value, 2)).when(name.endswith(" sd"), F.round(value, 3))
     return found.select("field", digits.otherwise(F.round(value, 6)).alias("value"))
