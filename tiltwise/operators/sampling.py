@@ -49,13 +49,19 @@ def with_row_id(df: DataFrame, name: str = "row_id", n: int | None = None) -> Da
 
 def _poisson(mean: float, u: Column) -> Column:
     """A Poisson number from a uniform one, by the distribution function; what lies beyond 1e-15 is not drawn."""
-    below, term, k, found = 0.0, math.exp(-mean), 0, F.lit(0)
-    while below + term < 1 - 1e-15 and k < mean + 40 * (1 + math.sqrt(mean)):
+    steps, below, term = [], 0.0, math.exp(-mean)
+    while below + term < 1 - 1e-15 and len(steps) < mean + 40 * (1 + math.sqrt(mean)):
         below += term
-        found = found + F.when(u >= below, 1).otherwise(0)
-        k += 1
-        term *= mean / k
-    return found
+        steps.append(below)
+        term *= mean / len(steps)
+
+    def search(low: int, high: int) -> Column:  # how many steps are not above u, by a tree of comparisons
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(u < steps[middle], search(low, middle)).otherwise(search(middle + 1, high))
+
+    return search(0, len(steps))
 
 
 def bootstrap(df: DataFrame, size: int, reps: int, seed: int = 1, row_id: str = "row_id", n: int | None = None, label: str = "") -> DataFrame:
@@ -72,7 +78,8 @@ def bootstrap(df: DataFrame, size: int, reps: int, seed: int = 1, row_id: str =
     while True:
         mean = max(0.0, size - (5 + attempt) * math.sqrt(size) - 5 * attempt) / n
         rep = F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))
-        own = df.withColumn("rep", rep).withColumn("mult", _poisson(mean, uniform(F.lit(seed), F.lit(label), F.lit(attempt), F.col("rep"), col(row_id))).cast("long"))
+        drawn = df.withColumn("rep", rep).withColumn("_u", uniform(F.lit(seed), F.lit(label), F.lit(attempt), F.col("rep"), col(row_id)))
+        own = drawn.withColumn("mult", _poisson(mean, F.col("_u")).cast("long")).drop("_u")
         totals = {r["rep"]: r["n"] for r in own.groupBy("rep").agg(F.sum("mult").alias("n")).collect()}  # a row for each repetition
         if max(totals.values()) <= size:
             break
