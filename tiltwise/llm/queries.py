@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from .decontaminate import find_overlaps
 from .hamming import nearest_codes
 from .htmltext import extract_text
+from .infill import fill_in_middle
 from .licenses import scan_licenses
 from .lines import dedup_lines
 from .minhash import near_duplicates
 from .mixing import mix_documents
+from .packing import by_words, pack_documents
+from .phrases import mine_phrases
 from .quality import score_documents
 from .repeats import remove_repeats
 from .urlrules import Rule, judge_urls, rules_frame
@@ -71,8 +74,23 @@ def op10_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_codes(rows, rows.where("vec_id % 50 = 0"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(table(spark, sf_dir, "documents")).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = pack_documents(table(spark, sf_dir, "documents"), by_words(public_tokenizers.path("word_bpe_49k.json")), end_id=2)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle(table(spark, sf_dir, "documents")).drop("output")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_decontaminate, op2_minhash, op3_url_rules, op4_quality, op5_html, op6_mix, op7_repeats, op8_licenses, op9_lines, op10_hamming)
+    found = (op1_decontaminate, op2_minhash, op3_url_rules, op4_quality, op5_html, op6_mix, op7_repeats, op8_licenses, op9_lines, op10_hamming, op11_phrases, op12_packing, op13_infill)
     return {f.__name__: f for f in found}
 
 
@@ -175,5 +193,38 @@ select query_id, cast(row_number() over (partition by query_id order by distance
 from pairs qualify row_number() over (partition by query_id order by distance, vec_id nulls last) <= 10
 """
 
+OP11_SQL = r"""
+with pieces as (
+    select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+    from documents
+), words as (
+    select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces
+), phrases as (
+    select lang, size, phrase, count(*) as f from (
+        select lang, size, unnest(list_transform(generate_series(1, len(w) - size + 1), lambda i: array_to_string(w[i:i + size - 1], ' '))) as phrase
+        from words, (values (1), (2), (3)) as s(size)
+    ) group by all
+), candidates as (
+    select lang, size, phrase, f as a, string_split(phrase, ' ') as w from phrases where size > 1 and f >= 10
+), sides as (
+    select lang, phrase, a, 1 as k, w[1] as left_part, array_to_string(w[2:], ' ') as right_part from candidates
+    union all select lang, phrase, a, 2, array_to_string(w[1:2], ' '), w[3] from candidates where size = 3
+), cuts as (
+    select s.lang, s.phrase, s.a, k, x.f as l, y.f as r, (1000000::hugeint * s.a * s.a) // (x.f::hugeint * y.f) as score
+    from sides s join phrases x on x.lang = s.lang and x.phrase = s.left_part join phrases y on y.lang = s.lang and y.phrase = s.right_part
+), lowest as (
+    select * from cuts qualify row_number() over (partition by lang, phrase order by score, k) = 1
+), around as (
+    select lang, phrase, max(a) as around from (
+        select lang, a, array_to_string(w[1:2], ' ') as phrase from candidates where size = 3 union all select lang, a, array_to_string(w[2:3], ' ') from candidates where size = 3) group by all
+), totals as (
+    select lang, sum(f)::bigint as n from phrases where size = 1 group by lang
+)
+select lang, row_number() over o as rank, phrase, a, l, r, n, score::bigint as score from lowest join totals using (lang) left join around using (lang, phrase)
+where around is null or 100 * around < 50 * a
+window o as (partition by lang order by score desc, a desc, phrase) qualify row_number() over o <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_rules": OP3_SQL, "op6_mix": OP6_SQL, "op10_hamming": OP10_SQL}
+    return {"op3_url_rules": OP3_SQL, "op6_mix": OP6_SQL, "op10_hamming": OP10_SQL, "op11_phrases": OP11_SQL}
