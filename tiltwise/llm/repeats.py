@@ -9,8 +9,10 @@ equal windows have the same anchor at the same place.  So the passes go over anc
    span are repeated.  Anchors whose nearest digits agree with no other on either side drop out.
 3. Last digit: what is still undecided (around the ends of repeats) is compared as whole windows.
 
-Digits are hashes: 64 bits for the anchor with 64 for its four neighbours, and 128 for a window.  So equal means equal in 128 bits:
-among 10 ** 13 strings, two different ones are taken for equal with a probability of some 10 ** -13.
+Digits are hashes: 64 bits for the anchor, 64 for its four neighbours together, and 128 for a window.  So two contexts that differ
+are taken for equal with a probability of 2 ** -64 if they share the anchor, and of 2 ** -128 otherwise, and two windows with one of
+2 ** -128: among 10 ** 15 pairs of contexts with the same anchor, one with a probability of 5 * 10 ** -5.  That a single neighbour
+is shared is told by 16 bits of it: a mistake there only sends windows to the last digit that need not go.
 
 A batch sends the first of equal entries only, as the others are repeated whatever the rest of the corpus holds; so the
 copies of a hot passage cost a message for each batch.  An anchor that has more than ``hot`` contexts within a batch goes to
@@ -100,11 +102,11 @@ def pieces_of(texts: list[bytes], depth: int) -> Iterator[Text]:
 
 
 def anchors_of(text: Text, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Document, place, anchor hash and the four digits (16 bits each, nearest in the middle) of all anchors."""
+    """Document, place and hash of all anchors, a hash of the four digits around each, and 16 bits of either nearest digit."""
     sums = Hashes(text.raw)
     n, width = len(text.raw), depth - ANCHOR + 1
     if n < depth:
-        return (np.zeros(0, dtype=np.int64),) * 2 + (np.zeros(0, dtype=U64),) * 2
+        return (np.zeros(0, dtype=np.int64),) * 2 + (np.zeros(0, dtype=U64),) * 2 + (np.zeros(0, dtype=np.uint32),)
     at = np.arange(n - ANCHOR + 1)
     keys = mix64(sums.of(at, at + ANCHOR))
     least, span = keys, 1
@@ -117,7 +119,7 @@ def anchors_of(text: Text, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     place = np.arange(len(least)) - text.start[piece] + text.base[piece]
     window = np.flatnonzero((place >= text.low[piece]) & (place < text.high[piece]))
     if not len(window):
-        return (np.zeros(0, dtype=np.int64),) * 2 + (np.zeros(0, dtype=U64),) * 2
+        return (np.zeros(0, dtype=np.int64),) * 2 + (np.zeros(0, dtype=U64),) * 2 + (np.zeros(0, dtype=np.uint32),)
     low = least[window]
     # Windows one after the other mostly share their anchor.
     fresh = np.concatenate(([True], (low[1:] != low[:-1]) | (np.diff(window) != 1)))
@@ -139,11 +141,14 @@ def anchors_of(text: Text, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     piece = np.searchsorted(text.start, anchor, side="right") - 1
     begin, end = text.start[piece], text.start[piece + 1]
     step = (depth - ANCHOR) // 2
-    digits = np.zeros(len(anchor), dtype=U64)
-    for left, right in ((-2 * step, -step), (-step, 0), (ANCHOR, ANCHOR + step), (ANCHOR + step, ANCHOR + 2 * step)):
+    around, near = np.zeros(len(anchor), dtype=U64), np.zeros(len(anchor), dtype=U64)
+    for k, (left, right) in enumerate(((-2 * step, -step), (-step, 0), (ANCHOR, ANCHOR + step), (ANCHOR + step, ANCHOR + 2 * step))):
         a, b = np.clip(anchor + left, begin, end), np.clip(anchor + right, begin, end)
-        digits = digits << U64(16) | mix64(sums.of(a, b) + (b - a).astype(U64) * U64(SECOND)) >> U64(48)
-    return text.doc[piece], anchor - begin + text.base[piece], keys[anchor], digits
+        digit = mix64(sums.of(a, b) + (b - a).astype(U64) * U64(SECOND))
+        around = mix64(around * U64(BASE) + digit + U64(k + 1))
+        if k in (1, 2):
+            near = near << U64(16) | digit >> U64(48)
+    return text.doc[piece], anchor - begin + text.base[piece], keys[anchor], around, near.astype(np.uint32)
 
 
 def windows_of(raw: bytes, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -190,7 +195,7 @@ def table_of(rows: pd.DataFrame) -> np.ndarray:
     return np.column_stack([rows[c].to_numpy(np.int64) for c in ("key", "tie", "home")]) if len(rows) else np.zeros((0, 3), np.int64)
 
 
-ANCHOR_TYPES = (np.uint64, np.uint64, np.uint32, np.uint32, np.uint8)  # key, digits, document, place, hot
+ANCHOR_TYPES = (np.uint64, np.uint64, np.uint32, np.uint32, np.uint32, np.uint8)  # key, all digits, nearest digits, document, place, hot
 WINDOW_TYPES = (np.uint64, np.uint64, np.uint32, np.uint32)  # hash, its rest, document, place
 FLAG_TYPES = (np.uint32, np.uint32, np.uint8)  # document, place, kind
 
@@ -258,7 +263,8 @@ def remove_repeats(docs: DataFrame, depth: int = 100, hot: int = 64, bucket_byte
     width = depth - ANCHOR + 1
     half = (depth - ANCHOR) // 2
     # Only computed columns, so that both uses of the texts below have the same plan and share one exchange.
-    picked = docs.select(F.col(id_col).isNull().alias("none"), F.coalesce(F.col(id_col).cast("long"), F.lit(LONG_MAX)).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    doc_id, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    picked = docs.select(doc_id.isNull().alias("none"), F.coalesce(doc_id.cast("long"), F.lit(LONG_MAX)).alias("key"), F.coalesce(text, F.lit("")).alias("text"))
     picked = picked.withColumn("tie", F.xxhash64("text"))
     counted = materialise(picked.groupBy("key", "tie").agg(F.count("*").alias("copies"), F.count(F.when(F.col("none"), 1)).alias("nones"), F.sum(F.octet_length("text")).alias("bytes")), "rows")
     total = counted.agg(F.sum("bytes")).first()[0] or 0
@@ -272,10 +278,10 @@ def remove_repeats(docs: DataFrame, depth: int = 100, hot: int = 64, bucket_byte
             table = table_of(b)
             ranks = _ranks(table)
             for text in pieces_of(raws, depth):
-                doc, place, key, digits = anchors_of(text, depth)
-                order = np.lexsort((place, ranks[doc], digits, key))
-                doc, place, key, digits = doc[order], place[order], key[order], digits[order]
-                group = _same(key, digits)
+                doc, place, key, around, near_by = anchors_of(text, depth)
+                order = np.lexsort((place, ranks[doc], around, key))
+                doc, place, key, around, near_by = doc[order], place[order], key[order], around[order], near_by[order]
+                group = _same(key, around)
                 later = _later(group, ranks[doc], place)
                 out: list[tuple[int, int, bytes]] = []
                 flagged = doc[later]
@@ -291,7 +297,7 @@ def remove_repeats(docs: DataFrame, depth: int = 100, hot: int = 64, bucket_byte
                 sent = ~crowded | (nth == 0)  # one entry tells the bucket that the anchor is hot
                 kept, crowded = kept[sent], crowded[sent]
                 bucket = (key[kept] % U64(n)).astype(np.int64)
-                _deal(ANCHORS, table, doc[kept], bucket, [key[kept], digits[kept], place[kept].astype(np.uint32), crowded.astype(np.uint8)], out, 2)
+                _deal(ANCHORS, table, doc[kept], bucket, [key[kept], around[kept], near_by[kept], place[kept].astype(np.uint32), crowded.astype(np.uint8)], out, 3)
                 yield pd.DataFrame(out, columns=columns)
 
     def gathered(blobs: list[bytes], types: tuple, place: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -317,15 +323,15 @@ def remove_repeats(docs: DataFrame, depth: int = 100, hot: int = 64, bucket_byte
 
     def second_pass(rows: pd.DataFrame) -> pd.DataFrame:
         blobs, out = passed_on(rows)
-        table, (key, digits, doc, place, crowded) = gathered(blobs, ANCHOR_TYPES, 2)
+        table, (key, around, near_by, doc, place, crowded) = gathered(blobs, ANCHOR_TYPES, 3)
         order = np.argsort(key)
         group = _same(key[order])
         order = order[np.bincount(group)[group] > 1] if len(order) else order
-        key, digits, doc, place, crowded = key[order], digits[order], doc[order], place[order], crowded[order]
+        key, around, near_by, doc, place, crowded = key[order], around[order], near_by[order], doc[order], place[order], crowded[order]
         ranks = _ranks(table)[doc]
-        order = np.lexsort((place, ranks, digits, key))
-        key, digits, doc, place, crowded, ranks = key[order], digits[order], doc[order], place[order], crowded[order], ranks[order]
-        by_key, by_both = _same(key), _same(key, digits)
+        order = np.lexsort((place, ranks, around, key))
+        key, around, near_by, doc, place, crowded, ranks = key[order], around[order], near_by[order], doc[order], place[order], crowded[order], ranks[order]
+        by_key, by_both = _same(key), _same(key, around)
         later = _later(by_both, ranks, place)
         is_hot = np.zeros(by_key[-1] + 1 if len(by_key) else 0, dtype=bool)
         np.logical_or.at(is_hot, by_key, crowded > 0)
@@ -333,9 +339,9 @@ def remove_repeats(docs: DataFrame, depth: int = 100, hot: int = 64, bucket_byte
         flags(table, doc[later], place[later], np.full(later.sum(), COVERED), out)
         open_ = np.flatnonzero(~later & ~hot_row)
         open_ = open_[np.concatenate(([True], np.diff(by_both[open_]) != 0))] if len(open_) else open_
-        k, d = key[open_], digits[open_]
-        left = _shared(mix64(k + (d >> U64(32) & U64(0xFFFF)) * U64(SECOND) + U64(1)))
-        right = _shared(mix64(k + (d >> U64(16) & U64(0xFFFF)) * U64(SECOND) + U64(2)))
+        k, d = key[open_], near_by[open_].astype(U64)
+        left = _shared(mix64(k + (d >> U64(16)) * U64(SECOND) + U64(1)))
+        right = _shared(mix64(k + (d & U64(0xFFFF)) * U64(SECOND) + U64(2)))
         kind = np.where(left & right, BOTH, np.where(left, LEFT, RIGHT))
         some = left | right
         flags(table, doc[open_[some]], place[open_[some]], kind[some], out)
