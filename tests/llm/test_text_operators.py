@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import textwrap
 from collections import Counter
 
@@ -11,10 +12,10 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tiltwise.llm.decontaminate import MASKS, best_run, drop_overlapping, find_overlaps, item_classes, normal_word
-from tiltwise.llm.licenses import TEXTS, Scanner, scan_licenses, templates_by_rule, templates_from
+from tiltwise.llm.licenses import GRANTS, KEPT, LOOSE, TEXTS, Scanner, scan_licenses, templates_by_rule, templates_from
 from tiltwise.llm.lines import chunks_of, dedup_lines
 from tiltwise.llm.minhash import keep_one, near_duplicates, prefixes, signatures, straggler_links, throw
-from tiltwise.llm.repeats import joined, remove_repeats
+from tiltwise.llm.repeats import anchors_of, joined, pieces_of, remove_repeats
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, home int, n_lines int"
 
@@ -62,6 +63,42 @@ def test_repeats_equal_brute_force(spark, options):
     assert got == brute_repeats(rows)
 
 
+def test_near_copies_differ_in_what_is_compared():
+    """300,000 pairs of texts that differ in one byte: whatever is taken as equal is equal byte by byte.
+
+    Each text has 200 random bytes; the pair's anchors are those of 100-byte windows, and contexts are equal if key and digits are.
+    """
+    rng = np.random.default_rng(11)
+    false, shared = 0, 0
+    for _ in range(60):
+        a = rng.integers(32, 127, (5000, 200), dtype=np.uint8)
+        b, at = a.copy(), rng.integers(0, 200, 5000)
+        b[np.arange(5000), at] = 32 + (b[np.arange(5000), at] - 32 + rng.integers(1, 95, 5000)) % 95
+        raws = [x.tobytes() for pair in zip(a, b, strict=True) for x in pair]
+        for text in pieces_of(raws, 100):
+            doc, place, key, around, _ = anchors_of(text, 100)
+            order = np.lexsort((place, doc, around, key))
+            doc, place, key, around = doc[order], place[order], key[order], around[order]
+            for i in np.flatnonzero((key[1:] == key[:-1]) & (around[1:] == around[:-1])).tolist():
+                one, two = ((raws[doc[j]], int(place[j])) for j in (i, i + 1))
+                contexts = [r[max(0, p - 60) : p + 100] for r, p in (one, two)]
+                shared += 1
+                false += contexts[0] != contexts[1]
+    assert false == 0 and shared > 100_000
+
+
+def test_many_near_copies_equal_brute_force(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for i in range(3000):  # pairs that differ in one byte, so that most share an anchor and differ in one digit
+        text = bytearray(rng.integers(97, 123, 200, dtype=np.uint8).tobytes())
+        rows.append((2 * i, text.decode()))
+        text[int(rng.integers(0, 200))] = 33
+        rows.append((2 * i + 1, text.decode()))
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) for r in remove_repeats(documents(spark, rows)).collect()}
+    assert got == brute_repeats(rows)
+
+
 def test_repeats_spans_and_long_text(spark):
     rng = random.Random(1)
     long = "".join(rng.choice("abcdefgh") for _ in range(3_000_000))  # more than one piece
@@ -464,17 +501,62 @@ def test_whole_license_texts(spark, tmp_path):
     assert sorted((r.doc_id, r.line, r.license) for r in found) == [(1, 1, "Own-1.0"), (3, 0, "Own-1.0")]
 
 
-def test_candidates_lose_nothing_that_is_confirmed():
-    """Every stretch of lines against every template, without looking for words first."""
+def plain_notices(template, text):
+    """Spans of a short template's notices by its telling words alone: they follow each other, and nothing telling is between."""
+    words = [(re.sub(r"(?:\.0)+$", "", m[0]), m.start(), m.end()) for m in re.finditer(r"[a-z]+|\d+(?:\.\d+)*", text.lower())]
+    own = [re.sub(r"(?:\.0)+$", "", m) for m in re.findall(r"[a-z]+|\d+(?:\.\d+)*", template.text.lower())]
+    matter, telling = [w for w in own if w not in LOOSE], [n for n, w in enumerate(words) if w[0] not in LOOSE]
+    found = []
+    for k in range(len(telling) - len(matter) + 1):
+        at = telling[k : k + len(matter)]
+        if [words[n][0] for n in at] != matter:
+            continue
+        if template.grant and not any(w in GRANTS for w, _, _ in words[max(0, at[0] - 6) : at[0]]):
+            continue
+        start, end = words[at[0]][1], words[at[-1]][2]
+        lines = text[text.rfind("\n", 0, start) + 1 : end + len(text[end:].split("\n")[0])]
+        if template.whole and [w for w in re.findall(r"[a-z]+|\d+(?:\.\d+)*", lines.lower()) if w not in LOOSE] != [w for w in re.findall(r"[a-z]+|\d+(?:\.\d+)*", template.text.lower()) if w not in LOOSE]:
+            continue
+        found.append((start, end))
+    return found
+
+
+def test_notices_equal_a_search_by_words_alone():
+    """Without candidates, compression or alignment: what is reported is there, and what is there is reported or overlaps with it."""
     rng = random.Random(22)
     scanner = Scanner(templates_by_rule())
-    sentences = [t.text for t in scanner.templates if len(t.text) < 100]
-    for _ in range(150):
-        lines = [rng.choice([prose(rng, 6), rng.choice(sentences), textwrap.fill(rng.choice(sentences), 25), "The license of 2.0 is public.", "version 3"]) for _ in range(rng.randint(1, 4))]
+    short = [t for t in scanner.templates if (t.grant or t.whole)]
+    sentences = [t.text for t in short]
+    checked = 0
+    for _ in range(200):
+        lines = [rng.choice([prose(rng, 6), rng.choice(sentences), textwrap.fill(rng.choice(sentences), 25), "The license of 2.0 is public.", "version 3", " ".join(rng.sample(sentences, 3))]) for _ in range(rng.randint(1, 5))]
         text = "\n".join(lines)
-        got = {license for _, license, *_ in scanner.scan(text)}
-        everywhere = scanner.block(text, text.lower(), [(i, 0, len(text)) for i in range(len(scanner.templates))])
-        assert {license for _, license, *_ in everywhere} <= got
+        want = [(a, b, t.license) for t in short for a, b in plain_notices(t, text)]
+        got = [(r[5], r[1]) for r in scanner.scan(text)]
+        for start, license in got:
+            assert any(a - 60 <= start <= b and own == license for a, b, own in want), (text, start, license)
+        for a, b, _ in want:
+            assert any(a - 60 <= start <= b for start, _ in got), (text, a, b, got)
+        checked += len(want)
+    assert checked > 300
+
+
+def test_each_notice_of_a_long_line_in_little_time(spark):
+    import time
+
+    scanner = Scanner(templates_by_rule())
+    sentence = "This work is licensed under the GNU General Public License, version 3. "
+    for n in (10, 10_000):
+        began = time.time()
+        found = scanner.scan(sentence * n + "x" * (1_000_000 - 71 * n) if n > 10 else sentence * n)
+        assert [r[5] for r in found if r[1] == "GPL-3.0"] == [71 * i for i in range(n)] and len(found) == n
+        took = time.time() - began
+    assert took < 6  # 1 MB; 2 s on an idle core
+    different = " ".join(f"file{i} is licensed under the MIT License." for i in range(3000))
+    assert len(scanner.scan(different)) == 3000
+    assert scanner.held <= KEPT
+    rows = [(r.line, r.license, r.block) for r in scan_licenses(documents(spark, [(1, sentence * 50)])).collect()]
+    assert len(rows) == 50 and all(len(b) < 500 for _, _, b in rows)
 
 
 def test_near_copies_of_rows_without_id_or_with_the_same_id(spark):
