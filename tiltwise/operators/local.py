@@ -33,26 +33,29 @@ def divergence(w: np.ndarray, mult: np.ndarray) -> dict[str, float]:
     return {"Max weight": float(w.max()), "chi2 to uniform": float(n * (mult @ p**2) - 1), "kl": float(np.log(n) + (mult[some] * p[some]) @ np.log(p[some]))}
 
 
+def smd_score(size: int, m0: float, s0: float | None, m1: float, s1: float, low: float, high: float, middle: bool) -> float:
+    """Standardised difference of a set of one or two columns: external and internal mean (and mean square), extremes, and whether
+    a value lies between them."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        if size == 2:
+            return abs(m1 - m0) / np.sqrt((s0 - m0**2) + (s1 - m1**2))
+        if size != 1:
+            return np.nan
+        if low < high and not middle:
+            if not low <= m0 <= high:
+                return np.inf
+            p0, p1 = (m0 - low) / (high - low), (m1 - low) / (high - low)
+            return abs(m1 - m0) / np.sqrt((p0 * (1 - p0) + p1 * (1 - p1)) * (high - low))
+        return abs(m1 - m0) / np.sqrt(2 * (s1 - m1)) if s1 > m1 else abs(m1 - m0) / np.sqrt(0.001) if s1 == m1 else np.nan
+
+
 def max_smd(z: dict[str, np.ndarray], mu: dict[str, float], sets: list[tuple[str, ...]], w: np.ndarray) -> float:
     scores = []
     p = w / w.sum()
-    with np.errstate(invalid="ignore", divide="ignore"):
-        for s in sets:
-            x, m0 = z[s[0]], mu[s[0]]
-            m1 = float(p @ x)
-            if len(s) == 2:
-                s0, s1 = mu[s[1]], float(p @ z[s[1]])
-                scores.append(abs(m1 - m0) / np.sqrt((s0 - m0**2) + (s1 - m1**2)))
-            elif len(s) == 1:
-                low, high = x.min(), x.max()
-                if low < high and not ((x > low) & (x < high)).any():
-                    if not low <= m0 <= high:
-                        scores.append(np.inf)
-                        continue
-                    p0, p1 = (m0 - low) / (high - low), (m1 - low) / (high - low)
-                    scores.append(abs(m1 - m0) / np.sqrt((p0 * (1 - p0) + p1 * (1 - p1)) * (high - low)))
-                else:
-                    s1 = float(p @ x**2)
-                    scores.append(abs(m1 - m0) / np.sqrt(2 * (s1 - m1)) if s1 > m1 else abs(m1 - m0) / np.sqrt(0.001) if s1 == m1 else np.nan)
+    for s in sets:
+        x = z[s[0]]
+        low, high = x.min(), x.max()
+        second = (mu[s[1]], float(p @ z[s[1]])) if len(s) == 2 else (None, float(p @ x**2))
+        scores.append(smd_score(len(s), mu[s[0]], second[0], float(p @ x), second[1], low, high, bool(((x > low) & (x < high)).any())))
     scores = [x for x in scores if not np.isnan(x)]
     return float(max(scores)) if scores else float("nan")

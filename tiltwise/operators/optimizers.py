@@ -8,6 +8,7 @@ tables see ``distributed.py``.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Generator
 from dataclasses import dataclass, field, replace
 from typing import Protocol
 
@@ -72,6 +73,21 @@ class Tilt:
         shares, gap, scale = self.at(theta)
         return gap, kl_to_uniform(shares, self.counts), scale
 
+    def states(self, thetas: np.ndarray) -> list[tuple[np.ndarray, float, float]]:
+        """The states at several thetas, a row each; a table takes them all in one pass."""
+        return [self.state(theta) for theta in thetas]
+
+    def batches(self, size: int, seed: int) -> Callable[[int, np.ndarray], np.ndarray]:
+        """How far the means of the i-th sample of rows are above ``mu``, as a function of i and theta."""
+        rng, shares = np.random.default_rng(seed), np.exp(self.log_base)
+
+        def gap(i: int, theta: np.ndarray) -> np.ndarray:
+            drawn = rng.multinomial(size, shares)
+            taken = drawn > 0
+            return Tilt(self.z[taken], self.mu, drawn[taken].astype(float)).at(theta)[1]
+
+        return gap
+
     def reach(self, step: np.ndarray) -> float:
         """A bound on how far the logs of two weights may come apart if theta moves by ``step``."""
         return float(np.abs(step) @ self.width)
@@ -98,6 +114,37 @@ class Descent:
         return WeightResult(weights, self.status, self.err, self.worst, self.iterations, self.log)
 
 
+#: A solver as a dialogue: it asks for the states at some thetas (a row each), is sent them, and returns where it ended.
+Dialogue = Generator[np.ndarray, list[tuple[np.ndarray, float, float]], Descent]
+
+
+def answer(dialogue: Dialogue, tilt: Tilt) -> Descent:
+    asked = next(dialogue)
+    while True:
+        try:
+            asked = dialogue.send(tilt.states(asked))
+        except StopIteration as end:
+            return end.value
+
+
+def answer_all(dialogues: list[Dialogue], states: Callable[[np.ndarray, list[int]], list]) -> list[Descent]:
+    """Lead several dialogues at once: ``states`` gets what all of them ask for and whose question each row is."""
+    ended: list[Descent | None] = [None] * len(dialogues)
+    asked = {i: next(d) for i, d in enumerate(dialogues)}
+    while asked:
+        whose = [i for i, thetas in asked.items() for _ in thetas]
+        found = states(np.vstack(list(asked.values())), whose)
+        following, at = {}, 0
+        for i, thetas in asked.items():
+            try:
+                following[i] = dialogues[i].send(found[at : at + len(thetas)])
+            except StopIteration as end:
+                ended[i] = end.value
+            at += len(thetas)
+        asked = following
+    return ended
+
+
 @dataclass(frozen=True)
 class ExponentiatedGradient:
     """Exponentiated gradient on the squared error of the means, as heavy-ball steps of the tilt at one learning rate.
@@ -125,19 +172,21 @@ class ExponentiatedGradient:
     def converged(self, err: float, worst: float) -> bool:
         return err < self.abs_tol or worst < self.max_abs_tol
 
-    def solve(self, tilt: Tilt, theta: np.ndarray | None = None) -> Descent:
-        theta = np.zeros(len(tilt.mu)) if theta is None else theta
+    def ask(self, theta: np.ndarray, reach: Callable[[np.ndarray], float]) -> Dialogue:
         velocity, log = np.zeros(len(theta)), []
         while True:
-            gap, kl, _ = tilt.state(theta)
+            ((gap, kl, _),) = yield theta[None, :]
             log.append((float(gap @ gap), kl, float(np.abs(gap).max(initial=0.0))))
             if self.converged(log[-1][0], log[-1][2]) or len(log) >= self.n_iter:
                 return Descent(theta, "Success" if log[-1][0] < self.max_success_mse else "Not-converged", log, len(log))
             velocity = self.momentum * velocity + gap
-            if not tilt.reach(self.alpha * velocity) < tilt.WIDEST:
+            if not reach(self.alpha * velocity) < Tilt.WIDEST:
                 return Descent(theta, "NA-objective", log, len(log))
             theta = theta + self.alpha * velocity
 
+    def solve(self, tilt: Tilt, theta: np.ndarray | None = None) -> Descent:
+        return answer(self.ask(np.zeros(len(tilt.mu)) if theta is None else theta, tilt.reach), tilt)
+
     def optimize(self, z: np.ndarray, mu: np.ndarray, counts: np.ndarray | None = None) -> WeightResult:
         counts = np.ones(len(z)) if counts is None else counts.astype(float)
         tilt = Tilt(z, mu, self.start(z, mu, counts), counts)
@@ -173,22 +222,42 @@ class TunedExponentiatedGradient:
     def step(self, alpha: float, n_iter: int) -> ExponentiatedGradient:
         return ExponentiatedGradient(alpha, n_iter, self.abs_tol, self.momentum, self.max_abs_tol, self.max_success_mse)
 
-    def solve(self, tilt: Tilt) -> Descent:
+    def ask(self, mu: np.ndarray, reach: Callable[[np.ndarray], float]) -> Dialogue:
+        """All rates are tried side by side; the outcome is that of trying them one after the other."""
+        zero = np.zeros(len(mu))
+        runs = [self.step(a, self.n_tune_iter).ask(zero, reach) for a in self.alphas]
+        asked, ended = {i: next(r) for i, r in enumerate(runs)}, {}
+        while asked:
+            found = yield np.vstack(list(asked.values()))
+            following = {}
+            for i, state in zip(asked, found, strict=True):
+                try:
+                    following[i] = runs[i].send([state])
+                except StopIteration as end:
+                    ended[i] = end.value
+            # Rates after one that was given up, or that converged, would not have been tried.
+            last = min((i for i, d in ended.items() if self._is_last(i, d)), default=len(runs))
+            asked = {i: t for i, t in following.items() if i < last}
         trials, total = [], 0
-        for alpha in self.alphas:
-            trial = self.step(alpha, self.n_tune_iter).solve(tilt)
-            total += trial.iterations
-            if trial.status == "NA-objective":
+        for i in sorted(ended):
+            total += ended[i].iterations
+            if ended[i].status == "NA-objective":
                 break
-            trials.append((trial.err, alpha, trial.theta))
-            if self.step(alpha, 0).converged(trial.err, trial.worst):
-                return replace(trial, iterations=total)
+            trials.append((ended[i].err, self.alphas[i], ended[i].theta))
+            if self._is_last(i, ended[i]):
+                return replace(ended[i], iterations=total)
         if not trials:
-            return Descent(np.zeros(len(tilt.mu)), "Failure", [], total)
+            return Descent(zero, "Failure", [], total)
         _, alpha, theta = min(trials, key=lambda t: t[0])
-        found = self.step(alpha, self.n_iter).solve(tilt, theta)
+        found = yield from self.step(alpha, self.n_iter).ask(theta, reach)
         return replace(found, iterations=total + found.iterations)
 
+    def _is_last(self, i: int, trial: Descent) -> bool:
+        return trial.status == "NA-objective" or self.step(self.alphas[i], 0).converged(trial.err, trial.worst)
+
+    def solve(self, tilt: Tilt) -> Descent:
+        return answer(self.ask(tilt.mu, tilt.reach), tilt)
+
     def optimize(self, z: np.ndarray, mu: np.ndarray, counts: np.ndarray | None = None) -> WeightResult:
         counts = np.ones(len(z)) if counts is None else counts.astype(float)
         plain = bool(np.isin(z, (0, 1)).all())
@@ -304,6 +373,54 @@ def projected_descent(tilt: Tilt, lam: float, distance: str = "l2", tol: float =
     return nu, bool(moved < 1e-5)
 
 
+def model_step(at: np.ndarray, gradient: np.ndarray, hessian: np.ndarray, bound: Callable[[np.ndarray], np.ndarray] | None, n_iter: int = 5000) -> np.ndarray:
+    """The step to the lowest point of a quadratic model, within a convex set if there is one."""
+    hessian = hessian + 1e-12 * max(1.0, float(np.trace(hessian))) * np.eye(len(at))
+    free = -np.linalg.lstsq(hessian, gradient, rcond=None)[0]
+    if bound is None or np.allclose(bound(at + free), at + free, rtol=0, atol=1e-14):
+        return free
+    steep = float(np.linalg.eigvalsh(hessian)[-1])
+    step, ahead, pace = np.zeros(len(at)), np.zeros(len(at)), 1.0
+    for _ in range(n_iter):
+        new = bound(at + ahead - (gradient + hessian @ ahead) / steep) - at
+        if (ahead - new) @ (new - step) > 0:
+            pace, ahead = 1.0, new
+        else:
+            faster = (1 + np.sqrt(1 + 4 * pace**2)) / 2
+            ahead, pace = new + (pace - 1) / faster * (new - step), faster
+        moved, step = np.abs(new - step).max(initial=0.0), new
+        if moved < 1e-15:
+            break
+    return step
+
+
+def newton(evaluate: Callable[[np.ndarray], tuple[float, np.ndarray, np.ndarray]], size: int, bound: Callable[[np.ndarray], np.ndarray] | None = None, tol: float = 1e-9, most: int = 80) -> tuple[np.ndarray, float, int]:
+    """Lowest point of a convex function in a convex set: (point, how far a gradient step still moves it, evaluations).
+
+    ``evaluate`` gives value, gradient and Hessian, from one pass over a table.  Steps are halved until the value falls enough.
+    """
+    inside = bound or (lambda x: x)
+    at = np.zeros(size)
+    value, gradient, hessian = evaluate(at)
+    n = 1
+    while True:
+        rest = float(np.abs(inside(at - gradient) - at).max(initial=0.0))
+        if rest < tol or n >= most or np.linalg.norm(at) > 1e6:
+            return at, rest, n
+        step = model_step(at, gradient, hessian, bound)
+        part = 1.0
+        while True:
+            found = evaluate(at + part * step)
+            n += 1
+            # Near the end a value that stays within rounding counts as falling.
+            if found[0] <= value + 1e-4 * part * float(gradient @ step) + 1e-14 * abs(value) or part < 1e-6 or n >= most:
+                break
+            part /= 2
+        if not found[0] <= value + 1e-12 * max(1.0, abs(value)):
+            return at, rest, n
+        at, (value, gradient, hessian) = at + part * step, found
+
+
 def solve_chi2(z: np.ndarray, mu: np.ndarray, counts: np.ndarray, lam: float, min_w: float = 0.0, distance: str = "l2", tol: float = 1e-10, n_iter: int = 50000) -> tuple[np.ndarray, np.ndarray, bool]:
     """Minimise distance(means, mu) + lam * ||w - 1/n||^2 with w >= min_w, or the divergence alone under equal means if lam is 0.
 
@@ -377,13 +494,14 @@ class ConvexOptimizer:
     distance: str = "l2"
     name: str = "CVX"
 
-    def solve(self, tilt: Tilt) -> Descent:
-        """The entropy problem with ``lam`` on any tilt; others need the rows themselves."""
-        if self.lam <= 0 or (self.method, self.divergence) == ("primal", "chi2"):
-            raise NotImplementedError("only the entropy problem with lam above 0 is solved from sums")
-        nu, good = projected_descent(tilt, self.lam, "l2" if self.method == "dual" else self.distance)
-        gap, kl, _ = tilt.state(nu)
-        return Descent(nu, "Success" if good else "Failure", [(float(gap @ gap), kl, float(np.abs(gap).max(initial=0.0)))], 1)
+    @property
+    def by_squares(self) -> bool:
+        return (self.method, self.divergence) == ("primal", "chi2")
+
+    def bound(self, nu: np.ndarray) -> np.ndarray:
+        """Onto the multipliers that ``lam`` allows: all of them without it."""
+        distance = "l2" if self.method == "dual" else self.distance
+        return _project(nu, 1.0 if self.by_squares and self.lam > 0 else self.lam, distance)
 
     def optimize(self, z: np.ndarray, mu: np.ndarray, counts: np.ndarray | None = None) -> WeightResult:
         r = reweight_by_means(z, mu, ReweightSettings(self.divergence, self.lam, self.min_sd, 0.0, self.distance, self.method), counts)
@@ -430,32 +548,44 @@ class DualSGD:
     def rate(self, epsilon: float, i: int) -> float:
         return epsilon * (np.exp(-self.decay * i) if self.schedule == "exponential" else (self.poly_beta * i + 1) ** -0.5)
 
-    def descend(self, whole: Tilt, copies: np.ndarray, epsilon: float, n_iter: int) -> tuple[np.ndarray, list[tuple]] | None:
+    def descend(self, whole: Tilt, copies: float, epsilon: float, n_iter: int, batch_gap: Callable[[int, np.ndarray], np.ndarray]) -> tuple[np.ndarray, list[tuple]] | None:
         """Multipliers of the best state seen and (dual value, error, norm, largest error) of the states judged; None if out."""
-        rng = np.random.default_rng(self.seed)
         nu = np.zeros(len(whole.mu)) if self.nu0 is None else self.nu0[: len(whole.mu)].astype(float)
         velocity, judged, best = np.zeros(len(nu)), [], None
-        shares = copies / copies.sum()
         for i in range(n_iter + 1):
+            gap = None
             if i % self.check_every == 0 or i == n_iter:
-                _, gap, scale = whole.at(nu)
+                gap, _, scale = whole.state(nu)
                 judged.append((scale + float(whole.mu @ nu), float(gap @ gap), float(np.linalg.norm(nu)), float(np.abs(gap).max(initial=0.0))))
                 if best is None or judged[-1][1] < best[0]:
                     best = (judged[-1][1], nu)
                 if judged[-1][1] < self.improve_th or i == n_iter:
                     return best[1], judged
-            if self.batch < copies.sum():
-                drawn = rng.multinomial(self.batch, shares)
-                taken = drawn > 0
-                _, gap, _ = Tilt(whole.z[taken], whole.mu, drawn[taken].astype(float)).at(nu)
-            else:
-                _, gap, _ = whole.at(nu)
+            if self.batch < copies:
+                gap = batch_gap(i, nu)
+            elif gap is None:
+                gap = whole.state(nu)[0]
             velocity = self.momentum * velocity + self.rate(epsilon, i + 1) * gap
             nu = _project(nu + velocity, 1 / self.max_norm, "l2")
             if not np.abs(nu).max(initial=0.0) <= self.max_abs_nu:
                 return None
         raise AssertionError("the last step is judged")
 
+    def solve(self, whole: Tilt, copies: float) -> Descent:
+        """``whole`` has all rows, class 1 upsampled, ``copies`` in number."""
+        samples = lambda: whole.batches(self.batch, self.seed)
+        trials = {e: self.descend(whole, copies, e, self.n_tune_iter, samples()) for e in self.epsilons}
+        values = {e: t[1][-1][0] for e, t in trials.items() if t is not None}
+        first = min(values, key=values.get) if values else min(self.epsilons) / 2
+        for halving in range(self.max_halvings):
+            found = self.descend(whole, copies, first / 2**halving, self.n_iter, samples())
+            if found is not None:
+                nu, judged = found
+                gap, kl, _ = whole.state(nu)
+                err = float(gap @ gap)
+                return Descent(nu, "Success" if err < self.improve_th else "Not-converged", [*judged, (err, kl, float(np.abs(gap).max(initial=0.0)))], min(self.n_iter, (len(judged) - 1) * self.check_every))
+        return Descent(np.zeros(len(whole.mu)), "Failure", [], 0)
+
     def optimize(self, z: np.ndarray, mu: np.ndarray, counts: np.ndarray | None = None) -> WeightResult:
         counts = np.ones(len(z)) if counts is None else counts.astype(float)
         case = z[:, self.outcome_column] == 1
@@ -463,17 +593,10 @@ class DualSGD:
             z, mu = standardise(z, mu, counts, self.min_sd)
         copies = counts * np.where(case, upsampling(int(counts[case].sum()), int(counts[~case].sum())), 1)
         whole = Tilt(z, mu, copies)
-        trials = {e: self.descend(whole, copies, e, self.n_tune_iter) for e in self.epsilons}
-        values = {e: t[1][-1][0] for e, t in trials.items() if t is not None}
-        first = min(values, key=values.get) if values else min(self.epsilons) / 2
-        for halving in range(self.max_halvings):
-            found = self.descend(whole, copies, first / 2**halving, self.n_iter)
-            if found is not None:
-                nu, judged = found
-                shares, gap, _ = whole.at(nu)
-                err = float(gap @ gap)
-                return WeightResult(shares * counts.sum() / counts, "Success" if err < self.improve_th else "Not-converged", err, float(np.abs(gap).max(initial=0.0)), min(self.n_iter, (len(judged) - 1) * self.check_every), judged, nu)
-        return WeightResult(np.full(len(z), np.nan), "Failure", float("inf"), None, 0)
+        found = self.solve(whole, copies.sum())
+        if found.status == "Failure":
+            return WeightResult(np.full(len(z), np.nan), "Failure", float("inf"), None, 0)
+        return WeightResult(whole.at(found.theta)[0] * counts.sum() / counts, found.status, found.err, found.worst, found.iterations, found.log[:-1], found.theta)
 
 
 @dataclass(frozen=True)

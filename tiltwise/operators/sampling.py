@@ -7,6 +7,8 @@ hashes of seed, repetition and id, so a lost task draws the same again.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -138,3 +140,32 @@ def upsample(df: DataFrame, y: str) -> DataFrame:
 def shuffle(df: DataFrame, seed: int, row_id: str) -> DataFrame:
     """Rows in the order of a seeded hash of their ids."""
     return df.orderBy(F.xxhash64(F.lit(seed), col(row_id)), col(row_id))
+
+
+class Sampler(Protocol):
+    """Where the repetitions of an estimation come from; give your own in the settings."""
+
+    def draw(self, rows: DataFrame, n: int) -> DataFrame:
+        """``rep`` (an int from 0), ``mult`` (a long above 0) and the columns of ``rows``, for each row that a repetition takes.
+
+        ``rows`` has the outcome ``_y``, the prediction ``_p``, the features and ``row_id`` from 0 to ``n`` - 1.  A row may come
+        more than once in a repetition; its numbers add up.
+        """
+
+
+@dataclass(frozen=True)
+class ByMode:
+    """The sampler unless another is given: by classes or a subset where ``n_max`` is a cap, else with replacement."""
+
+    n_max: int
+    reps: int
+    stratified: bool = True
+    seed: int = 1
+
+    def draw(self, rows: DataFrame, n: int) -> DataFrame:
+        mode, size = sampling_mode(n, self.n_max, self.stratified), min(n, self.n_max)
+        if mode == "stratified":
+            return stratified(rows, "_y", self.n_max, self.reps, self.seed)
+        if mode == "subset":
+            return subset(rows, size, self.reps, self.seed)
+        return bootstrap(rows, size, self.reps, self.seed, n=n)

@@ -20,15 +20,17 @@ from .profile import profile
 
 @dataclass(frozen=True)
 class Term:
-    """``name`` = product of ``factors`` (column, power), times y or 1 - y by ``stratum``; "Y" itself has no factors."""
+    """``name`` = product of ``factors`` (column, power) and of indicators of ``levels`` (column, value), times y or 1 - y by
+    ``stratum``; "Y" itself has no factors."""
 
     name: str
     factors: tuple[tuple[str, int], ...]
     stratum: int | None = None
+    levels: tuple[tuple[str, str], ...] = ()
 
     @property
     def variable(self) -> str:
-        return "*".join(sorted({c for c, _ in self.factors})) or self.name
+        return "*".join(sorted({c for c, _ in self.factors} | {f"{c}{v}" for c, v in self.levels})) or self.name
 
     @property
     def power(self) -> int:
@@ -40,6 +42,7 @@ class TransformSpec:
     terms: tuple[Term, ...]
     outcome: str
     codes: dict[str, dict[str, int]] = field(default_factory=dict)  # of string columns: value to code from 0
+    whole_rows: bool = False  # leave out rows with a missing value, or with a level that was not there when this was fitted
 
     def value(self, name: str) -> Column:
         if name in self.codes:
@@ -52,11 +55,14 @@ class TransformSpec:
 
     def expression(self, term: Term) -> Column:
         y = self.value(self.outcome)
-        out = y if not term.factors else None
+        out = y if not term.factors and not term.levels else None
         for name, power in term.factors:
             x = self.value(name)
             x = x * x if power == 2 else x
             out = x if out is None else out * x
+        for name, level in term.levels:
+            x = F.when(col(name) == level, 1.0).otherwise(0.0)
+            out = x if out is None else out * x
         if term.stratum is not None:
             out = out * (y if term.stratum == 1 else 1 - y)
         return out
@@ -65,12 +71,26 @@ class TransformSpec:
     def names(self) -> list[str]:
         return [t.name for t in self.terms]
 
+    @property
+    def complete(self) -> Column:
+        """Whether a row has a value, of a known level, in every column that a term uses."""
+        out = F.lit(True)
+        for name in dict.fromkeys([self.outcome, *(c for t in self.terms for c, _ in (*t.factors, *t.levels))]):
+            known = col(name).isin(*self.codes[name]) if name in self.codes else col(name).isNotNull() & ~F.isnan(col(name).cast("double"))
+            out = out & F.coalesce(known, F.lit(False))
+        return out
+
+    def used(self, df: DataFrame) -> DataFrame:
+        return df.where(self.complete) if self.whole_rows else df
+
     def apply(self, df: DataFrame, keep: list[str] | tuple[str, ...] = ()) -> DataFrame:
-        """The terms as columns, with the columns ``keep`` of ``df`` before them."""
+        """The terms as columns, with the columns ``keep`` of ``df`` before them; only rows that are ``used``."""
+        df = self.used(df)
         return df.select(*[col(c) for c in keep], *[self.expression(t).alias(t.name) for t in self.terms])
 
     def means(self, df: DataFrame, weight: Column | None = None) -> dict[str, float]:
-        """Means of the terms over ``df``: all that an external site has to give.  One aggregate, one row."""
+        """Means of the terms over the rows of ``df`` that are used: all that an external site has to give.  One aggregate, one row."""
+        df = self.used(df)
         w = weight if weight is not None else F.lit(1.0)
         row = df.agg(*[(F.sum(w * self.expression(t)) / F.sum(w)).alias(f"m{i}") for i, t in enumerate(self.terms)]).first()
         return {t.name: row[f"m{i}"] for i, t in enumerate(self.terms)}
@@ -89,7 +109,7 @@ KINDS = ("Table 1", "Interaction", "Interaction v0", "flat")
 
 
 def fit_transform(
-    df: DataFrame, kind: str = "Table 1", outcome: str = "Y", features: list[str] | None = None, outcome_balance: bool = True, interactions: list[str] | tuple[str, ...] = ()
+    df: DataFrame, kind: str = "Table 1", outcome: str = "Y", features: list[str] | None = None, outcome_balance: bool = True, interactions: list[str] | tuple[str, ...] = (), contrasts: bool = False
 ) -> TransformSpec:
     """Choose the terms from the data of one side; any other ``kind`` than those of ``KINDS`` is ``flat``.
 
@@ -97,11 +117,18 @@ def fit_transform(
     terms for class 1, then all for class 0; without it, columns and squares as they are.  "flat": the same terms under the
     names of a model formula.  "Interaction": also the product of every column with each of ``interactions``, squares
     excepted, for both classes.  "Interaction v0": every Table 1 term, squares included, times each of ``interactions``.
+
+    String columns are codes from 0, unless ``contrasts`` are asked for (of all kinds but "Table 1"): then they are indicators of
+    levels, which are those of ``df`` and hold on the other side too.  As in a model formula, a term on its own has an
+    indicator for each level, and a product one for each level but the first, as the term without it is there; factors have no
+    squares.  Rows with a missing value, or a level that ``df`` has not, are then left out.
     """
+    if contrasts and kind == "Table 1":
+        raise ValueError("Table 1 has codes for strings, not contrasts")
     features = [c for c in (features or df.columns) if c != outcome]
     codes = string_codes(df, [*features, outcome])
     numeric = profile(df, [c for c in features if c not in codes])
-    squared = [c for c in features if (len(codes[c]) > 2 if c in codes else numeric[c].arity > 2)]
+    squared = [c for c in features if (len(codes[c]) > 2 and not contrasts if c in codes else numeric[c].arity > 2)]
     single = [(c, ((c, 1),)) for c in features]
     squares = [(f"({c}^2)", ((c, 2),)) for c in squared]
     if kind == "Table 1":
@@ -125,9 +152,28 @@ def fit_transform(
                         terms.append(Term(f"{label}:{n}:{v}", factors, y))
             if kind == "Interaction v0":
                 continue
+    if contrasts:
+        levels = {c: list(v) for c, v in codes.items() if c != outcome}
+        return TransformSpec(tuple(t for term in terms for t in _by_levels(term, levels, outcome)), outcome, codes, True)
     return TransformSpec(tuple(terms), outcome, codes)
 
 
+def _by_levels(term: Term, levels: dict[str, list[str]], outcome: str) -> list[Term]:
+    """A term with factor columns as a term for each combination of their levels."""
+    if not any(c in levels for c, _ in term.factors):
+        return [term]
+    label = {1: f"I({outcome})", 0: f"I(1 - {outcome})"}[term.stratum]
+    alone = len(term.factors) == 1
+    found: list[tuple[tuple, tuple, tuple[str, ...]]] = [((), (), ())]
+    for c, power in term.factors:
+        if c in levels:
+            own = levels[c] if alone else levels[c][1:]
+            found = [(f, (*v, (c, level)), (*n, f"{c}{level}")) for f, v, n in found for level in own]
+        else:
+            found = [((*f, (c, power)), v, (*n, f"I({c}^2)" if power == 2 else c)) for f, v, n in found]
+    return [Term(":".join((label, *n)), f, term.stratum, v) for f, v, n in found]
+
+
 def normalise(z: DataFrame, mu: dict[str, float], min_sd: float = 1e-4, columns: list[str] | None = None) -> tuple[DataFrame, dict[str, float], dict[str, tuple[float, float]]]:
     """Columns whose sample deviation is above ``min_sd``, centred and scaled; means likewise; and (mean, sd) of each."""
     found = profile(z, columns)

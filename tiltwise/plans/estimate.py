@@ -1,24 +1,27 @@
 """Estimation of a model's performance on external data from its means.
 
-Transform, diagnostics and summaries are aggregates.  Repetitions are independent: each is one group of at most
-``n_max`` rows that is solved in one task.  The whole table is solved without a cap by ``solve_whole``.
+Transform, diagnostics and summaries are aggregates.  Repetitions are independent: each is one group of rows that is solved in
+one task, or, above ``max_task_rows``, a column of multiplicities on one table, and all of them are solved by the same passes.
+The whole table is solved without a sample by ``solve_whole``.
 """
 
 from __future__ import annotations
 
 import logging
+import math
 import time
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import col
-from ..operators import distributed, local, sampling
+from ..operators import distributed, local, resample, sampling, vectors
 from ..operators.measures import CORE_MEASURES, WEIGHTING_CORE, estimation_fields, measures, measures_long, smd_sets, weighting_fields
-from ..operators.optimizers import TunedExponentiatedGradient, WeightOptimizer
+from ..operators.optimizers import AdamSoftmax, ConvexOptimizer, DualSGD, TunedExponentiatedGradient, WeightOptimizer, upsampling
+from ..operators.rowstate import adam_weights
 from ..operators.prediagnostics import PreDiagnosis, pre_diagnostics
 from ..operators.summary import summary_fields, union_sections
 from ..operators.transform import TransformSpec, normalise
@@ -40,6 +43,8 @@ class EstimatorSettings:
     warm_steps: int = 0  # gradient passes over the whole table before the repetitions
     warm_alpha: float = 0.1
     seed: int = 1
+    sampler: sampling.Sampler | None = None  # ``sampling.ByMode`` with the settings above unless given
+    max_task_rows: int = 200_000  # larger repetitions are solved together, as passes over one table
 
 
 @dataclass
@@ -129,16 +134,13 @@ def estimate_external(internal: DataFrame, mu: dict[str, float], settings: Estim
         rows = warm_start(rows, names, mu, settings)
     # Ids hold as long as what they number is stored; a lost block would be numbered alike from the same input files.
     rows = sampling.with_row_id(rows).persist()
-    mode = sampling.sampling_mode(pre.n_rows, settings.n_max, settings.stratified)
-    size = min(pre.n_rows, settings.n_max)
-    if mode == "stratified":
-        samples = sampling.stratified(rows, "_y", settings.n_max, settings.n_repetitions, settings.seed)
-    elif mode == "subset":
-        samples = sampling.subset(rows, size, settings.n_repetitions, settings.seed)
-    else:
-        samples = sampling.bootstrap(rows, size, settings.n_repetitions, settings.seed, n=pre.n_rows)
+    sampler = settings.sampler or sampling.ByMode(settings.n_max, settings.n_repetitions, settings.stratified, settings.seed)
+    samples = sampler.draw(rows, pre.n_rows)
     sets = feature_sets(names, spec, settings.smd_scope)
-    reps = run_repetitions(samples, names, mu, settings.optimizer, sets, bool(settings.warm_steps)).persist()
+    if min(pre.n_rows, settings.n_max) > settings.max_task_rows:
+        reps = vectors.run_vectors(samples, names, mu, settings.optimizer, sets, settings.n_repetitions, bool(settings.warm_steps)).persist()
+    else:
+        reps = run_repetitions(samples, names, mu, settings.optimizer, sets, bool(settings.warm_steps)).persist()
     fields = summary_fields(reps).persist()
     found = {r["field"]: r["value"] for r in fields.collect()}  # five rows for each metric
     rows.unpersist()
@@ -172,13 +174,19 @@ def warm_start(rows: DataFrame, names: list[str], mu: dict[str, float], settings
 
 @dataclass
 class WholeSolution:
-    """Weights of a whole table (its different rows with ``_count`` and a weight) and how solving ended; no weights unless it did."""
+    """Weights of a whole table (its different rows with ``_count`` and a weight) and how solving ended; no weights unless it did.
+
+    ``log`` is the optimizer's, a row for each state it saw (see ``summary.log_frame``); ``nu`` are its multipliers on
+    standardised columns, by name.
+    """
 
     status: str
     err: float | None
     max_abs_err: float | None
     iterations: int | None
     table: DataFrame | None
+    log: list[tuple] = field(default_factory=list)
+    nu: dict[str, float] | None = None
 
     @property
     def weights(self) -> DataFrame:
@@ -187,46 +195,100 @@ class WholeSolution:
         return self.table
 
 
-def solve_whole(z: DataFrame, mu: dict[str, float], optimizer: WeightOptimizer | None = None, max_local: int = 50_000, name: str = "w") -> WholeSolution:
+def solve_whole(z: DataFrame, mu: dict[str, float], optimizer: WeightOptimizer | None = None, max_local: int = 50_000, name: str = "w", w0: str | None = None) -> WholeSolution:
     """Weights for equal rows of ``z`` (its columns, ``_count`` and ``w``), with no sample and no cap.
 
     Without an optimizer, Newton steps on the dual run over the table.  With one, its own steps do: on the driver if the
-    different rows are at most ``max_local``, else as passes over them, with the same result.  An optimizer that needs the rows
-    themselves (chi2, SGD, Adam) refuses more of them.  Columns that do not vary are left out, as by the optimizers.
+    different rows are at most ``max_local``, else as passes over them.  W-MSE takes the same steps in both; CVX ends at the
+    same optimum, by Newton steps over a table; the samples of dual SGD are drawn on the driver and are hash buckets of a
+    table; Adam's states are columns of a stored table.  Columns that do not vary are left out, as by the optimizers.
+
+    ``w0`` names a column of initial weights above 0 (Newton and W-MSE): the weights are ``w0`` tilted.  Others refuse it.
     """
-    columns = [c for c in z.columns if c in mu]
+    if getattr(optimizer, "w0", None) is not None:
+        raise ValueError("rows of a table have no order: give their initial weights as a column, w0")
+    if w0 is not None and optimizer is not None and not hasattr(optimizer, "w0"):
+        raise ValueError(f"{optimizer.name} takes no initial weights")
+    columns = [c for c in z.columns if c in mu and c != w0]
     small = distributed.compress(z, z.columns)
     if optimizer is not None:
         local_rows = small.limit(max_local + 1).toPandas()
         if len(local_rows) <= max_local:
-            r = optimizer.optimize(local_rows[columns].to_numpy(float), np.array([mu[c] for c in columns]), local_rows["_count"].to_numpy(float))
+            own = optimizer if w0 is None else replace(optimizer, w0=local_rows[w0].to_numpy(float))
+            r = own.optimize(local_rows[columns].to_numpy(float), np.array([mu[c] for c in columns]), local_rows["_count"].to_numpy(float))
             good = r.status == "Success" and np.isfinite(r.weights).all()
             local_rows[name] = r.weights
-            return WholeSolution(r.status, r.err, r.max_abs_err, r.iterations, z.sparkSession.createDataFrame(local_rows) if good else None)
-        if not hasattr(optimizer, "solve"):
-            raise NotImplementedError(f"{optimizer.name} needs the rows themselves: more than {max_local} different ones")
-    # Moments come from all rows; the passes run over stored different rows with their counts.
+            return WholeSolution(r.status, r.err, r.max_abs_err, r.iterations, z.sparkSession.createDataFrame(local_rows) if good else None, r.log)
+    return _solve_table(z, small, mu, columns, optimizer, name, w0)
+
+
+def _solve_table(z: DataFrame, small: DataFrame, mu: dict[str, float], columns: list[str], optimizer: WeightOptimizer | None, name: str, w0: str | None) -> WholeSolution:
+    """As passes over the different rows, which are stored with their counts."""
+    # Moments come from all rows.
     _, target, moments = normalise(z, mu, columns=columns)
-    if optimizer is not None and getattr(optimizer, "w0", None) is None and isinstance(optimizer, TunedExponentiatedGradient) and all(set(c) <= {0, 1} for c in _two_values(z, columns)):
+    plain = isinstance(optimizer, (TunedExponentiatedGradient, DualSGD, AdamSoftmax)) and all(set(c) <= {0, 1} for c in _two_values(z, columns))
+    if plain:
         moments, target = {c: (0.0, 1.0) for c in columns}, {c: mu[c] for c in columns}  # 0/1 columns are not rescaled
+    kept = list(moments)
     standard = {c: (col(c) - F.lit(m)) / F.lit(s) for c, (m, s) in moments.items()}
-    scaled = small.select(*[e.alias(c) for c, e in standard.items()], "_count").persist()
-    if optimizer is None:
-        theta, r = distributed.newton_tilt(scaled, target, list(moments), "_count")
-        ended = WholeSolution(r.status, r.err, r.max_abs_err, r.iterations, None)
-    else:
-        found = optimizer.solve(distributed.TableTilt(scaled, target, list(moments), "_count"))
-        theta, ended = found.theta, WholeSolution(found.status, found.err, found.worst, found.iterations, None)
-    if ended.status == "Success":
-        lse, n, _, _ = distributed.tilted_sums(scaled, list(moments), theta, False, "_count")
-        score = F.lit(-lse)
-        for c, t in zip(moments, theta, strict=True):
-            score = score - standard[c] * F.lit(float(t))
-        ended.table = small.withColumn(name, F.exp(score) * F.lit(n))
-    else:
-        log.error("solving the whole table ended with %s", ended.status)
-    scaled.unpersist()
-    return ended
+    if isinstance(optimizer, AdamSoftmax):
+        rows = small.withColumn("_z", F.array(*[e.cast("double") for e in standard.values()]))
+        table, status, err, worst, n = adam_weights(optimizer, rows, np.array([target[c] for c in kept]), name)
+        return WholeSolution(status, err, worst, n, table if status == "Success" else None)
+    base = F.log(col(w0).cast("double")) if w0 is not None else None
+    case = None if getattr(optimizer, "outcome_column", None) is None else columns[optimizer.outcome_column]
+    if plain and getattr(optimizer, "anchor_outcome", False) and case is not None:
+        base = _anchored(small, case, mu[case], base)
+    if isinstance(optimizer, DualSGD):
+        sizes = {r["c"]: r["n"] for r in small.groupBy((col(case) == 1).alias("c")).agg(F.sum("_count").alias("n")).collect()}  # two rows
+        times = upsampling(sizes.get(True, 0), sizes.get(False, 0))
+        base = F.when(col(case) == 1, F.lit(math.log(times))).otherwise(0.0)
+        copies = sizes.get(True, 0) * times + sizes.get(False, 0)
+    scaled = small.select(*[e.alias(c) for c, e in standard.items()], "_count", *([base.alias("_log_base")] if base is not None else [])).persist()
+    log_base = "_log_base" if base is not None else None
+    scaled.count()
+    parts = scaled.rdd.getNumPartitions()
+    try:
+        if isinstance(optimizer, ConvexOptimizer) and optimizer.by_squares:
+            found, r = distributed.newton_squares(scaled, target, kept, "_count", optimizer.lam, 0.0, optimizer.bound, parts=parts)
+            u, v, half = found[:-2], found[-2], found[-1]
+            weight = F.greatest(F.lit(0.0), 1 + (distributed.linear_score(standard, u) - F.lit(float(v))) / F.lit(float(2 * half)))
+            ended = WholeSolution(r.status, r.err, r.max_abs_err, r.iterations, None, nu=dict(zip(kept, map(float, u), strict=True)))
+        else:
+            if optimizer is None or isinstance(optimizer, ConvexOptimizer):
+                bound = optimizer.bound if optimizer is not None and optimizer.lam > 0 else None
+                theta, r = distributed.newton_tilt(scaled, target, kept, "_count", log_base=log_base, bound=bound, parts=parts)
+                ended = WholeSolution(r.status, r.err, r.max_abs_err, r.iterations, None)
+            else:
+                tilt = distributed.TableTilt(scaled, target, kept, "_count", log_base, parts)
+                if isinstance(optimizer, DualSGD):
+                    end = optimizer.solve(tilt, copies)
+                    tilt.drop()
+                elif hasattr(optimizer, "solve"):
+                    end = optimizer.solve(tilt)
+                else:
+                    raise NotImplementedError(f"{optimizer.name} needs the rows themselves")
+                theta, ended = end.theta, WholeSolution(end.status, end.err, end.worst, end.iterations, None, end.log)
+            ended.nu = dict(zip(kept, map(float, theta), strict=True))
+            lse, n, _, _ = distributed.tilted_sums(scaled, kept, theta, False, "_count", log_base=log_base)
+            weight = F.exp(distributed.linear_score(standard, theta, base) - F.lit(lse)) * F.lit(n)
+        if ended.status == "Success":
+            ended.table = small.withColumn(name, weight)
+        else:
+            log.error("solving the whole table ended with %s", ended.status)
+        return ended
+    finally:
+        scaled.unpersist()
+
+
+def _anchored(small: DataFrame, case: str, share: float, base: Column | None) -> Column:
+    """Logs of base weights under which the share of cases is the external one; as they were if a class is missing."""
+    weight = F.col("_count") * (F.exp(base) if base is not None else F.lit(1.0))
+    sizes = {r["c"]: r["n"] for r in small.groupBy((col(case) == 1).alias("c")).agg(F.sum(weight).alias("n")).collect()}  # two rows
+    start = base if base is not None else F.lit(0.0)
+    if min(sizes.get(True, 0), sizes.get(False, 0)) <= 0 or not 0 < share < 1:
+        return start
+    return start + F.when(col(case) == 1, F.lit(math.log(share / sizes[True]))).otherwise(F.lit(math.log((1 - share) / sizes[False])))
 
 
 def _two_values(z: DataFrame, columns: list[str]) -> list[tuple]:
@@ -238,22 +300,14 @@ def _two_values(z: DataFrame, columns: list[str]) -> list[tuple]:
 
 def estimate_internal(df: DataFrame, y: str = "y", p: str = "p", n_boot: int = 100, seed: int = 1) -> DataFrame:
     """``field, value``: counts, the four measures, and their summary over ``n_boot`` resamples of the rows."""
-    rows = sampling.with_row_id(df.select(col(y).cast("double").alias("y"), col(p).cast("double").alias("p"))).persist()
-    n = rows.count()
+    rows = df.select(col(y).cast("double").alias("y"), col(p).cast("double").alias("p"))
     plain = measures_long(rows).select(F.col("measure").alias("field"), "value")
     counts = rows.agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("y").alias("n outcome"))
     counts = counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), col(c).alias("value")) for c in ("n", "n outcome")])).alias("c")).select("c.*")
-    # Equal rows of a resample as one, stored: the measures read them several times.
-    resampled = sampling.bootstrap(rows, n, n_boot, seed, n=n).groupBy("rep", "y", "p").agg(F.sum("mult").alias("mult")).persist()
-    drawn = measures(resampled, "y", "p", "mult", by=["rep"])
+    drawn = resample.bootstrap_measures(rows, reps=n_boot, seed=seed)
     long = drawn.select("rep", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(c).alias("value")) for m, c in zip(CORE_MEASURES, ("auroc", "brier", "mean_prediction", "observed_risk"), strict=True)])).alias("m")).select("rep", "m.*")
-    # A value for each resample and measure: small, and read twice.
-    long = df.sparkSession.createDataFrame(long.toPandas(), "rep int, metric string, value double")
     summary = summary_fields(long).where(~F.col("field").isin(list(CORE_MEASURES)))
-    out = df.sparkSession.createDataFrame(counts.unionByName(plain).unionByName(summary).toPandas(), "field string, value double")  # 22 rows
-    resampled.unpersist()
-    rows.unpersist()
-    return out
+    return df.sparkSession.createDataFrame(counts.unionByName(plain).unionByName(summary).toPandas(), "field string, value double")  # 22 rows
 
 
 def flagship(spark: SparkSession, data: DataFrame, features: list[str]) -> DataFrame:

@@ -6,8 +6,6 @@ to x4, a weight w, and ext, which says whether a row belongs to the external pop
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -117,6 +115,37 @@ for _name, _sql, _args in (
     query(_mean_sql(_sql), _name)(_transformed(*_args))
 
 
+#: A factor with missing values, and one with a level that only external rows have: such rows are left out.
+_FACTORED = """factored as (
+    select *, l_quantity / 50 as x1, case when (l_orderkey * 7 + l_linenumber) % 11 = 0 then null else l_returnflag end as flag, 's' || (l_linenumber % 4)::varchar as size,
+           case when (l_orderkey*7919 + l_linenumber*104729) % 50 < l_quantity then 1 else 0 end as ext,
+           case when (l_orderkey*31 + l_partkey*7 + l_linenumber*17) % 100 < 20 + l_quantity then 1 else 0 end as y
+    from lineitem
+), used as (select *, case ext when 0 then 'internal' else 'external' end as side from factored where size <> 's3' and flag is not null)"""
+_LEVELS = {"flagA": "(flag = 'A')::int", "flagN": "(flag = 'N')::int", "flagR": "(flag = 'R')::int", "sizes0": "(size = 's0')::int", "sizes1": "(size = 's1')::int", "sizes2": "(size = 's2')::int"}
+_CONTRASTS = {"y": "y"} | {
+    f"{label}:{n}": f"{s} * {e}" for _, s, label in _STRATA
+    for n, e in [("x1", "x1"), *_LEVELS.items(), ("I(x1^2)", "x1 * x1"), *((f"{n}:x1", f"{e} * x1") for n, e in _LEVELS.items() if n not in ("flagA", "sizes0"))]
+}
+
+
+@query(f"with {_FACTORED}\n" + "\nunion all\n".join(f"select side, '{n}' as feature, round(avg({e}), 6) as mean from used group by side" for n, e in _CONTRASTS.items()))
+def t1_contrasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms of a model formula with factors: levels of the internal rows, whole rows on both sides."""
+    key, line = F.col("l_orderkey"), F.col("l_linenumber")
+    flag = F.when((key * 7 + line) % 11 != 0, F.col("l_returnflag")).alias("flag")
+    y = F.when((key * 31 + F.col("l_partkey") * 7 + line * 17) % 100 < 20 + F.col("l_quantity"), 1).otherwise(0).alias("y")
+    ext = F.when((key * 7919 + line * 104729) % 50 < F.col("l_quantity"), 1).otherwise(0).alias("ext")
+    rows = read_table(spark, sf_dir, "lineitem").select(y, ext, (F.col("l_quantity") / 50).alias("x1"), flag, F.concat(F.lit("s"), (line % 4).cast("string")).alias("size"))
+    own = rows.where("ext = 0 and size <> 's3'").drop("ext")
+    spec = fit_transform(own, "Interaction", "y", ["x1", "flag", "size"], interactions=("x1",), contrasts=True)
+    sides = None
+    for side, df in (("internal", own), ("external", rows.where("ext = 1"))):
+        part = long_means(spec.apply(df), spec.names).select(F.lit(side).alias("side"), "*")
+        sides = part if sides is None else sides.unionByName(part)
+    return sides
+
+
 @query(in_sql("select " + ", ".join(f'round({e}, 6) as "{n}"' for n, e in _TABLE1.items()) + " from (select cast(y as double) as y, x1, x2, cast(x3 as double) as x3, cast(x4 as double) as x4 from fixture where ext = 0)"))
 def t1_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = internal(spark, sf_dir).select("y", *FEATURES)
@@ -367,12 +396,12 @@ def _fixture_problem(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[
 _TILT = ["y", "x2", "x3"]
 
 
-def _newton_sql(steps: int = 8) -> str:
+def _newton_sql(steps: int = 8, base: str = "1.0") -> str:
     """CTEs for the multipliers ``t1, t2, t3`` of the entropy problem on three features: Newton steps, three by three in full."""
     f = _TILT
     parts = ["mu as materialized (select " + ", ".join(f"avg({c}) as u{i}" for i, c in enumerate(f, 1)) + " from fixture where ext = 1)", "t0 as (select 0.0::double as t1, 0.0::double as t2, 0.0::double as t3)"]
     for k in range(1, steps + 1):
-        e = "exp(-(" + " + ".join(f"t{i} * {c}" for i, c in enumerate(f, 1)) + "))"
+        e = f"{base} * exp(-(" + " + ".join(f"t{i} * {c}" for i, c in enumerate(f, 1)) + "))"
         sums = [f"sum({e} * {c}) / sum({e}) as m{i}" for i, c in enumerate(f, 1)]
         sums += [f"sum({e} * {f[i]} * {f[j]}) / sum({e}) as h{i + 1}{j + 1}" for i in range(3) for j in range(i, 3)]
         parts.append(f"s{k} as materialized (select any_value(t1) as t1, any_value(t2) as t2, any_value(t3) as t3, {', '.join(sums)} from fixture, t{k - 1} where ext = 0)")
@@ -381,13 +410,13 @@ def _newton_sql(steps: int = 8) -> str:
         rows = ("(v22 * v33 - v23 * v23) * g1 + (v13 * v23 - v12 * v33) * g2 + (v12 * v23 - v13 * v22) * g3", "(v13 * v23 - v12 * v33) * g1 + (v11 * v33 - v13 * v13) * g2 + (v12 * v13 - v11 * v23) * g3",
                 "(v12 * v23 - v13 * v22) * g1 + (v12 * v13 - v11 * v23) * g2 + (v11 * v22 - v12 * v12) * g3")
         parts.append(f"t{k} as materialized (select " + ", ".join(f"t{i} + ({r}) / {det} as t{i}" for i, r in enumerate(rows, 1)) + f" from c{k})")
-    return ", ".join([FIXTURE_SQL, *parts]) + f", tilted as materialized (select f.*, exp(-({' + '.join(f't{i} * {c}' for i, c in enumerate(f, 1))})) as e from fixture f, t{steps} where ext = 0)"
+    return ", ".join([FIXTURE_SQL, *parts]) + f", tilted as materialized (select f.*, {base} * exp(-({' + '.join(f't{i} * {c}' for i, c in enumerate(f, 1))})) as e from fixture f, t{steps} where ext = 0)"
 
 
-def _tilt_sql(digits: int) -> str:
+def _tilt_sql(digits: int, base: str = "1.0", extra: str = "") -> str:
     """What a solution says: of columns that were matched and of others, its largest weight and its divergence."""
     means = " union all ".join(f"select 'mean {c}' as measure, sum(e * {c}) / sum(e) as value from tilted" for c in ("y", "x2", "x3", "x1", "x4", "p"))
-    return f"""with {_newton_sql()} select measure, round(value, {digits}) as value from ({means} union all select 'max weight', max(e) * count(*) / sum(e) from tilted
+    return f"""with {_newton_sql(base=base)} select {extra}measure, round(value, {digits}) as value from ({means} union all select 'max weight', max(e) * count(*) / sum(e) from tilted
         union all select 'kl', ln(count(*)) + sum(e * ln(e)) / sum(e) - ln(sum(e)) from tilted)"""
 
 
@@ -415,9 +444,21 @@ def eg_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_tilt_sql(3))
 def eg_converged_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same as passes over the table, with nothing collected but sums; Newton-like rates need few of them."""
+    """The same settings as passes over the table, with nothing collected but sums; the rates are tried in the same passes."""
     z, mu = _tilt_problem(spark, sf_dir)
-    return _solution(solve_whole(z, mu, optimizers.TunedExponentiatedGradient(alphas=(0.3,), n_tune_iter=40, n_iter=60, momentum=0.3), max_local=0).weights, 3)
+    return _solution(solve_whole(z, mu, optimizers.TunedExponentiatedGradient(), max_local=0).weights, 3)
+
+
+@query(_tilt_sql(3, "w", "run, ") + " cross join (values ('on the driver'), ('as passes'), ('newton')) t(run)")
+def eg_initial_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights that start from the column ``w``: W-MSE on the driver and as passes, and Newton steps, have the same limit."""
+    z, mu = internal(spark, sf_dir).select("y", "p", "w", *FEATURES), _mu(spark, sf_dir, _TILT)
+    runs = {"on the driver": (optimizers.TunedExponentiatedGradient(), 50_000), "as passes": (optimizers.TunedExponentiatedGradient(), 0), "newton": (None, 0)}
+    out = None
+    for run, (optimizer, most) in runs.items():
+        part = _solution(solve_whole(z, mu, optimizer, most, name="found", w0="w").weights, 3, "found").select(F.lit(run).alias("run"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query(_tilt_sql(6))
@@ -434,6 +475,14 @@ def sgd_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _solution(solve_whole(z, mu, optimizers.DualSGD(batch=1 << 40, improve_th=1e-8, n_iter=3000)).weights, 3)
 
 
+@query(_tilt_sql(2))
+def sgd_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dual SGD over the table, whose samples are partitions of stored rows: a quarter of them in each step."""
+    z, mu = _tilt_problem(spark, sf_dir)
+    quarter = -(-z.count() // 4)
+    return _solution(solve_whole(z, mu, optimizers.DualSGD(epsilons=(0.3,), batch=quarter, improve_th=1e-6, n_iter=400), max_local=0).weights, 2)
+
+
 @query("select measure, status from (values ('no weights', 'Failure')) t(measure, status)")
 def solve_out_of_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means that no weights have: the status says so and there are no weights."""
@@ -458,38 +507,57 @@ def _ball_sql(steps: int = 40) -> str:
     return f"with {', '.join(parts)} {rows}"
 
 
-def _local_problem(spark: SparkSession, sf_dir: str, features: list[str], most: int = 100_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Different rows of some features on the driver, as they take few values; more than ``most`` are refused."""
-    mu = _mu(spark, sf_dir, features)
-    rows: pd.DataFrame = distributed.compress(internal(spark, sf_dir).select(*features)).limit(most + 1).toPandas()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} different rows")
-    rows = rows.sort_values(features)
-    return rows[features].to_numpy(float), np.array([mu[c] for c in features]), rows["_count"].to_numpy(float)
-
-
 @query(_ball_sql())
 def dual_lambda_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Multipliers of the dual problem held within the ball of lambda, which binds here."""
-    z, mu, counts = _local_problem(spark, sf_dir, _TILT)
-    r = optimizers.reweight_by_means(z, mu, optimizers.ReweightSettings(lam=_BALL), counts)
-    return spark.createDataFrame([(c, round(float(v), 5)) for c, v in zip(_TILT, r.nu, strict=True)], "feature string, nu double")
+    z, mu = _tilt_problem(spark, sf_dir)
+    found = solve_whole(z, mu, optimizers.ConvexOptimizer(lam=_BALL), max_local=0)
+    return spark.createDataFrame([(c, round(v, 5)) for c, v in found.nu.items()], "feature string, nu double")
+
+
+def _chi2_solution(table: DataFrame, features: list[str]) -> DataFrame:
+    n = F.sum("_count")
+    parts = [(f"mean {c}", F.sum(F.col("_count") * F.col("w") * F.col(c)) / n) for c in features]
+    parts += [("min weight", F.min("w")), ("max weight", F.max("w")), ("chi2", F.sum(F.col("_count") * F.col("w") * F.col("w")) / n - 1), ("share at 0", F.sum(F.when(F.col("w") <= 0, F.col("_count")).otherwise(0)) / n)]
+    row = table.agg(*[e.alias(f"v{i}") for i, (_, e) in enumerate(parts)])
+    return row.select(F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), F.round(f"v{i}", 6).alias("value")) for i, (k, _) in enumerate(parts)])).alias("r")).select("r.*")
+
+
+_CHI2 = optimizers.ConvexOptimizer(lam=0.0, divergence="chi2", method="primal")
 
 
 @query(in_sql("""select measure, round(value, 6) as value from (
-    select unnest(['mean x2', 'mean x3', 'min weight', 'max weight', 'chi2']) as measure, unnest([sum(w * x2) / count(*), sum(w * x3) / count(*), min(w), max(w), sum(w * w) / count(*) - 1]) as value from (
+    select unnest(['mean x2', 'mean x3', 'min weight', 'max weight', 'chi2', 'share at 0']) as measure, unnest([sum(w * x2) / count(*), sum(w * x3) / count(*), min(w), max(w), sum(w * w) / count(*) - 1, 0]) as value from (
         select x2, x3, 1 + ((x2 - m2) * (v33 * g2 - v23 * g3) + (x3 - m3) * (v22 * g3 - v23 * g2)) / (v22 * v33 - v23 * v23) as w from fixture, (
             select avg(x2) filter (ext = 0) as m2, avg(x3) filter (ext = 0) as m3, avg(x2) filter (ext = 1) - avg(x2) filter (ext = 0) as g2, avg(x3) filter (ext = 1) - avg(x3) filter (ext = 0) as g3,
                    var_pop(x2) filter (ext = 0) as v22, var_pop(x3) filter (ext = 0) as v33, covar_pop(x2, x3) filter (ext = 0) as v23 from fixture)
         where ext = 0))"""))
 def chi2_primal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chi-square weights with equal means, where no weight is at 0: linear in the features, so SQL has a closed form."""
-    z, mu, counts = _local_problem(spark, sf_dir, ["x2", "x3"])
-    w = optimizers.reweight_by_means(z, mu, optimizers.ReweightSettings(divergence="chi2", method="primal", lam=0.0), counts).weights
-    n = counts.sum()
-    means = (counts * w) @ z / n
-    rows = [("mean x2", means[0]), ("mean x3", means[1]), ("min weight", w.min()), ("max weight", w.max()), ("chi2", (counts * w) @ w / n - 1)]
-    return spark.createDataFrame([(k, round(float(v), 6)) for k, v in rows], "measure string, value double")
+    found = solve_whole(internal(spark, sf_dir).select("x2", "x3"), _mu(spark, sf_dir, ["x2", "x3"]), _CHI2, max_local=0)
+    return _chi2_solution(found.weights, ["x2", "x3"])
+
+
+#: Weights max(0, a + b x1): of all thresholds below which weights are 0, the one that agrees with its own line.
+@query(in_sql("""select measure, round(value, 6) as value from (
+    select unnest(['mean x1', 'min weight', 'max weight', 'chi2', 'share at 0']) as measure, unnest([sum(w * x1) / count(*), min(w), max(w), sum(w * w) / count(*) - 1, count(*) filter (w <= 0) / count(*)]) as value
+    from (select x1, greatest(0, a + b * x1) as w from fixture, line where ext = 0))""").replace("\nselect measure", """, points as (
+    select x1, count(*)::double as c from fixture where ext = 0 group by x1
+), goal as (
+    select sum(c) as n, sum(c * x1) / sum(c) + 0.25 as mu from points
+), sums as (
+    select x1 as t, lag(x1) over (order by x1) as before, sum(c) over o as n0, sum(c * x1) over o as n1, sum(c * x1 * x1) over o as n2 from points window o as (order by x1 rows between current row and unbounded following)
+), lines as (
+    select t, before, (n * mu - n * n1 / n0) / nullif(n2 - n1 * n1 / n0, 0) as b, n0, n1, n from sums, goal
+), line as (
+    select (n - b * n1) / n0 as a, b from lines where (n - b * n1) / n0 + b * t > 0 and (before is null or (n - b * n1) / n0 + b * before <= 0) order by t limit 1
+)
+select measure""", 1))
+def chi2_at_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where the mean asked for is so far off that many weights are 0."""
+    z = internal(spark, sf_dir).select("x1")
+    mean = z.agg(F.avg("x1")).first()[0]
+    return _chi2_solution(solve_whole(z, {"x1": mean + 0.25}, _CHI2, max_local=0).weights, ["x1"])
 
 
 #: One 0/1 feature: the entropy weights have multiplier log(odds / target odds) / width, held within 1 / lambda; the chi-square mean moves by at most (n - 1) / (2 lambda) deviations.
@@ -500,22 +568,26 @@ def chi2_primal(spark: SparkSession, sf_dir: str) -> DataFrame:
     select avg(y) filter (ext = 0) as m, avg(y) filter (ext = 1) as u, stddev_samp(y) filter (ext = 0) as sd, count(*) filter (ext = 0) as n from fixture)
 select divergence""", 1))
 def primal_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    z, mu, counts = _local_problem(spark, sf_dir, ["y"])
+    z, mu = internal(spark, sf_dir).select("y"), _mu(spark, sf_dir, ["y"])
+    n = z.count()
     rows = []
     for divergence in ("entropy", "chi2"):
         for distance in ("l1", "l2"):
-            lam = 5.0 * (1 if divergence == "entropy" else counts.sum())
-            r = optimizers.reweight_by_means(z, mu, optimizers.ReweightSettings(divergence, lam, distance=distance, method="primal"), counts)
-            rows.append((divergence, distance, round(float((counts * r.weights) @ z[:, 0] / counts.sum()), 6)))
+            lam = 5.0 * (1 if divergence == "entropy" else n)
+            found = solve_whole(z, mu, optimizers.ConvexOptimizer(lam, divergence=divergence, distance=distance, method="primal"), max_local=0)
+            mean = found.weights.agg(F.sum(F.col("_count") * F.col("w") * F.col("y")) / F.sum("_count")).first()[0]
+            rows.append((divergence, distance, round(mean, 6)))
     return spark.createDataFrame(rows, "divergence string, distance string, mean double")
 
 
 @query(in_sql(" union all ".join(f"select '{c}' as feature, round(avg({c}), 2) as mean from fixture where ext = 1" for c in _TILT)))
 def adam_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Adam finds weights that need not be a tilt, but their means are the external ones."""
-    z, mu, counts = _local_problem(spark, sf_dir, _TILT)
-    r = optimizers.AdamSoftmax().optimize(z, mu, counts)
-    return spark.createDataFrame([(c, round(float(m), 2)) for c, m in zip(_TILT, (counts * r.weights) @ z / counts.sum(), strict=True)], "feature string, mean double")
+    z, mu = internal(spark, sf_dir).select(*_TILT), _mu(spark, sf_dir, _TILT)
+    found = solve_whole(z, mu, optimizers.AdamSoftmax()).weights
+    weight = F.col("w") * F.col("_count")
+    row = found.agg(*[(F.sum(weight * F.col(c)) / F.sum(weight)).alias(c) for c in _TILT])
+    return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.round(c, 2).alias("mean")) for c in _TILT])).alias("r")).select("r.*")
 
 
 @query(in_sql("select count(*) as groups, sum(n)::bigint as n from (select x1, x2, x3, x4, y, count(*) as n from fixture where ext = 0 group by all)"))
@@ -697,6 +769,32 @@ def est_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.estimation.where(F.col("field").isin(wanted)).select(F.lit(out.status).alias("status"), "field", F.round("value", 2).alias("value"))
 
 
+class EveryRow:
+    """A sampler: one repetition, with every row once."""
+
+    def draw(self, rows: DataFrame, n: int) -> DataFrame:
+        return rows.select(F.lit(0).alias("rep"), F.lit(1).cast("long").alias("mult"), "*")
+
+
+#: The weights' limit by Newton steps, and all measures under it.
+@query(f"""with {_newton_sql()}, points as (select p, sum(e) filter (y = 1) as pos, coalesce(sum(e) filter (y = 0), 0) as neg from tilted group by p),
+    area as (select sum(coalesce(pos, 0) * (below - neg / 2)) / (sum(pos) * sum(neg)) as a from (select *, sum(neg) over (order by p) as below from points)),
+    found as (select unnest(['AUROC', 'Brier score', 'Global calibration mean prediction', 'Global calibration observed risk', 'n', 'n outcome', 'Max weight', 'kl']) as field,
+        unnest([any_value(a), sum(e * (y - p) * (y - p)) / sum(e), sum(e * p) / sum(e), sum(e * y) / sum(e), count(*), sum(y), max(e) * count(*) / sum(e), ln(count(*)) + sum(e * ln(e)) / sum(e) - ln(sum(e))]) as value from tilted, area)
+    select run, 'Success' as status, field, round(value, 3) as value from found, (values ('in a task'), ('as passes')) t(run)""")
+def est_all_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An estimation end to end with a sampler of its own, so that nothing is drawn: in one task, and as passes over a table."""
+    z = internal(spark, sf_dir).select(F.col("y").alias("_outcome"), "p", *_TILT)
+    out = None
+    for run, most in (("in a task", 10_000_000), ("as passes", 0)):
+        found = estimate_external(z, _mu(spark, sf_dir, _TILT), EstimatorSettings(n_max=10_000_000, sampler=EveryRow(), max_task_rows=most), y="_outcome")
+        fields = found.estimation.unionByName(found.weighting).unionByName(found.extra)
+        wanted = ["AUROC", "Brier score", "Global calibration mean prediction", "Global calibration observed risk", "n", "n outcome", "Max weight", "kl"]
+        part = fields.where(F.col("field").isin(wanted)).select(F.lit(run).alias("run"), F.lit(found.status).alias("status"), "field", F.round("value", 3).alias("value"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query()
 def est_end2end(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _estimate(spark, sf_dir, EstimatorSettings(optimizers.TunedExponentiatedGradient(max_success_mse=5e-4), n_repetitions=4, max_wsmd=0.2)).results
@@ -710,7 +808,7 @@ def est_end2end(spark: SparkSession, sf_dir: str) -> DataFrame:
     select m as field, round(v, 6) as value from plain union all select '95% lower ' || m, round((v - 1.96 * se) * 50) / 50 from plain union all select '95% upper ' || m, round((v + 1.96 * se) * 50) / 50 from plain
         union all select 'Median    ' || m, round(v, 2) from plain union all select m || ' sd', round(se, 3) from plain union all select 'n', count(*)::double from own union all select 'n outcome', sum(y)::double from own""")
 def int_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = estimate_internal(internal(spark, sf_dir), n_boot=40)
+    found = estimate_internal(internal(spark, sf_dir), n_boot=1000)
     name, value = F.col("field"), F.col("value")
     digits = F.when(name.startswith("95%"), F.round(value * 50) / 50).when(name.startswith("Median"), F.round(value, 2)).when(name.endswith(" sd"), F.round(value, 3))
     return found.select("field", digits.otherwise(F.round(value, 6)).alias("value"))
