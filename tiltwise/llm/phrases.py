@@ -112,10 +112,10 @@ def grow(rows: np.ndarray, counts: np.ndarray, pointers: np.ndarray, depth: int,
     sums = np.add.reduceat(counts[pointers], first)
     prefix = tuple(rows[pointers[0], :depth].tolist())
     ends = np.append(first[1:], len(pointers))
-    partial = not whole and depth + 1 < longest
-    for k in np.flatnonzero(sums >= (1 if partial else least)).tolist():
+    here, beyond = (1 if not whole and size < longest else least for size in (depth + 1, depth + 2))
+    for k in np.flatnonzero(sums >= here).tolist():
         yield (*prefix, int(following[first[k]])), int(sums[k])
-        if depth + 1 < longest and sums[k] >= least:
+        if depth + 1 < longest and sums[k] >= beyond:
             yield from grow(rows, counts, pointers[first[k] : ends[k]], depth + 1, least, whole)
 
 
