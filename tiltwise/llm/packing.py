@@ -13,6 +13,7 @@ has some more cuts than bins with room, and at most log2 ``size`` short sequence
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,37 +25,75 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 CHUNK = 1 << 20  # characters that are tokenized at once
-WORDS = 400_000  # words whose ids a task remembers, none longer than LONG
-LONG = 256
+WORDS = 800_000  # words whose ids a worker remembers, some 200 bytes each
 
 Encoder = Callable[[list[str]], list[bytes]]
 
 
-def ids_by_word(tokenizer, words: list[str], at_once: int = 48) -> Iterator[tuple[str, bytes]]:
-    """Words with their ids, encoded some at a time with blanks between: the offsets of tokens say whose they are."""
-    lists = [words[i : i + at_once] for i in range(0, len(words), at_once)]
-    for i in range(0, len(lists), 64):
-        some = lists[i : i + 64]
-        for own, found in zip(some, tokenizer.encode_batch([" ".join(w) for w in some], add_special_tokens=False), strict=True):
-            raw = np.array(found.ids, dtype="<u4").tobytes()
-            starts = np.cumsum([0] + [len(w) + 1 for w in own])
-            ends = (4 * np.searchsorted(np.array([o[0] for o in found.offsets], dtype=np.int64), starts)).tolist()
-            yield from zip(own, (raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)), strict=True)
+class Words(dict):
+    """Numbers of words; those that are new since their ids were last asked for are in ``new``."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        found = self[word] = len(self)
+        self.new.append(word)
+        return found
+
+
+class Known:
+    """The ids of words that a task has met, as one run of ids with its starts."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+        self.clear()
+
+    def clear(self) -> None:
+        self.words, self.ids, self.starts = Words(), np.zeros(0, dtype="<u4"), np.zeros(1, dtype=np.int64)
+
+    def learn(self, at_once: int = 64) -> None:
+        """Encode new words, some at a time with blanks between: the offsets of tokens say whose they are."""
+        words, self.words.new = self.words.new, []
+        lists = [words[i : i + at_once] for i in range(0, len(words), at_once)]
+        ids, starts = [self.ids], [self.starts]
+        for i in range(0, len(lists), 64):
+            some = lists[i : i + 64]
+            for own, found in zip(some, self.tokenizer.encode_batch([" ".join(w) for w in some], add_special_tokens=False), strict=True):
+                first = np.fromiter((o[0] for o in found.offsets), dtype=np.int64, count=len(found))
+                after = np.cumsum(np.fromiter(map(len, own), dtype=np.int64, count=len(own)) + 1)
+                starts.append(starts[-1][-1] + np.searchsorted(first, after))
+                ids.append(np.array(found.ids, dtype="<u4"))
+        self.ids, self.starts = np.concatenate(ids), np.concatenate(starts)
+
+    def look_up(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words one after the other, and how many there are of each."""
+        first = self.starts[numbers]
+        sizes = self.starts[numbers + 1] - first
+        ends = np.cumsum(sizes)
+        return self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + sizes, sizes)], sizes
 
 
 def by_words(path: str, limit: int = WORDS) -> Callable[[], Encoder]:
     """An encoder for a vocabulary of the ``tokenizers`` library that never joins what white space parts.
 
-    Its ids are then those of the runs between blanks, one after the other; a task remembers the ids of words it has met.
-    Texts become little-endian 32-bit ids.  ``path`` must be readable where tasks run.
+    Its ids are then those of the runs between blanks, one after the other.  A worker process remembers the ids of words that
+    its tasks have met, for as long as it runs tasks of this encoder.  Texts become little-endian 32-bit ids.  ``path`` must be
+    readable where tasks run.
     """
+    own = uuid.uuid4().hex
 
     def make() -> Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
+        import tokenizers
 
-        tokenizer = Tokenizer.from_file(path)
-        known: dict[str, bytes] = {}
+        # Tasks get copies of this package, so what outlives a task is kept with the library; one encoder's words at a time.
+        kept = tokenizers.__dict__.setdefault("_tiltwise_words", {})
+        if own not in kept:
+            kept.clear()
+            kept[own] = Known(tokenizers.Tokenizer.from_file(path))
+        known = kept[own]
 
         def parts(text: str) -> Iterator[list[str]]:
             """Runs between blanks, some ``CHUNK`` characters at a time; other white space stays inside a run, for the library."""
@@ -68,31 +107,29 @@ def by_words(path: str, limit: int = WORDS) -> Callable[[], Encoder]:
         def encode(texts: list[str]) -> list[bytes]:
             """Texts are taken together until they hold ``CHUNK`` characters, so that new words are encoded many at a time."""
             out: list[list[bytes]] = [[] for _ in texts]
-            held: list[tuple[int, list[str]]] = []
+            held: list[tuple[int, np.ndarray]] = []
 
-            def look_up() -> None:
+            def told() -> None:
                 nonlocal held
-                new = list({w for _, words in held for w in words if w not in known})
-                if len(known) + len(new) > limit:
-                    known.clear()
-                    new = list({w for _, words in held for w in words})
-                known.update(ids_by_word(tokenizer, new))
-                for i, words in held:
-                    out[i].append(b"".join(map(known.__getitem__, words)))
-                for w in [w for w in new if len(w) > LONG]:
-                    del known[w]
+                known.learn()
+                ids, sizes = known.look_up(np.concatenate([n for _, n in held])) if held else (known.ids[:0], known.starts[:0])
+                ends = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum([len(n) for _, n in held], dtype=np.int64))].tolist()
+                for (i, _), a, b in zip(held, ends[:-1], ends[1:], strict=True):
+                    out[i].append(ids[a:b].tobytes())
                 held = []
+                if len(known.words) > limit or len(known.ids) > 16 * limit:
+                    known.clear()
 
             size = 0
             for i, text in enumerate(texts):
                 for words in parts(text):
-                    held.append((i, words))
-                    size += len(text)
-                    if size >= CHUNK:
-                        look_up()
+                    held.append((i, np.array(list(map(known.words.__getitem__, words)), dtype=np.int64)))
+                    size += len(words)
+                    if size >= CHUNK // 4:
+                        told()
                         size = 0
-            look_up()
-            return [b"".join(p) for p in out]
+            told()
+            return [p[0] if len(p) == 1 else b"".join(p) for p in out]
 
         return encode
 
