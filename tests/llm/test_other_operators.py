@@ -250,11 +250,28 @@ def test_style_tree_cuts_the_frame_of_a_site(spark, article):
     assert all(r.n_cut >= 5 for r in found if r.page_id < 100)  # top, list, advert, tools, bottom
 
 
+def test_the_tree_alone_cuts_neutral_boxes_of_an_article(spark):
+    """Boxes whose names say nothing, inside of articles: the markup keeps them, what repeats on the site cuts them."""
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    offer = " ".join(word() for _ in range(8))
+    long = "x" * 250
+    pages = []
+    for i in range(160):
+        own = [" ".join(word() for _ in range(12)) for _ in range(3)]
+        body = f'<article><h1>{own[0]}</h1><div class="part1">Offers of the day</div><p>{own[1]}</p><div class="part2">{offer}</div><div class="{long}a"><p>{own[2]}</p></div><div class="{long}b">Call us at any time</div></article>'
+        pages.append((i, f"https://site.example/{i}", f"<html><body>{body}</body></html>", own))
+    df = spark.createDataFrame([p[:3] for p in pages], "page_id long, url string, html string")
+    found = {r.page_id: r for r in extract_text(df).collect()}
+    assert all(found[i].text == "\n".join(own) and found[i].n_cut == 3 for i, _, _, own in pages)
+    assert all("Offers of the day" in main_text(page) and "Call us" in main_text(page) for _, _, page, _ in pages)
+
+
 def test_articles_of_the_test_pages(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
     got = {r.page_id: r.text for r in extract_text(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).collect()}
     cut = extract_text(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).where("n_cut >= 3").count()
-    assert cut == len(rows)  # by the tree: links, advert and footer
+    assert cut == len(rows)  # links, advert and footer: named so, and beside an article, so no entropy would keep them
     for r in rows:
         article = re.search(r"<article>(.*?)(</article>|\Z)", r.html, re.S)[1]
         blocks = (re.sub(r"\s+", " ", html.unescape(re.sub(r"</?b>|<br>", "", b))).strip() for b in re.split(r"</?(?:p|h1)>", article))

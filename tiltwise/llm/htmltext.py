@@ -124,7 +124,9 @@ def _element(tag: str, a: dict[str, str]) -> Node:
             names.update(words)
     readers = tag not in ("html", "body", "main") and bool(names & READERS)
     against = tag in FRAME_TAGS or readers or role in CUT_ROLES or (tag not in KEPT and bool(names & CUT_NAMES))
-    return Node(tag, style.replace("/", "|")[:200], against, readers, hidden)
+    style = style.replace("/", "|")
+    # A long name goes on as its hash, so that two of them stay two.
+    return Node(tag, style if len(style) <= 200 else f"{style[:160]}~{xxhash.xxh3_128_hexdigest(style.encode('utf-8', 'surrogatepass'))}", against, readers, hidden)
 
 
 def parse(page: str | None) -> Node:
