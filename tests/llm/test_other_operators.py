@@ -263,7 +263,7 @@ def test_the_tree_alone_cuts_neutral_boxes_of_an_article(spark):
         pages.append((i, f"https://site.example/{i}", f"<html><body>{body}</body></html>", own))
     df = spark.createDataFrame([p[:3] for p in pages], "page_id long, url string, html string")
     found = {r.page_id: r for r in extract_text(df).collect()}
-    assert all(found[i].text == "\n".join(own) and found[i].n_cut == 3 for i, _, _, own in pages)
+    assert all(found[i].text == "\n".join(own) and found[i].n_cut == 2 for i, _, _, own in pages)
     assert all("Offers of the day" in main_text(page) and "Call us" in main_text(page) for _, _, page, _ in pages)
 
 
