@@ -142,12 +142,13 @@ def prefixes(dense: DataFrame, cells: DataFrame, similarity: float) -> DataFrame
     return first.where("e.held > 1").select("key", F.col("e.cell").alias("cell"), "node", "root")
 
 
-def straggler_links(placed: DataFrame, cells: DataFrame, similarity: float, block: int = BLOCK, dense: int = DENSE, bin_rows: int = 4096) -> DataFrame:
+def straggler_links(placed: DataFrame, cells: DataFrame, similarity: float, block: int = BLOCK, dense: int = DENSE, bin_cells: int = 1_000_000) -> DataFrame:
     """``a, b``: verified links between the components that meet in a bucket (``placed``: ``key, node, root``).
 
     In each bucket all members outside its largest component are compared with all members of other components.  Both are
     dealt to blocks of about ``block``; a pair of blocks is compared in one place and gives links only, so no pairs are
-    listed and no bucket is gathered in one task.  Buckets of more than ``dense`` pairs of blocks are split by prefixes.
+    listed and no bucket is gathered in one task.  Buckets of more than ``dense`` pairs of blocks are split by prefixes.  Pairs
+    of blocks are dealt to groups of about ``bin_cells`` elements (or of one pair), so long texts take more groups.
     """
     buckets = materialise(_parts(placed, ["key"]), "buckets")
     crowded = F.col("n") * F.col("s") > block * block * dense
@@ -159,9 +160,9 @@ def straggler_links(placed: DataFrame, cells: DataFrame, similarity: float, bloc
         own = own.unionByName(split.join(_parts(split, ["key", "cell"]).hint("merge"), ["key", "cell"]).select(*columns))
     n_blocks, s_blocks = F.ceil(F.col("n") / block).cast("int"), F.ceil(F.col("s") / block).cast("int")
     own = materialise(own.withColumn("n_blocks", n_blocks).withColumn("s_blocks", s_blocks).withColumn("draw", F.xxhash64("node")), "open")
-    total = own.agg(F.sum(F.col("s_blocks") + F.when(F.col("root") != F.col("main"), F.col("n_blocks")).otherwise(0))).first()[0] or 0
-    bins = max(1, -(-total // bin_rows))
     own = own.join(cells.hint("merge"), "node")
+    sent = F.size("cells").cast("long") * (F.col("s_blocks") + F.when(F.col("root") != F.col("main"), F.col("n_blocks")).otherwise(0))
+    bins = max(1, -(-(own.agg(F.sum(sent)).first()[0] or 0) // bin_cells))
     columns = ["key", "cell", "i", "j", "node", "root", "cells"]
     all_members = own.withColumn("i", F.pmod("draw", "n_blocks")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("s_blocks") - 1))).select(*columns, F.lit(False).alias("straggler"))
     outside = own.where("root <> main").withColumn("j", F.pmod("draw", "s_blocks")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select(*columns, F.lit(True).alias("straggler"))
