@@ -11,6 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from tiltwise.llm.common import join_dealt
 from tiltwise.llm.decontaminate import MASKS, best_run, drop_overlapping, find_overlaps, item_classes, normal_word
 from tiltwise.llm.licenses import GRANTS, KEPT, LOOSE, TEXTS, Scanner, scan_licenses, templates_by_rule, templates_from
 from tiltwise.llm.lines import chunks_of, dedup_lines
@@ -559,6 +560,43 @@ def test_each_notice_of_a_long_line_in_little_time(spark):
     assert len(rows) == 50 and all(len(b) < 500 for _, _, b in rows)
 
 
+@pytest.mark.parametrize("split", [1, 7, 10**6])
+def test_joins_dealt_over_tasks_equal_plain_ones(spark, split):
+    rng = random.Random(23)
+    many = spark.createDataFrame([(rng.choice([1, 1, 1, 1, 2, 3, None]), i % 50) for i in range(400)], "k long, a long").repartition(3)
+    few = spark.createDataFrame([(1, "x"), (1, "y"), (2, "z"), (4, "w"), (None, "n")], "k long, b string")
+    got = join_dealt(many, few, "k", F.col("a"), split)
+    assert got.columns == ["k", "a", "b"] and Counter(map(tuple, got.collect())) == Counter(map(tuple, many.join(few, "k").collect()))
+
+
+def test_overlaps_of_a_passage_in_many_documents(spark, monkeypatch):
+    from tiltwise.llm import decontaminate
+
+    rng = random.Random(24)
+    passage = prose(rng, 30)
+    rows = [(i, prose(rng, 10) + " " + passage + " " + prose(rng, 10)) for i in range(120)] + [(500 + i, prose(rng, 50)) for i in range(30)]
+    items = spark.createDataFrame([(1, passage), (2, passage + " and so on"), (3, prose(rng, 20))], "item_id long, text string")
+    want = sorted(map(tuple, find_overlaps(documents(spark, rows), items).collect()))
+    monkeypatch.setattr(decontaminate, "join_dealt", lambda many, few, key, by, split: join_dealt(many, few, key, by, 5))
+    assert sorted(map(tuple, find_overlaps(documents(spark, rows), items).collect())) == want and len(want) == 240
+
+
+@pytest.mark.parametrize("bin_cells", [100, 1_000_000])
+def test_links_do_not_depend_on_how_blocks_are_grouped(spark, bin_cells):
+    rng = np.random.default_rng(14)
+    base = rng.integers(0, 2**40, 300)
+    sets = [np.concatenate([base[:-12], rng.integers(2**41, 2**60, 12)]) for _ in range(12)] + [rng.integers(2**41, 2**60, 3000 if i == 3 else 200) for i in range(8)]
+    cells = spark.createDataFrame([(n, s.tolist()) for n, s in enumerate(sets)], "node long, cells array<long>")
+    placed = spark.createDataFrame([(5, n, n) for n in range(20)], "key long, node long, root long")
+    found = {(r.a, r.b) for r in straggler_links(placed, cells, 0.8, block=3, bin_cells=bin_cells).collect()}
+    groups = {n: {n} for n in range(20)}
+    for a, b in found:
+        merged = groups[a] | groups[b]
+        for n in merged:
+            groups[n] = merged
+    assert {frozenset(g) for g in groups.values()} == {frozenset(range(12)), *(frozenset([n]) for n in range(12, 20))}
+
+
 def test_near_copies_of_rows_without_id_or_with_the_same_id(spark):
     rng = random.Random(12)
     words = prose(rng, 200).split()

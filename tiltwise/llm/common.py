@@ -82,6 +82,26 @@ def one_of_each(docs: DataFrame, keys: list[str]) -> DataFrame:
     return docs.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
 
 
+def join_dealt(many: DataFrame, few: DataFrame, key: str, by: Column, split: int = 100_000) -> DataFrame:
+    """Inner join on ``key``, where a key may have any share of the rows of ``many``.
+
+    Keys of more than ``split`` rows (more where the table is so large that over 100,000 keys could have them) are dealt to
+    several tasks by a hash of ``by``, and their rows of ``few`` are copied to each.  So the list of those keys that all tasks
+    get has 100,000 rows at most.
+    """
+    counts = materialise(many.groupBy(key).agg(F.count("*").alias("_rows")).where(F.col("_rows") > split), "crowded")
+    total = counts.agg(F.sum("_rows")).first()[0] or 0
+    if not total:
+        discard(counts)
+        return many.join(few.hint("merge"), key)
+    bound = max(split, -(-total // 100_000))
+    crowded = F.broadcast(counts.where(F.col("_rows") > bound).select(key, F.ceil(F.col("_rows") / bound).cast("int").alias("_ways")))
+    ways = F.coalesce(F.col("_ways"), F.lit(1))
+    dealt = many.join(crowded, key, "left").withColumn("_way", F.pmod(F.xxhash64(by), ways).cast("int")).drop("_ways")
+    copies = few.join(crowded, key, "left").withColumn("_way", F.explode(F.sequence(F.lit(0), ways - 1))).drop("_ways")
+    return dealt.join(copies.hint("merge"), [key, "_way"]).drop("_way")
+
+
 def host_of(url: Column) -> Column:
     """Lower-cased (A-Z) text after the first ``://`` up to ``/``, ``?``, ``#`` or the end; empty without one."""
     host = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1)

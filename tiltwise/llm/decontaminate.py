@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, digest_of, discard, materialise, mix64
+from .common import U64, WordHashes, digest_of, discard, join_dealt, materialise, mix64
 
 #: Positions of a window that count: three masks of weight six.
 MASKS = ((0, 1, 3, 5, 6, 7), (0, 1, 2, 5, 8, 9), (0, 2, 3, 4, 6, 9))
@@ -128,7 +128,7 @@ def _flagged(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select(F.coalesce(own, F.lit(0)).alias("doc_id"), own.isNull().alias("none"), F.col(f"`{text_col}`").alias("text"))
 
 
-def _overlaps(docs: DataFrame, benchmark: DataFrame, min_matches: int, min_share: float, masks: tuple, most_bits: int, id_col: str, text_col: str, item_col: str, item_text_col: str) -> tuple[DataFrame, DataFrame]:
+def _overlaps(docs: DataFrame, benchmark: DataFrame, min_matches: int, min_share: float, masks: tuple, most_bits: int, id_col: str, text_col: str, item_col: str, item_text_col: str, split: int = 100_000) -> tuple[DataFrame, DataFrame]:
     """``doc_id, digest`` of rows with a possible hit, and the overlaps of each different text (by ``digest``); both stored."""
     items = _items(benchmark, item_col, item_text_col).groupBy("tokens").agg(F.min("id").alias("item_id"), F.count("*").alias("n_items"))
     items = materialise(items.withColumn("item", F.monotonically_increasing_id()), "items")
@@ -168,13 +168,13 @@ def _overlaps(docs: DataFrame, benchmark: DataFrame, min_matches: int, min_share
     schema = "doc_id long, none boolean, digest binary, tokens binary, seeds array<long>, places array<long>"
     suspects = materialise(_flagged(docs, id_col, text_col).mapInPandas(scan, schema).withColumn("doc_id", F.when(~F.col("none"), F.col("doc_id"))), "suspects")
     hits = suspects.select("digest", F.explode(F.arrays_zip("seeds", "places")).alias("h")).select("digest", F.col("h.seeds").alias("seed"), F.col("h.places").alias("at"))
-    laid = materialise(hits.join(wanted.hint("merge"), "seed").select("digest", "item", "n", (F.col("at") - F.col("place")).alias("offset")).distinct(), "laid")
+    laid = materialise(join_dealt(hits, wanted, "seed", F.col("digest"), split).select("digest", "item", "n", (F.col("at") - F.col("place")).alias("offset")).distinct(), "laid")
     # What of the text lies under the item: no text is sent whole, however many items it meets.
     texts = suspects.where("tokens is not null").select("digest", "tokens")
     size = (F.length("tokens") / 8).cast("long")
     first, last = F.greatest(F.lit(0).cast("long"), "offset"), F.least(size, F.col("offset") + F.col("n"))
     under = laid.join(texts.hint("merge"), "digest").select("digest", "item", "offset", first.alias("first"), F.substring("tokens", (first * 8 + 1).cast("int"), ((last - first) * 8).cast("int")).alias("part"))
-    both = under.join(items.select("item", "item_id", "n_items", "tokens").hint("merge"), "item")
+    both = join_dealt(under, items.select("item", "item_id", "n_items", "tokens"), "item", F.col("digest"), split)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
