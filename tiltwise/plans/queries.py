@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from ..functions.columns import col, normal_cdf
 from ..operators import distributed, optimizers, sampling
 from ..operators.measures import auroc, estimation_fields, max_smd, measures, smd, smd_sets, weight_divergence, weighting_fields
-from ..operators.prediagnostics import FIELDS, overlap, pre_diagnostics
+from ..operators.prediagnostics import overlap, pre_diagnostics
 from ..operators.profile import profile_frame
-from ..operators.summary import block_means, summarise, top_features, union_sections
+from ..operators.summary import block_means, summarise, summary_fields, top_features, union_sections
 from ..operators.transform import fit_transform, normalise
-from ..sources.tables import read_table, results_table
+from ..sources.tables import read_means, read_table, results_table
 from .estimate import EstimatorSettings, estimate_external, estimate_internal, flagship, solve_whole
 
 FEATURES = ["x1", "x2", "x3", "x4"]
@@ -213,9 +213,15 @@ def pd_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _status(spark, pre_diagnostics(internal(spark, sf_dir).select(*FEATURES), mu), "missingInMu", "missingInZ", "nOverlapFeatures", "preDiagnosisStatus")
 
 
-@query("select * from (values ('x1', true, false), ('x4', true, false), ('x9', false, true)) t(feature, in_z_only, in_mu_only)")
+@query("""select coalesce(z.f, m.f) as feature, m.f is null as in_z_only, z.f is null as in_mu_only
+    from (select distinct 'x' || l_linenumber as f from lineitem where l_linenumber <= 4) z full join (select distinct 'x' || l_linenumber as f from lineitem where l_linenumber >= 3) m on z.f = m.f
+    where z.f is null or m.f is null""")
 def pd_name_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    z_only, mu_only, _ = overlap(FEATURES, {"x2": 0.0, "x3": 0.0, "x9": 0.0})
+    """Features of one side (line numbers, here) that have no mean, and means of features that the other side has not."""
+    lines = read_table(spark, sf_dir, "lineitem").select(F.concat(F.lit("x"), "l_linenumber").alias("feature"), "l_linenumber", "l_discount")
+    names = [r["feature"] for r in lines.where("l_linenumber <= 4").select("feature").distinct().orderBy("feature").collect()]
+    mu = read_means(lines.where("l_linenumber >= 3").groupBy("feature").agg(F.avg("l_discount").alias("mu")))
+    z_only, mu_only, _ = overlap(names, mu)
     return spark.createDataFrame([(c, True, False) for c in z_only] + [(c, False, True) for c in mu_only], "feature string, in_z_only boolean, in_mu_only boolean")
 
 
@@ -707,19 +713,26 @@ def normal_cdf_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return xs.select("x", F.round(normal_cdf("x"), 9).alias("cdf"))
 
 
-def _values(kind: str, names) -> list[str]:
-    return [f"('{kind}', {i}, '{n}')" for i, n in enumerate(names)]
-
-
 _CORE = ["AUROC", "Brier score", "Global calibration mean prediction", "Global calibration observed risk"]
 _WEIGHTING = ["Opt err", "n iter", "n outcome", "Max Weighted SMD"]
-_DERIVED = lambda core: core + [d for f in core for d in (f"95% lower {f}", f"Median    {f}", f"95% upper {f}", f"{f} sd")]
+_METRICS = {"estimation": _CORE, "weighting": _WEIGHTING}
 
 
-@query("select * from (values " + ", ".join(_values("estimation", _DERIVED(_CORE)) + _values("weighting", ["n repetitions", *_DERIVED(_WEIGHTING)])) + ") t(kind, position, field)")
+@query("with named as (select unnest(['estimation', 'weighting']) as kind, unnest([" + ", ".join(f"{m}" for m in _METRICS.values()) + """]) as metrics),
+    reps as (select kind, (l_orderkey % 40)::integer as rep, metrics[l_linenumber % 4 + 1] as metric, avg(l_discount) as value from lineitem, named group by all),
+    sums as (select kind, metric, avg(value) as mean, avg(ln(1 + value)) as m, stddev_samp(ln(1 + value)) as se, quantile_cont(value, 0.5) as median, stddev_samp(value) as sd from reps group by all),
+    fields as (select kind, unnest([metric, '95% lower ' || metric, 'Median    ' || metric, '95% upper ' || metric, metric || ' sd']) as field, unnest([mean, exp(m - 1.96 * se) - 1, median, exp(m + 1.96 * se) - 1, sd]) as value from sums)
+    select kind, field, round(value, 6) as value from fields""")
 def res_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("estimation", i, f) for i, f in enumerate(estimation_fields())] + [("weighting", i, f) for i, f in enumerate(weighting_fields())]
-    return spark.createDataFrame(rows, "kind string, position int, field string")
+    """All fields of the two lists (but the number of repetitions), each with its value, from repetitions of their metrics."""
+    lines = read_table(spark, sf_dir, "lineitem")
+    out = None
+    for kind, metrics, fields in (("estimation", _CORE, estimation_fields()), ("weighting", _WEIGHTING, weighting_fields())):
+        metric = F.element_at(F.array(*map(F.lit, metrics)), F.col("l_linenumber") % 4 + 1).alias("metric")
+        reps = lines.groupBy((F.col("l_orderkey") % 40).cast("int").alias("rep"), metric).agg(F.avg("l_discount").alias("value"))
+        part = summary_fields(reps).where(F.col("field").isin(fields)).select(F.lit(kind).alias("kind"), "field", F.round("value", 6).alias("value"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 #: Fields of the pre-diagnosis, in their order.
@@ -728,7 +741,9 @@ _PRE = "preDiagnosisStatus missingInMu missingInZ nOverlapFeatures naInZ naInMu
 
 @query("select * from (values " + ", ".join(f"({i}, '{f}')" for i, f in enumerate(_PRE)) + ") t(position, field)")
 def res_prediagnostic_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(FIELDS)), "position int, field string")
+    """The fields of a diagnosis that was made, in their order."""
+    made = pre_diagnostics(internal(spark, sf_dir).select(*FEATURES), _mu(spark, sf_dir))
+    return spark.createDataFrame(list(enumerate(made.log)), "position int, field string")
 
 
 # End to end ---------------------------------------------------------------------------------------------------------------
