@@ -486,7 +486,7 @@ def sgd_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dual SGD over the table, whose samples are partitions of stored rows: a quarter of them in each step."""
     z, mu = _tilt_problem(spark, sf_dir)
     quarter = -(-z.count() // 4)
-    return _solution(solve_whole(z, mu, optimizers.DualSGD(epsilons=(0.3,), batch=quarter, improve_th=1e-6, n_iter=400), max_local=0).weights, 2)
+    return _solution(solve_whole(z, mu, optimizers.DualSGD(epsilons=(0.3,), n_tune_iter=10, batch=quarter, improve_th=1e-6, n_iter=400), max_local=0).weights, 2)
 
 
 @query("select measure, status from (values ('no weights', 'Failure')) t(measure, status)")
