@@ -235,6 +235,27 @@ def test_large_bootstrap_repetitions(rows):
     assert all(a[k] == pytest.approx(b[k], rel=1e-5, abs=1e-7) for k in a if k[1] != "Opt err")
 
 
+def test_large_repetitions_of_transformed_features(rows):
+    raw = rows.select(F.col("_y").alias("y"), "x", "a", F.col("_p").alias("p"))
+    spec = fit_transform(raw.select("y", "x", "a"), "Table 1", "y", ["x", "a"])
+    z = spec.apply(raw.withColumn("_y0", F.col("y")), keep=["_y0", "p"])
+    assert "(x^2):y1" in spec.names
+    mu = {k: v * 1.03 for k, v in spec.means(raw).items()}
+    quick = TunedExponentiatedGradient(alphas=(0.1,), n_tune_iter=3, n_iter=8, max_success_mse=10.0)
+    one, two = (estimate_external(z, mu, EstimatorSettings(quick, n_repetitions=2, max_task_rows=m, max_wsmd=10.0), y="_y0", spec=spec) for m in (100, 200_000))
+    a, b = ({(r["rep"], r["metric"]): r["value"] for r in e.repetitions.collect()} for e in (one, two))
+    assert one.status == two.status == "Success" and set(a) == set(b) and len(a) == 24
+    assert all(a[k] == pytest.approx(b[k], rel=1e-5, abs=1e-7) for k in a if k[1] != "Opt err")
+
+
+def test_row_ids_are_dense_and_stay(spark):
+    rows = spark.range(1000).withColumn("k", F.col("id") % 7).repartition(5, "k")
+    numbered = sampling.with_row_id(rows)
+    first = {r["id"]: r["row_id"] for r in numbered.collect()}
+    assert sorted(first.values()) == list(range(1000)) and first == {r["id"]: r["row_id"] for r in numbered.repartition(3).collect()}
+    assert sampling.with_row_id(rows.where("false")).count() == 0
+
+
 def test_scan_equals_measures_of_each_column(spark, rows):
     cells = resample.in_ranges(rows.groupBy(F.col("_y").alias("y"), F.col("_p").alias("p")).agg(F.count("*").alias("n")), 5)
     assert cells.table.select("_range").distinct().count() > 3

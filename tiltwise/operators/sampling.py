@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import col
+from ..sources.scratch import Scratch
 
 
 def uniform(*keys: Column) -> Column:
@@ -40,9 +41,13 @@ def sampling_mode(n: int, n_max: int, stratified: bool = True) -> str:
     return ("stratified" if stratified else "subset") if n_max < 0.75 * n else "bootstrap"
 
 
-def with_row_id(df: DataFrame, name: str = "row_id", n: int | None = None) -> DataFrame:
-    """Dense ids from 0 in the order of partitions: counts for each partition are gathered (a row each) and added up."""
-    tagged = df.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
+    """Dense ids from 0 in the order of partitions: counts for each partition are gathered (a row each) and added up.
+
+    Rows are stored with their partition and place first, so that both sides of the join, and tasks that run again, number them
+    alike.
+    """
+    tagged = Scratch(df.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())).table
     sizes = tagged.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_low"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).select("_part", "_low", "_start")

@@ -132,7 +132,6 @@ def estimate_external(internal: DataFrame, mu: dict[str, float], settings: Estim
     rows = rows.select(col(y).cast("double").alias("_y"), col(p).cast("double").alias("_p"), *[col(c).cast("double").alias(c) for c in names])
     if settings.warm_steps:
         rows = warm_start(rows, names, mu, settings)
-    # Ids hold as long as what they number is stored; a lost block would be numbered alike from the same input files.
     rows = sampling.with_row_id(rows).persist()
     sampler = settings.sampler or sampling.ByMode(settings.n_max, settings.n_repetitions, settings.stratified, settings.seed)
     samples = sampler.draw(rows, pre.n_rows)
