@@ -131,6 +131,14 @@ def test_sgd_and_adam_come_near():
     assert a.status == "Success"
 
 
+def test_adam_goes_on_at_half_the_rate_where_it_circles_the_optimum():
+    z = np.array([(y, d / 100, r) for y in (0, 1) for d in range(11) for r in (0, 1)], float)
+    counts = np.random.default_rng(14).integers(500, 3000, len(z)).astype(float)
+    mu = counts @ z / counts.sum() + np.array([0.09, 0.0002, 0.002])
+    for order in (np.arange(44), np.arange(44)[::-1], np.random.default_rng(1).permutation(44)):
+        assert AdamSoftmax().optimize(z[order], mu, counts[order]).status == "Success"
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.integers(0, 10_000), st.integers(2, 5))
 def test_weights_are_positive_with_mean_one(seed, m):

@@ -179,6 +179,14 @@ def test_adam_on_a_table_equals_arrays(rows, parameterisation):
     assert len({round(r[2], 12) for r in by_keep}) == 1  # generations change nothing
 
 
+def test_adam_halves_its_rate_on_a_table_as_on_arrays(rows):
+    z, mu = rows.select("a", "b", "x"), MU | {"x": 0.5}
+    settings = dict(rates=(0.01, 0.1), n_tune_iter=3, n_iter=4, abs_tol=0.0, max_success_mse=0.0)
+    short, one, two = solve_whole(z, mu, AdamSoftmax(**settings, max_halvings=0)), solve_whole(z, mu, AdamSoftmax(**settings, max_halvings=2)), solve_whole(z, mu, AdamSoftmax(**settings, max_halvings=2), max_local=0)
+    assert short.iterations == 10 and one.iterations == two.iterations == 18
+    assert one.status == two.status == "Not-converged" and one.err == pytest.approx(two.err, rel=1e-8)
+
+
 # Repetitions and resamples ------------------------------------------------------------------------------------------------
 
 
