@@ -73,6 +73,12 @@ def test_quality_on_held_out_rows(spark):
     assert kept.columns == docs.columns and 0.8 < kept.count() / docs.count() < 0.97
 
 
+def test_quality_stage_takes_more_labels_than_it_fits(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    few = keep_quality(docs, labels, max_rows=labels.count() // 2)
+    assert few.columns == docs.columns and 0 < few.count() < docs.count()
+
+
 def test_quality_of_odd_rows(spark):
     rows = [(i, "word salad and more %d" % i if i % 2 else "!! !! !!", "x", i) for i in range(60)]
     rows += [(100, None, None, 0), (101, "", "", 0), (102, "a" * 300_000, "x", 0), (None, "null id", "x", 0), (1, rows[1][1], "x", 1)]

@@ -206,15 +206,15 @@ def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max
     The model is that of ``score_documents``, fitted on about ``max_rows`` labelled documents at most (those with the lowest
     hash of their ids): only their statistics are taken beforehand, and all texts are scored where they are read.
     """
-    chosen = materialise(training_labels(labels), "labels")
-    total = chosen.count()
+    stored = chosen = materialise(training_labels(labels), "labels")
+    total = stored.count()
     if total > max_rows:
-        chosen = chosen.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * max_rows / total))
+        chosen = stored.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * max_rows / total))
     own = F.col(f"`{id_col}`").cast("long")
     # At most about ``max_rows`` ids are sent.
     few = docs.select(own.alias("doc_id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
     scorer = train(document_statistics(few), chosen, max_rows=max_rows, **fit_options)
-    discard(chosen)
+    discard(stored)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
