@@ -198,6 +198,28 @@ class Draws:
         return third.withColumn("mult", F.when(F.col("rep") == 0, 2).otherwise(1).cast("long"))
 
 
+def test_a_task_gets_different_rows_alone(rows, monkeypatch):
+    """As many rows as there are stand in no group: equal ones are added up before."""
+    from tiltwise.plans import estimate
+
+    samples = Draws().draw(sampling.with_row_id(rows.select("_y", "_p", "a")), 3000)
+    counted = estimate.merged(samples, ["a"])
+    assert counted.count() == samples.select("rep", "_y", "_p", "a").distinct().count() < 1000 < samples.count()
+    assert counted.agg(F.sum("mult")).first()[0] == samples.agg(F.sum("mult")).first()[0]
+    monkeypatch.setattr(estimate.vectors, "run_vectors", lambda *_: pytest.fail("different rows fit a task"))
+    quick = TunedExponentiatedGradient(n_tune_iter=4, n_iter=6, max_success_mse=1.0)
+    z = rows.select(F.col("_y").alias("y"), F.col("_p").alias("p"), "a", "b")
+    found = estimate.estimate_external(z, {"a": 0.5, "b": 0.45}, EstimatorSettings(quick, n_repetitions=3, sampler=Draws(), max_task_rows=300, max_wsmd=1.0))
+    assert found.status == "Success"
+
+
+def test_numbering_rows_shuffles_none(rows):
+    plan = sampling.with_row_id(rows.select("a", "b"))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    drawn = sampling.bootstrap(sampling.with_row_id(rows.select("a", "b")), 3000, 2)
+    assert "SortMergeJoin" not in drawn._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("columns,warm", [(["a", "b", "x"], False), (["a", "b"], False), (["a", "x"], True)])
 def test_repetitions_on_one_table_equal_those_in_tasks(rows, columns, warm):
     mu = {c: MU[c] for c in columns}
