@@ -53,6 +53,26 @@ def test_mse_on_a_table_equals_arrays(rows, w0, columns):
     assert log_frame(rows.sparkSession, two.log).count() == len(two.log)
 
 
+def test_a_pass_has_no_more_tasks_than_its_different_rows_need(rows, monkeypatch):
+    seen = []
+    one_pass = distributed.add_up
+    monkeypatch.setattr(distributed, "add_up", lambda table, block, merge, fan_in=None, parts=None: seen.append((table.rdd.getNumPartitions(), parts)) or one_pass(table, block, merge, fan_in, parts))
+    z = rows.select("a", "b", "x").repartition(7)
+    solve_whole(z, MU, TunedExponentiatedGradient(n_tune_iter=2, n_iter=2, max_success_mse=1.0), max_local=0)
+    assert seen and {n for n, _ in seen} == {1} and 1 in {p for _, p in seen}
+
+
+def test_top_coefficients_order_equal_sums_by_name(spark, tmp_path):
+    from tiltwise.plans.queries import QUERIES
+
+    lines = [(1, 0.1, 0.0), (1, 0.2, 0.0), (2, 0.3, 0.0)] + [(k, 0.5 + k / 100, 0.0) for k in range(3, 12)]  # 0.1 + 0.2 is above 0.3 in doubles
+    spark.createDataFrame(lines, "l_partkey long, l_discount double, l_tax double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    names = [(1, "z"), (2, "a"), *((k, f"n{k}") for k in range(3, 12)), (11, "n11")]  # a part that comes twice counts twice
+    spark.createDataFrame(names, "p_partkey long, p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    found = [tuple(r) for r in QUERIES["top_coefficients"](spark, str(tmp_path)).collect()]
+    assert len(found) == 10 and found[0] == ("n11", 1.22) and found[-1] == ("a", 0.3)
+
+
 def test_weights_that_do_not_fit_are_refused(rows):
     z = rows.select("a", "b", "w0")
     with pytest.raises(ValueError):
