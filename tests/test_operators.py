@@ -232,6 +232,18 @@ def test_profile_of_odd_columns(spark):
     assert empty["a"].arity == 0 and empty["a"].low is None
 
 
+def test_profile_by_counts_is_that_of_all_rows(spark):
+    rows = [(1e9 + 0.25, None, 1.0), (1e9 + 0.75, None, 0.0), (1e9 + 0.75, 2.0, 0.0), (1e9, float("nan"), 1.0)]
+    times = [3, 1, 4, 2]
+    merged = spark.createDataFrame([(*r, n) for r, n in zip(rows, times)], "a double, b double, c double, n long")
+    own, all_rows = profile(merged, ["a", "b", "c"], "n"), profile(spark.createDataFrame([r for r, n in zip(rows, times) for _ in range(n)], "a double, b double, c double"))
+    for c, p in all_rows.items():
+        assert (own[c].count, own[c].missing, own[c].low, own[c].high, own[c].arity, own[c].at_high, own[c].zero_one) == (p.count, p.missing, p.low, p.high, p.arity, p.at_high, p.zero_one)
+        assert own[c].mean == pytest.approx(p.mean, rel=1e-15) and own[c].sd == pytest.approx(p.sd, rel=1e-6)
+    single, empty = profile(merged.where("n = 1"), ["a", "b"], "n"), profile(merged.where("false"), ["a"], "n")["a"]
+    assert single["a"].sd is None and single["b"].mean is None and empty.count == 0 and empty.sd is None and empty.low is None
+
+
 def test_normalise_drops_constant_columns(spark):
     df = spark.range(10).select(F.col("id").cast("double").alias("x"), F.lit(2.0).alias("k"))
     z, mu, moments = normalise(df, {"x": 4.5, "k": 2.0})

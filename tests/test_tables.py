@@ -12,7 +12,7 @@ from tiltwise.operators.optimizers import AdamSoftmax, ConvexOptimizer, DualSGD,
 from tiltwise.operators.sampling import uniform
 from tiltwise.operators.summary import log_frame
 from tiltwise.operators.transform import fit_transform
-from tiltwise.plans.estimate import EstimatorSettings, estimate_external, estimate_internal, run_repetitions, solve_whole
+from tiltwise.plans.estimate import EstimatorSettings, different_rows, estimate_external, estimate_internal, run_repetitions, solve_whole
 
 MU = {"a": 0.5, "b": 0.45, "x": 0.6}
 
@@ -62,6 +62,47 @@ def test_a_pass_has_no_more_tasks_than_its_different_rows_need(rows, monkeypatch
     assert seen and {n for n, _ in seen} == {1} and 1 in {p for _, p in seen}
 
 
+def counted(df):
+    """``df`` and a number that grows by each of its rows that is read."""
+    read = df.sparkSession.sparkContext.accumulator(0)
+
+    def batches(frames):
+        for f in frames:
+            read.add(len(f))
+            yield f
+
+    return df.mapInPandas(batches, df.schema), read
+
+
+@pytest.mark.parametrize("optimizer", [None, TunedExponentiatedGradient(n_tune_iter=2, n_iter=2, max_success_mse=1.0), ConvexOptimizer(lam=0.0, divergence="chi2", method="primal")])
+def test_a_table_is_read_once(rows, optimizer):
+    z, read = counted(rows.select("a", "b", "x"))
+    solve_whole(z, MU, optimizer, max_local=0).weights.count()
+    assert read.value == 3000
+
+
+def test_runs_share_different_rows(rows):
+    z, read = counted(rows.select("a", "b", "x", "w0"))
+    shared = different_rows(z).withColumnRenamed("_count", "times")
+    settings = TunedExponentiatedGradient(n_tune_iter=6, n_iter=12, max_success_mse=1.0)
+    for optimizer, most in ((settings, 50_000), (settings, 0), (None, 0)):
+        found = solve_whole(shared, MU, optimizer, most, w0="w0", count="times")
+        alone = solve_whole(rows.select("a", "b", "x", "w0"), MU, optimizer, most, w0="w0")
+        assert np.allclose(solved(found), solved(alone), rtol=1e-9)
+    assert read.value == 3000
+
+
+def test_initial_weights_query_reads_its_rows_twice(spark, monkeypatch):
+    from tiltwise.plans import queries
+
+    tables = []
+    plain = queries.read_table
+    monkeypatch.setattr(queries, "read_table", lambda *a: tables.append(counted(plain(*a))) or tables[-1][0])
+    n = plain(spark, "/root/testdata/sf0.001", "lineitem").count()
+    assert queries.QUERIES["eg_initial_weights"](spark, "/root/testdata/sf0.001").count() == 24
+    assert sum(read.value for _, read in tables) == 2 * n  # once for the external means, once to merge equal rows
+
+
 def test_top_coefficients_order_equal_sums_by_name(spark, tmp_path):
     from tiltwise.plans.queries import QUERIES
 
